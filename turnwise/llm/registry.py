@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, licenses, mixing, quality, sharding
+from turnwise.llm import decontamination, language, licenses, mixing, pii, quality, sharding
 from turnwise.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -28,8 +32,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op4_sharding, op6_source_mixing, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op6_source_mixing, op8_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
