@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, language, licenses, mixing, pii, quality, sharding
+from turnwise.llm import decontamination, language, licenses, mixing, pii, quality, sharding, warc
 from turnwise.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op6_source_mixing, op8_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op6_source_mixing, op7_warc, op8_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle(), "op7_warc": warc.oracle()}
