@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, language, licenses, mixing, pii, quality, sharding, warc
+from turnwise.llm import decontamination, extraction, language, licenses, mixing, pii, quality, sharding, warc
 from turnwise.llm.common import table
 
 
@@ -36,12 +36,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op6_source_mixing, op7_warc, op8_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op6_source_mixing, op7_warc, op8_quality_rules, op9_main_text, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
