@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, extraction, language, licenses, mixing, pii, quality, sharding, warc
+from turnwise.llm import decontamination, extraction, language, licenses, mixing, ngram_join, pii, quality, sharding, warc
 from turnwise.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op6_source_mixing, op7_warc, op8_quality_rules, op9_main_text, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op5_ngram_jaccard, op6_source_mixing, op7_warc, op8_quality_rules, op9_main_text, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
