@@ -36,6 +36,10 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of pivots, and the pairs a row that a remainder may make to be compared outright.
 MAX_ROUNDS, PAIRS_A_ROW = 8, 4
 
+#: Sets of a block: a cell of two blocks holds twice as many.
+BLOCK_SETS = 4_000
+_MEASURED = pa.schema([(c, pa.int64()) for c in ("u", "v", "common", "n_u", "n_v")])
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -165,13 +169,12 @@ def first_shingles(docs: DataFrame, width: int, percent: int, often: np.ndarray)
 
 
 def regions(firsts: DataFrame) -> DataFrame:
-    """gram, digest, n, indexed, pivot, pivot_n, members: the distinct sets of every region that has two or more."""
+    """gram, digest, n, indexed, members: the distinct sets of every region that has two or more."""
     rows = firsts.select("digest", "n", "indexed", F.posexplode("grams").alias("at", "gram")).select("gram", "digest", "n", (F.col("at") < F.col("indexed")).alias("indexed"))
     order = Window.partitionBy("gram").orderBy("digest")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("*", (F.col("digest") == F.lag("digest").over(order)).alias("_again"), F.first(F.struct("digest", "n")).over(every).alias("_p"), F.last("digest").over(every).alias("_q"))
-    rows = rows.where((F.col("_p.digest") != F.col("_q")) & ~F.coalesce("_again", F.lit(False)))
-    rows = rows.select("gram", "digest", "n", "indexed", F.col("_p.digest").alias("pivot"), F.col("_p.n").alias("pivot_n"))
+    rows = rows.select("*", (F.col("digest") == F.lag("digest").over(order)).alias("_again"), F.first("digest").over(every).alias("_p"), F.last("digest").over(every).alias("_q"))
+    rows = rows.where((F.col("_p") != F.col("_q")) & ~F.coalesce("_again", F.lit(False))).select("gram", "digest", "n", "indexed")
     return rows.withColumn("members", F.count("*").over(Window.partitionBy("gram")))
 
 
@@ -213,25 +216,33 @@ def set_table(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, width: int)
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, common, n_u, n_v of each pair of digests, from the whole sets."""
-    both = pairs.join(sets.select(F.col("digest").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("grams").alias("b")), "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    """u, v, common, n_u, n_v of each pair of digests, from the whole sets.
+
+    Pairs are dealt to cells by the blocks of their two sets, and each cell gets the sets that its pairs name once: pairs move
+    as two numbers, and a set as often as there are cells that need it, at most once for each pair. Blocks hold about BLOCK_SETS
+    sets, so that a cell's sets fit a task's memory."""
+    blocks = max(1, -(-sets.count() // BLOCK_SETS))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = pairs.select("u", "v", (cell("u") * blocks + cell("v")).alias("cell"))
+    needed = dealt.select(F.col("cell").alias("for_cell"), F.explode(F.array("u", "v")).alias("digest")).distinct().join(sets, "digest")
+
+    def run(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {d: np.frombuffer(g, np.uint64) for batch in right for d, g in zip(batch.column("digest").to_pylist(), batch.column("grams").to_pylist(), strict=True)}
+        for batch in left:
+            us, vs = batch.column("u"), batch.column("v")
             common, sizes = [], ([], [])
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                if len(a) > len(b):
-                    at = np.searchsorted(a, b)
-                    common.append(int((a[np.minimum(at, len(a) - 1)] == b).sum()))
-                else:
-                    at = np.searchsorted(b, a)
-                    common.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()))
-                sizes[0].append(len(a))
-                sizes[1].append(len(b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64())], ["u", "v", "common", "n_u", "n_v"])
+            for u, v in zip(us.to_pylist(), vs.to_pylist(), strict=True):
+                a, b = sorted((known[u], known[v]), key=len)
+                at = np.searchsorted(b, a)
+                common.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()))
+                sizes[0].append(len(known[u]))
+                sizes[1].append(len(known[v]))
+            yield pa.RecordBatch.from_arrays([us, vs, pa.array(common, pa.int64()), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64())], ["u", "v", "common", "n_u", "n_v"])
+
+    def whole(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(run(key, left.to_batches(), right.to_batches()) if left.num_rows else [], _MEASURED)
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, common long, n_u long, n_v long")
+    return dealt.groupBy("cell").cogroup(needed.groupBy("for_cell")).applyInArrow(whole, "u long, v long, common long, n_u long, n_v long")
 
 
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +258,12 @@ def link_table(docs: DataFrame, firsts: DataFrame, width: int, percent: int) ->
     sets = written(set_table(docs, firsts, wanted, width), "sets")
     links = written(_linked(distances(leaves, sets), percent), "links")
     radius = (100 - percent) / 100.0 + 1e-9
-    rest = large.select("gram", "digest", "n", "indexed", "pivot", "pivot_n")
+    # A set in the middle of its kind has few n-grams of its own, so that it stands in more of the large regions than its kin.
+    central = large.groupBy("digest").agg(F.count("*").alias("central"))
+    large = written(large.select("gram", "digest", "n", "indexed").join(central, "digest"), "large")
+    first = F.min(F.struct((-F.col("central")).alias("c"), F.col("digest").alias("d"), F.col("n").alias("m")))
+    chosen = large.groupBy("gram").agg(first.alias("_c")).select("gram", F.col("_c.d").alias("pivot"), F.col("_c.m").alias("pivot_n"))
+    rest = large.join(chosen, "gram")
     for turn in range(MAX_ROUNDS + 1):
         if rest.isEmpty():
             break
@@ -273,10 +289,10 @@ def link_table(docs: DataFrame, firsts: DataFrame, width: int, percent: int) ->
             pairs = pairs.select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).distinct()
             links = links.unionByName(_linked(distances(pairs, sets), percent)).distinct()
             break
-        # The next pivot of a region: a member from outside the last pivot's component, by a hash that changes each round.
-        choice = F.min(F.struct((F.col("label") == F.col("_pl")).alias("same"), F.xxhash64("digest", F.lit(turn)).alias("h"), F.col("digest").alias("d"), F.col("n").alias("m")))
+        # The next pivot of a region: the most central member from outside the last pivot's component.
+        choice = F.min(F.struct((F.col("label") == F.col("_pl")).alias("same"), (-F.col("central")).alias("c"), F.col("digest").alias("d"), F.col("n").alias("m")))
         chosen = named.groupBy("gram").agg(choice.alias("_c")).select("gram", F.col("_c.d").alias("pivot"), F.col("_c.m").alias("pivot_n"))
-        rest = written(named.select("gram", "digest", "n", "indexed").join(chosen, "gram"), "rest")
+        rest = written(named.select("gram", "digest", "n", "indexed", "central").join(chosen, "gram"), "rest")
     return links
 
 
