@@ -104,4 +104,6 @@ def quality(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the columns of docs as they came."""
     held = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
-    return verdicts(measures(held)).where("kept").select("_row.*")
+    # Row numbers keep the filter above the counts; moved below, it would repeat each of them as often as it is referred to.
+    judged = verdicts(measures(held)).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
