@@ -2,11 +2,13 @@
 
 The Jaccard distance is a metric. Almost all pairs of documents are at distance 1, so regions are made from what documents near
 each other must share: n-grams are put in one order (those of many documents last, the rest by hash), and documents within
-the radius share some of their first ones. Those that share one form a region. In a small region distances are evaluated
-outright. In a large one a pivot is chosen and the distance of every member to it evaluated, which is linear; members within
-the radius are linked to the pivot. What is left of the region, members of several components, goes on recursively: a new
-pivot from outside the last one's component, until the rest is small; then members of different components whose distances to
-the pivot differ by no more than the radius (the triangle inequality: others can't be linked) are compared exactly.
+the radius share some of their first ones. Those that share one form a region. In a small region pairs that have enough of
+them in common are compared outright. In a large one the most central set is its pivot, and the regions of one pivot make up
+its Voronoi cell; a set on the boundary is replicated into every cell that it has a first n-gram in. The distance of every
+member to the pivot is evaluated, which is linear; members within the radius are linked to it. Cells with members of several
+components go on recursively with a new pivot from outside the last one's component; then members of different components
+whose distances to the pivot differ by no more than the radius (by the triangle inequality no others can be linked) are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -25,16 +27,16 @@ from turnwise.llm.components import components
 
 #: Regions of up to this many sets are joined outright.
 LEAF = 64
-#: N-grams shared among the first ones that a pair must have, where its sets are large enough.
-SHARED = 3
-#: Most n-grams that are told apart as frequent: 8 bytes each on every worker, 8 MB in all.
-MAX_FREQUENT = 1_000_000
+#: A pair whose smaller set has n n-grams must share SHARED + n // SHARED_IN of the first ones, where its sets are large enough.
+SHARED, SHARED_IN = 3, 32
+#: Most n-grams that are told apart as frequent: 8 bytes each on every worker, 16 MB in all.
+MAX_FREQUENT = 2_000_000
 #: Fewest documents of a frequent n-gram.
 LEAST_FREQUENT = 48
 #: Ids in a broadcast: 8 bytes each.
 MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of pivots, and the pairs a row that a remainder may make to be compared outright.
-MAX_ROUNDS, PAIRS_A_ROW = 8, 4
+MAX_ROUNDS, PAIRS_A_ROW, FEW_PAIRS = 8, 64, 500_000
 
 #: Sets of a block: a cell of two blocks holds twice as many.
 BLOCK_SETS = 4_000
@@ -152,8 +154,9 @@ def first_shingles(docs: DataFrame, width: int, percent: int, often: np.ndarray)
                     if n and digest not in seen:
                         if len(seen) < 500_000:
                             seen.add(digest)
-                        reach = min(n, n - -(-percent * n // 100) + SHARED)
-                        take = min(n, n - -(-2 * percent * n // (100 + percent)) + SHARED)
+                        more = SHARED + n // SHARED_IN
+                        reach = min(n, n - -(-percent * n // 100) + more)
+                        take = min(n, n - -(-2 * percent * n // (100 + percent)) + more)
                         at = np.minimum(np.searchsorted(table, own), max(len(table) - 1, 0))
                         hot = table[at] == own if len(table) else np.zeros(n, bool)
                         grams.append(np.concatenate((own[~hot][:reach], own[hot][: max(0, reach - int((~hot).sum()))])))
@@ -169,12 +172,12 @@ def first_shingles(docs: DataFrame, width: int, percent: int, often: np.ndarray)
 
 
 def regions(firsts: DataFrame) -> DataFrame:
-    """gram, digest, n, indexed, members: the distinct sets of every region that has two or more."""
-    rows = firsts.select("digest", "n", "indexed", F.posexplode("grams").alias("at", "gram")).select("gram", "digest", "n", (F.col("at") < F.col("indexed")).alias("indexed"))
+    """gram, digest, n, at (the gram's place in the set), indexed, members: the distinct sets of every region that has two or more."""
+    rows = firsts.select("digest", "n", "indexed", F.posexplode("grams").alias("at", "gram")).select("gram", "digest", "n", "at", (F.col("at") < F.col("indexed")).alias("indexed"))
     order = Window.partitionBy("gram").orderBy("digest")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select("*", (F.col("digest") == F.lag("digest").over(order)).alias("_again"), F.first("digest").over(every).alias("_p"), F.last("digest").over(every).alias("_q"))
-    rows = rows.where((F.col("_p") != F.col("_q")) & ~F.coalesce("_again", F.lit(False))).select("gram", "digest", "n", "indexed")
+    rows = rows.where((F.col("_p") != F.col("_q")) & ~F.coalesce("_again", F.lit(False))).select("gram", "digest", "n", "at", "indexed")
     return rows.withColumn("members", F.count("*").over(Window.partitionBy("gram")))
 
 
@@ -182,19 +185,31 @@ def _close(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _before(percent: int):
-    """The smaller set x stands by its indexed n-grams; sets of one size are ordered by digest."""
+def _ordered(percent: int):
+    """x is the smaller set, by digest where sizes are equal, and not too small."""
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.digest") < F.col("y.digest")))
-    return first & F.col("x.indexed") & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+    return first & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+
+
+def _before(percent: int):
+    """The smaller set stands by its indexed n-grams."""
+    return _ordered(percent) & F.col("x.indexed")
 
 
 def leaf_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs of sets in small regions that share enough first n-grams to be within the radius."""
-    small = found.where(F.col("members") <= LEAF).select("gram", "digest", "n", "indexed")
+    """u, v: pairs of sets in small regions that may be within the radius.
+
+    They must share enough first n-grams. And up to the last one that they share, every n-gram of either that isn't shared is
+    missing from the other, as both are in one order: what is missing must leave room for the overlap. Pairs that also meet in
+    a large region are decided there, so that only shares in small ones need be counted."""
+    small = found.where(F.col("members") <= LEAF).select("gram", "digest", "n", "at", "indexed")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.gram") == F.col("y.gram")) & _before(percent))
-    counted = pairs.groupBy(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).agg(F.count("*").alias("c"), (F.first("x.n") + F.first("y.n")).alias("n"))
-    overlap = F.ceil(F.col("n") * percent / (100.0 + percent) - 1e-9)
-    return counted.where(F.col("c") >= F.least(F.lit(SHARED), overlap)).select("u", "v")
+    counted = pairs.groupBy(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).agg(
+        F.count("*").alias("c"), F.first("x.n").alias("n_u"), F.first("y.n").alias("n_v"), (F.max("x.at") + 1).alias("to_u"), (F.max("y.at") + 1).alias("to_v")
+    )
+    counted = counted.withColumn("least", F.ceil((F.col("n_u") + F.col("n_v")) * percent / (100.0 + percent) - 1e-9))
+    room = (F.col("n_u") - F.col("to_u") + F.col("c") >= F.col("least")) & (F.col("n_v") - F.col("to_v") + F.col("c") >= F.col("least"))
+    return counted.where((F.col("c") >= F.least(F.lit(SHARED) + F.floor(F.col("n_u") / SHARED_IN), F.col("least"))) & room).select("u", "v")
 
 
 def set_table(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -260,14 +275,16 @@ def link_table(docs: DataFrame, firsts: DataFrame, width: int, percent: int) ->
     radius = (100 - percent) / 100.0 + 1e-9
     # A set in the middle of its kind has few n-grams of its own, so that it stands in more of the large regions than its kin.
     central = large.groupBy("digest").agg(F.count("*").alias("central"))
-    large = written(large.select("gram", "digest", "n", "indexed").join(central, "digest"), "large")
+    large = written(large.select("gram", "digest", "n").join(central, "digest"), "large")
     first = F.min(F.struct((-F.col("central")).alias("c"), F.col("digest").alias("d"), F.col("n").alias("m")))
     chosen = large.groupBy("gram").agg(first.alias("_c")).select("gram", F.col("_c.d").alias("pivot"), F.col("_c.m").alias("pivot_n"))
-    rest = large.join(chosen, "gram")
+    # Regions of one pivot make up its cell: near copies share dozens of regions, and a cell has each of them once.
+    rest = written(large.join(chosen, "gram").select(F.col("pivot").alias("cell"), "digest", "n", "central", "pivot", "pivot_n").distinct(), "rest")
+    before = None
     for turn in range(MAX_ROUNDS + 1):
         if rest.isEmpty():
             break
-        # Every member's distance to its region's pivot: as many as members, whatever the region's size.
+        # Every member's distance to its cell's pivot: as many as members, whatever the cell's size.
         near = rest.where((F.col("digest") != F.col("pivot")) & _close("n", "pivot_n", percent)).select(F.col("digest").alias("u"), F.col("pivot").alias("v")).distinct()
         measured = written(distances(near, sets), "distances")
         links = written(links.unionByName(_linked(measured, percent)).distinct(), "links")
@@ -275,24 +292,26 @@ def link_table(docs: DataFrame, firsts: DataFrame, width: int, percent: int) ->
         gap = measured.select(F.col("u").alias("digest"), F.col("v").alias("pivot"), (1 - F.col("common") / (F.col("n_u") + F.col("n_v") - F.col("common"))).alias("gap"))
         named = rest.join(labels, rest["digest"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "digest"))
         named = named.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("_pl")), "pivot", "left").withColumn("_pl", F.coalesce("_pl", "pivot"))
-        # Resolved regions, all of one component, go; so do pivots, which have met every member.
-        several = named.groupBy("gram").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("gram")
-        named = named.where(F.col("digest") != F.col("pivot")).join(several, "gram", "left_semi")
+        # Resolved cells, all of one component, go; so do pivots, which have met every member.
+        several = named.groupBy("cell").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("cell")
+        named = named.where(F.col("digest") != F.col("pivot")).join(several, "cell", "left_semi")
         named = written(named.join(gap, ["digest", "pivot"], "left"), "rest")
-        load = named.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("label") != F.col("_pl")).alias("out")).agg(F.sum(F.col("m") * F.col("out")).alias("pairs"), F.sum("m").alias("rows")).first()
+        load = named.groupBy("cell").agg(F.count("*").alias("m"), F.count_if(F.col("label") != F.col("_pl")).alias("out")).agg(F.sum(F.col("m") * F.col("out")).alias("pairs"), F.sum("m").alias("rows")).first()
         if not load["rows"]:
             break
-        if turn == MAX_ROUNDS or load["pairs"] <= 100_000 + PAIRS_A_ROW * load["rows"]:
+        # More pivots, while each round takes at least half of what is left to compare; else the rest is compared outright.
+        if turn == MAX_ROUNDS or load["pairs"] <= FEW_PAIRS + PAIRS_A_ROW * load["rows"] or before and load["pairs"] > before / 2:
             x, y = named.alias("x"), named.alias("y")
             window = F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")) <= radius, F.lit(True))
-            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & _before(percent) & (F.col("x.label") != F.col("y.label")) & window)
+            pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & _ordered(percent) & (F.col("x.label") != F.col("y.label")) & window)
             pairs = pairs.select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).distinct()
             links = links.unionByName(_linked(distances(pairs, sets), percent)).distinct()
             break
-        # The next pivot of a region: the most central member from outside the last pivot's component.
+        before = load["pairs"]
+        # The next pivot of a cell: the most central member from outside the last pivot's component.
         choice = F.min(F.struct((F.col("label") == F.col("_pl")).alias("same"), (-F.col("central")).alias("c"), F.col("digest").alias("d"), F.col("n").alias("m")))
-        chosen = named.groupBy("gram").agg(choice.alias("_c")).select("gram", F.col("_c.d").alias("pivot"), F.col("_c.m").alias("pivot_n"))
-        rest = written(named.select("gram", "digest", "n", "indexed", "central").join(chosen, "gram"), "rest")
+        chosen = named.groupBy("cell").agg(choice.alias("_c")).select("cell", F.col("_c.d").alias("pivot"), F.col("_c.m").alias("pivot_n"))
+        rest = written(named.select("cell", "digest", "n", "central").join(chosen, "cell"), "rest")
     return links
 
 
