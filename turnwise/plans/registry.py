@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+from turnwise.functions import scalars
+from turnwise.operators import blocks, chunks, exports, intervals, metrics, structure
+
+_FAMILIES = (intervals, structure, metrics, blocks, chunks, scalars, exports)
+_OWN = {
+    "reading_blocks": (blocks.reading_blocks_query, blocks.BLOCKS_ORACLE),
+    "speaker_assign_overlap": (intervals.speaker_assign_overlap, intervals.SPEAKER_ASSIGN_ORACLE),
+    "word_speaker_align": (intervals.word_speaker_align, intervals.WORD_ALIGN_ORACLE),
+    "segment_fallback_align": (intervals.segment_fallback_align, intervals.FALLBACK_ORACLE),
+}
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return intervals.speaker_assign_overlap(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    found = {k: f for k, (f, _) in _OWN.items()}
+    for family in _FAMILIES:
+        found |= family.QUERIES
+    return found
+
 
+def oracle_sql() -> dict[str, str]:
+    from turnwise.plans.query import with_views
 
-def oracle_sql() -> dict:
-    return {}
+    found = {k: with_views(text) for k, (_, text) in _OWN.items() if text}
+    for family in _FAMILIES:
+        found |= {k: q.oracle() for k, q in family.QUERIES.items()}
+    return found
