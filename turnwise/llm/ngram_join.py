@@ -7,8 +7,8 @@ them in common are compared outright. In a large one the most central set is its
 its Voronoi cell; a set on the boundary is replicated into every cell that it has a first n-gram in. The distance of every
 member to the pivot is evaluated, which is linear; members within the radius are linked to it. Cells with members of several
 components go on recursively with a new pivot from outside the last one's component; then members of different components
-whose distances to the pivot differ by no more than the radius (by the triangle inequality no others can be linked) are
-compared exactly.
+whose distances to the pivot differ by no more than the radius (by the triangle inequality no others can be linked), and
+whose n-grams that no other member has leave room for the overlap, are compared exactly.
 """
 
 from __future__ import annotations
@@ -237,8 +237,14 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     as two numbers, and a set as often as there are cells that need it, at most once for each pair. Blocks hold about BLOCK_SETS
     sets, so that a cell's sets fit a task's memory."""
     blocks = max(1, -(-sets.count() // BLOCK_SETS))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    dealt = pairs.select("u", "v", (cell("u") * blocks + cell("v")).alias("cell"))
+    # Sets that are paired much with each other go to one block, by the least digest that each is paired with; many of them to several.
+    ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    kin = ends.groupBy("node").agg(F.min(F.least("node", "other")).alias("kin"))
+    parts = kin.groupBy("kin").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    block = F.pmod(F.xxhash64("kin", F.pmod("node", "parts")), F.lit(blocks))
+    placed = written(kin.join(parts, "kin").select("node", block.alias("block")), "blocks")
+    dealt = pairs.join(placed.select(F.col("node").alias("u"), F.col("block").alias("_bu")), "u").join(placed.select(F.col("node").alias("v"), F.col("block").alias("_bv")), "v")
+    dealt = dealt.select("u", "v", (F.col("_bu") * blocks + F.col("_bv")).alias("cell"))
     needed = dealt.select(F.col("cell").alias("for_cell"), F.explode(F.array("u", "v")).alias("digest")).distinct().join(sets, "digest")
 
     def run(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +266,21 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("cell").cogroup(needed.groupBy("for_cell")).applyInArrow(whole, "u long, v long, common long, n_u long, n_v long")
 
 
+def alone(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell, digest, alone of members: how many of a set's n-grams no other set of its cell holds. A set without any isn't listed."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                cell, digest = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(np.full(len(own), digest)), pa.array(own)], ["cell", "digest", "gram"])
+
+    each = members.select("cell", "digest").join(sets, "digest").select("cell", "digest", "grams").mapInArrow(unpack, "cell long, digest long, gram long")
+    single = each.groupBy("cell", "gram").agg(F.count("*").alias("c"), F.min("digest").alias("digest")).where("c = 1")
+    return single.groupBy("cell", "digest").agg(F.count("*").alias("alone"))
+
+
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
     return measured.where(F.col("common") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("common")) * percent).select("u", "v")
 
@@ -301,9 +322,14 @@ def link_table(docs: DataFrame, firsts: DataFrame, width: int, percent: int) ->
             break
         # More pivots, while each round takes at least half of what is left to compare; else the rest is compared outright.
         if turn == MAX_ROUNDS or load["pairs"] <= FEW_PAIRS + PAIRS_A_ROW * load["rows"] or before and load["pairs"] > before / 2:
-            x, y = named.alias("x"), named.alias("y")
+            # N-grams that a set has alone in its cell are missing from any partner: a bound on the overlap without looking at the sets.
+            held = named.join(alone(named, sets), ["cell", "digest"], "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+            held = written(held, "rest")
+            x, y = held.alias("x"), held.alias("y")
+            most = F.least("x.most", "y.most")
+            room = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
             window = F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")) <= radius, F.lit(True))
-            pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & _ordered(percent) & (F.col("x.label") != F.col("y.label")) & window)
+            pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & _ordered(percent) & (F.col("x.label") != F.col("y.label")) & window & room)
             pairs = pairs.select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).distinct()
             links = links.unionByName(_linked(distances(pairs, sets), percent)).distinct()
             break
