@@ -41,7 +41,7 @@ QUERIES = {
     "sentence_end": Query("SELECT source_id, seg_id, text RLIKE '[.!?…][\"”’)]*$' AS ends FROM segments", duck=(("text RLIKE '[.!?…][\"”’)]*$'", "regexp_matches(text, '[.!?…][\"”’)]*$')"),)),
     "sha256_content": Query("SELECT kind, id, sha2(text, 256) AS digest FROM texts", duck=(("sha2(text, 256)", "sha256(text)"),)),
     "ext_filter": Query("SELECT page_id, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) AS ext, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in (*EXTENSIONS, ".html")) + ") AS known FROM pages"),
-    "path_containment": Query("SELECT page_id, url LIKE 'http://blog.%' OR url LIKE 'https://blog.%' AS in_blog, starts_with(url, concat('https://m.thther.example.org', '/')) OR url = 'https://m.thther.example.org' AS inside FROM pages", duck=(("starts_with(url, concat(", "starts_with(url, concat("),)),
+    "path_containment": Query("SELECT page_id, url LIKE 'http://blog.%' OR url LIKE 'https://blog.%' AS in_blog, startswith(url, concat('https://m.thther.example.org', '/')) OR url = 'https://m.thther.example.org' AS inside FROM pages", duck=(("startswith(", "starts_with("),)),
     "spanish_date": Query("SELECT event_id, concat(CAST(day(ts) AS STRING), ' de ', element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT)), ' de ', CAST(year(ts) AS STRING), ' ', lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0')) AS text FROM events",
         duck=(("element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT))", "string_split('" + ",".join(MONTHS) + "', ',')[month(ts)]"),)),
     "unique_names": Query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)

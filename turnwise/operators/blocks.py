@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.plans.query import Query, with_views
+from turnwise.plans.query import Query
 
 #: The limits of a block.
 MAX_MS, MAX_CHARS, PAUSE_MS, SENTENCE_CHARS = 35_000, 650, 1_400, 180
@@ -62,7 +62,7 @@ b AS (SELECT source_id, r, seg_id, 0 AS block, start_ms AS a, end_ms AS e, raw_s
 blocks AS (SELECT b.source_id, b.block, min(s.start_ms) AS start_ms, arg_max(s.end_ms, b.r) AS end_ms, arg_min(s.raw_speaker, b.r) AS speaker, string_agg(s.t, ' ' ORDER BY b.r) AS text, string_agg(b.seg_id::VARCHAR, ',' ORDER BY b.r) AS segment_ids,
   round(avg(avg_logprob), 6) AS avg_logprob, round(avg(no_speech_prob), 6) AS no_speech_prob, round(avg(compression_ratio), 6) AS compression_ratio,
   avg(avg_logprob) < -1.0 OR avg(no_speech_prob) > 0.6 OR avg(compression_ratio) > 2.4 AS review_required FROM b JOIN s USING (source_id, r) GROUP BY b.source_id, b.block)"""
-BLOCKS_ORACLE = with_views(f"WITH RECURSIVE {BLOCKS_CTE} SELECT * FROM blocks")
+BLOCKS_ORACLE = f"WITH RECURSIVE {BLOCKS_CTE} SELECT * FROM blocks"
 
 QUERIES = {
     "blocks_islands": Query("""WITH c AS (SELECT *, CASE WHEN prev_s = raw_speaker AND greatest(0, start_ms - prev_e) < 1400 THEN 0 ELSE 1 END AS fresh FROM (

@@ -15,8 +15,8 @@ FROM m WHERE (chunk_idx = 0 OR mid >= chunk_start_ms + 1000) AND (chunk_idx = la
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM t)
 SELECT source_id, seg_id, CAST(grp AS BIGINT) AS grp, min(start_ms) AS start_ms, max(end_ms) AS end_ms, array_join(transform(array_sort(collect_list(struct(word_idx, word))), x -> x.word), '') AS word FROM g GROUP BY source_id, seg_id, grp""", duck=(("array_join(transform(array_sort(collect_list(struct(word_idx, word))), x -> x.word), '')", "string_agg(word, '' ORDER BY word_idx)"),)),
     "label_fill": Query("""WITH l AS (SELECT source_id, seg_id, word_idx, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE (seg_id + word_idx) % 3 END AS label FROM words)
-SELECT source_id, seg_id, word_idx, coalesce(label, min_by(label, word_idx) FILTER (WHERE label IS NOT NULL) OVER n, max_by(label, word_idx) FILTER (WHERE label IS NOT NULL) OVER p) AS label FROM l
-WINDOW n AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+SELECT source_id, seg_id, word_idx, coalesce(label, first_value(label) IGNORE NULLS OVER n, last_value(label) IGNORE NULLS OVER p) AS label FROM l
+WINDOW n AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", duck=(("first_value(label) IGNORE NULLS", "first_value(label IGNORE NULLS)"), ("last_value(label) IGNORE NULLS", "last_value(label IGNORE NULLS)"))),
     "segment_split": Query("""WITH l AS (SELECT *, CAST(floor((seg_id + word_idx) / 4.0) AS BIGINT) % 3 AS label FROM words),
 c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx) = label THEN 0 ELSE 1 END AS fresh FROM l),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM c),

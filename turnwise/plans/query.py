@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +20,13 @@ class Query:
 
     sql: str
     duck: tuple[tuple[str, str], ...] = ()
-    confs: dict = field(default_factory=dict)
+    duck_sql: str | None = None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return over(spark, self.sql, {n: views.VIEWS[n](spark, sf_dir) if n in views.VIEWS else views.read(spark, sf_dir, n) for n in _names(self.sql)})
 
     def oracle(self) -> str:
-        text = self.sql
+        text = self.duck_sql or self.sql
         for a, b in self.duck:
             if a not in text:
                 raise ValueError(f"{a!r} isn't in the query")
@@ -53,6 +53,7 @@ def with_views(text: str) -> str:
 def over(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Run Spark SQL on DataFrames, each under its name. Numbers with a point are doubles, as in the reference."""
     text = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", text)
+    text = text.replace("{", "{{").replace("}", "}}")
     for name in tables:
         text = re.sub(rf"(\b(?:FROM|JOIN)\s+){name}\b", rf"\1{{{name}}}", text)
     return spark.sql(text, **{k: v for k, v in tables.items() if f"{{{k}}}" in text})

@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import blocks, chunks, exports, intervals, metrics, structure
+from turnwise.operators import blocks, chunks, exports, identity, intervals, metrics, sequential, structure
+from turnwise.plans.query import with_views
+from turnwise.streaming import streams
 
-_FAMILIES = (intervals, structure, metrics, blocks, chunks, scalars, exports)
+_FAMILIES = (intervals, structure, metrics, blocks, chunks, scalars, exports, identity, sequential)
+#: Queries that aren't SQL: the function, and its SQL for DuckDB where there is one.
 _OWN = {
-    "reading_blocks": (blocks.reading_blocks_query, blocks.BLOCKS_ORACLE),
     "speaker_assign_overlap": (intervals.speaker_assign_overlap, intervals.SPEAKER_ASSIGN_ORACLE),
     "word_speaker_align": (intervals.word_speaker_align, intervals.WORD_ALIGN_ORACLE),
     "segment_fallback_align": (intervals.segment_fallback_align, intervals.FALLBACK_ORACLE),
+    "reading_blocks": (blocks.reading_blocks_query, blocks.BLOCKS_ORACLE),
+    **{k: (f, None) for k, f in sequential.OWN.items()},
+    **identity.OWN,
+    **streams.OWN,
 }
 
 
 def flagship(spark, sf_dir):
-    return intervals.speaker_assign_overlap(spark, sf_dir)
+    """Reading blocks of transcripts whose segments take their speaker from the turns they overlap most."""
+    from turnwise.sources import views
+
+    ids = ["source_id", "seg_id"]
+    speakers = intervals.assign_speakers(views.segments(spark, sf_dir).select(*ids, "start_ms", "end_ms"), views.turns(spark, sf_dir), ids).select(*ids, "speaker")
+    return blocks.reading_blocks(views.segments(spark, sf_dir).join(speakers, ids), speaker="speaker")
 
 
 def queries() -> dict:
@@ -26,8 +37,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from turnwise.plans.query import with_views
-
     found = {k: with_views(text) for k, (_, text) in _OWN.items() if text}
     for family in _FAMILIES:
         found |= {k: q.oracle() for k, q in family.QUERIES.items()}
