@@ -8,7 +8,7 @@ its Voronoi cell; a set on the boundary is replicated into every cell that it ha
 member to the pivot is evaluated, which is linear; members within the radius are linked to it. Cells with members of several
 components go on recursively with a new pivot from outside the last one's component; then members of different components
 whose distances to the pivot differ by no more than the radius (by the triangle inequality no others can be linked), and
-whose n-grams that no other member has leave room for the overlap, are compared exactly.
+whose counts of n-grams by hash slots leave room for the overlap, are compared exactly.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of pivots, and the pairs a row that a remainder may make to be compared outright.
 MAX_ROUNDS, PAIRS_A_ROW, FEW_PAIRS = 8, 64, 500_000
 
+#: Pairs that a cell may leave before its sets' n-grams are counted by slots, to bound overlaps.
+HEAVY_PAIRS, SLOTS = 50_000, 64
 #: Sets of a block: a cell of two blocks holds twice as many.
 BLOCK_SETS = 4_000
 _MEASURED = pa.schema([(c, pa.int64()) for c in ("u", "v", "common", "n_u", "n_v")])
@@ -212,12 +214,16 @@ def leaf_pairs(found: DataFrame, percent: int) -> DataFrame:
     return counted.where((F.col("c") >= F.least(F.lit(SHARED) + F.floor(F.col("n_u") / SHARED_IN), F.col("least"))) & room).select("u", "v")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most MAX_BROADCAST_IDS rows (of two or three numbers); it must be a written table."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
+
+
 def set_table(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """digest, grams (sorted, packed) of the wanted digests, from one document of each."""
+    """digest, grams (sorted, packed) of the wanted digests, from one document of each; a repeated doc_id may give a row twice."""
+    wanted = _small(written(wanted, "wanted"))
     ids = firsts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_id")).join(wanted, "digest", "left_semi").select("_id").distinct()
-    ids = written(ids, "ids")
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _small(written(ids, "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +233,7 @@ def set_table(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, width: int)
 
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     made = texts.mapInArrow(run, "digest long, grams binary")
-    return made.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    return made.join(wanted, "digest", "left_semi")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,7 +251,9 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = written(kin.join(parts, "kin").select("node", block.alias("block")), "blocks")
     dealt = pairs.join(placed.select(F.col("node").alias("u"), F.col("block").alias("_bu")), "u").join(placed.select(F.col("node").alias("v"), F.col("block").alias("_bv")), "v")
     dealt = dealt.select("u", "v", (F.col("_bu") * blocks + F.col("_bv")).alias("cell"))
-    needed = dealt.select(F.col("cell").alias("for_cell"), F.explode(F.array("u", "v")).alias("digest")).distinct().join(sets, "digest")
+    dealt = written(dealt, "dealt")
+    named = dealt.select(F.col("cell").alias("for_cell"), F.col("u").alias("digest")).unionByName(dealt.select(F.col("cell").alias("for_cell"), F.col("v").alias("digest"))).distinct()
+    needed = sets.join(_small(written(named, "needed")), "digest").select("for_cell", "digest", "grams")
 
     def run(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {d: np.frombuffer(g, np.uint64) for batch in right for d, g in zip(batch.column("digest").to_pylist(), batch.column("grams").to_pylist(), strict=True)}
@@ -266,8 +274,9 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("cell").cogroup(needed.groupBy("for_cell")).applyInArrow(whole, "u long, v long, common long, n_u long, n_v long")
 
 
-def alone(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """cell, digest, alone of members: how many of a set's n-grams no other set of its cell holds. A set without any isn't listed."""
+def shared_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell, digest, shared of members: how many of a set's n-grams other sets of its cell hold too, by SLOTS hash slots. What two
+    sets have in common is at most, slot by slot, the smaller count."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,9 +285,10 @@ def alone(members: DataFrame, sets: DataFrame) -> DataFrame:
                 cell, digest = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(np.full(len(own), digest)), pa.array(own)], ["cell", "digest", "gram"])
 
-    each = members.select("cell", "digest").join(sets, "digest").select("cell", "digest", "grams").mapInArrow(unpack, "cell long, digest long, gram long")
-    single = each.groupBy("cell", "gram").agg(F.count("*").alias("c"), F.min("digest").alias("digest")).where("c = 1")
-    return single.groupBy("cell", "digest").agg(F.count("*").alias("alone"))
+    each = sets.join(_small(written(members.select("cell", "digest"), "members")), "digest").select("cell", "digest", "grams").mapInArrow(unpack, "cell long, digest long, gram long")
+    shared = each.join(each.groupBy("cell", "gram").agg(F.count("*").alias("c")).where("c > 1").select("cell", "gram"), ["cell", "gram"], "left_semi")
+    slot = F.pmod("gram", F.lit(SLOTS))
+    return shared.groupBy("cell", "digest").agg(F.array(*(F.count_if(slot == k) for k in range(SLOTS))).alias("shared"))
 
 
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
@@ -322,12 +332,12 @@ def link_table(docs: DataFrame, firsts: DataFrame, width: int, percent: int) ->
             break
         # More pivots, while each round takes at least half of what is left to compare; else the rest is compared outright.
         if turn == MAX_ROUNDS or load["pairs"] <= FEW_PAIRS + PAIRS_A_ROW * load["rows"] or before and load["pairs"] > before / 2:
-            # N-grams that a set has alone in its cell are missing from any partner: a bound on the overlap without looking at the sets.
-            held = named.join(alone(named, sets), ["cell", "digest"], "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-            held = written(held, "rest")
+            # A bound on each overlap from counts, without looking at the sets.
+            heavy = named.groupBy("cell").agg((F.count("*") * F.count_if(F.col("label") != F.col("_pl"))).alias("p")).where(f"p > {HEAVY_PAIRS}").select("cell")
+            held = written(named.join(shared_counts(named.join(heavy, "cell", "left_semi"), sets), ["cell", "digest"], "left"), "rest")
             x, y = held.alias("x"), held.alias("y")
-            most = F.least("x.most", "y.most")
-            room = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
+            most = F.aggregate(F.zip_with("x.shared", "y.shared", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, b: a + b)
+            room = F.coalesce(most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent, F.lit(True))
             window = F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")) <= radius, F.lit(True))
             pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & _ordered(percent) & (F.col("x.label") != F.col("y.label")) & window & room)
             pairs = pairs.select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v")).distinct()

@@ -59,13 +59,15 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "_starts", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, s: F.struct((a["n"] + F.least(F.lit(WINDOW), s - a["last"])).alias("n"), s.alias("last")), lambda a: a["n"],
     )
+    # Row numbers keep filters above this line: moved below, they would repeat each step as often as the next refers to it.
+    df = df.withColumn("_at", F.monotonically_increasing_id())
     counts = {
         "n_words": F.size("_words"),
         "word_chars": F.char_length("_t") - F.char_length(F.regexp_replace("_t", r"[^\x20\x09-\x0D]+", "")),
         "n_symbols": F.char_length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")),
         "n_lines": F.size("_lines"),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+        "n_repeat_words": F.when(F.col("_at") >= 0, F.coalesce(covered, F.lit(0))),
         "n_stutter_words": F.size(F.filter(F.zip_with("_h1", F.slice("_h1", F.lit(2), F.greatest(F.size("_h1") - 1, F.lit(0))), lambda a, b: a == b), lambda same: same)),
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(*stops))),
         "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•·–]"))),
@@ -104,6 +106,4 @@ def quality(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the columns of docs as they came."""
     held = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
-    # Row numbers keep the filter above the counts; moved below, it would repeat each of them as often as it is referred to.
-    judged = verdicts(measures(held)).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
+    return verdicts(measures(held)).where("kept").select("_row.*")
