@@ -286,7 +286,9 @@ def shared_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(np.full(len(own), digest)), pa.array(own)], ["cell", "digest", "gram"])
 
     each = sets.join(_small(written(members.select("cell", "digest"), "members")), "digest").select("cell", "digest", "grams").mapInArrow(unpack, "cell long, digest long, gram long")
-    shared = each.join(each.groupBy("cell", "gram").agg(F.count("*").alias("c")).where("c > 1").select("cell", "gram"), ["cell", "gram"], "left_semi")
+    # One shuffle of the n-grams, by cell and n-gram as one number; where two fall together, the bound is only looser.
+    each = each.select("cell", "digest", F.xxhash64("cell", "gram").alias("gram"))
+    shared = each.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1")
     slot = F.pmod("gram", F.lit(SLOTS))
     return shared.groupBy("cell", "digest").agg(F.array(*(F.count_if(slot == k) for k in range(SLOTS))).alias("shared"))
 
