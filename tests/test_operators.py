@@ -58,3 +58,13 @@ def test_refinement_moves_what_fits_elsewhere(spark):
 def test_scalars(spark):
     row = spark.range(1).select(srt_stamp(F.lit(2200)).alias("s"), srt_stamp(F.lit(3723004), ".").alias("v"), srt_stamp(F.lit(-5)).alias("n"), clean_text(F.lit(" a \n\tb c ")).alias("c"), clean_text(F.lit(None).cast("string")).alias("e")).first()
     assert tuple(row) == ("00:00:02,200", "01:02:03.004", "00:00:00,000", "a b c", "")
+
+
+def test_similarity_reaches_the_end_of_a_source(spark, tmp_path):
+    import difflib
+
+    said = [f"Sentence number {'x' * k} is said here." for k in range(1, 31)]
+    turns = spark.createDataFrame([(1, 0, "user", " ".join(said[:17])), (1, 1, "assistant", " ".join(said[17:])), (2, 0, "user", "Alone.")], "conv_id long, turn int, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {(r.source_id, r.seg_id): r.similarity for r in sequential.text_similarity_query(spark, str(tmp_path)).collect()}
+    assert found == {(1, k): round(difflib.SequenceMatcher(None, said[k].lower(), said[k + 1].lower()).ratio(), 6) for k in range(29)}

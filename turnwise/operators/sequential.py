@@ -56,7 +56,7 @@ def text_similarity_query(spark, sf_dir):
         clean = lambda t: " ".join((t or "").lower().split())
         return pd.Series([round(difflib.SequenceMatcher(None, clean(x), clean(y)).ratio(), 6) for x, y in zip(a, b, strict=True)])
 
-    s = views.segments(spark, sf_dir).where("seg_id < 12")
+    s = views.segments(spark, sf_dir)
     nxt = s.select(F.col("source_id").alias("n_source"), (F.col("seg_id") - 1).alias("n_seg"), F.col("text").alias("n_text"))
     pairs = s.join(nxt, (F.col("source_id") == F.col("n_source")) & (F.col("seg_id") == F.col("n_seg")))
     return pairs.select("source_id", "seg_id", ratio("text", "n_text").alias("similarity"))
