@@ -375,3 +375,18 @@ def test_language_of_odd_rows(spark, docs):
 def test_codewords_differ(n):
     code = language.codewords(n)
     assert len({tuple(r) for r in code.tolist()}) == n and set(np.unique(code)) <= {-1, 1}
+
+
+def test_decontamination_finds_every_pattern_of_three(spark):
+    import itertools
+
+    item = [f"w{k}" for k in range(13)]
+    swaps = list(itertools.combinations(range(13), 3))
+    pad = lambda k: [[], ["x"], ["x", "y"]][k % 3]
+    texts = [(k, " ".join(pad(k) + ["zz" if i in s else w for i, w in enumerate(item)] + pad(k // 3))) for k, s in enumerate(swaps)]
+    four = [(1000, " ".join("zz" if i in (0, 4, 8, 12) else w for i, w in enumerate(item)))]
+    held = spark.createDataFrame(texts + four, "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(["before", *item, "after"]))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.first_word, r.most_equal) for r in decontamination.overlaps(held, items).collect()}
+    assert {d for d, i in found if i == 0} == {d for d, i in found if i == 1} == set(range(286))
+    assert all(found[k, 0] == (len(pad(k)), 10) for k in range(286))
