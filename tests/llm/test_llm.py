@@ -377,6 +377,29 @@ def test_codewords_differ(n):
     assert len({tuple(r) for r in code.tolist()}) == n and set(np.unique(code)) <= {-1, 1}
 
 
+def test_known_sentences_are_reachable(spark):
+    rows = [(k, x, "en", "a") for k, x in enumerate(x for found in licenses.SENTENCES.values() for x in found)]
+    names = [name for name, found in licenses.SENTENCES.items() for _ in found]
+    found = {r.doc_id: r.sentence_ids for r in licenses.scan(odd(spark, rows)).collect()}
+    assert found == dict(enumerate(names))
+
+
+def test_wrapped_license_headers(spark):
+    import textwrap
+
+    S = licenses.SENTENCES
+    wrap = lambda t, sign="": "\n".join(sign + x for x in textwrap.wrap(t, 60))
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 A. Author", wrap(S["MIT_grant"][0]), wrap(S["MIT_notice"][0] + "."), wrap(S["MIT_as_is"][0] + ". IN NO EVENT")])
+    bsd = "\n".join([wrap(S["BSD_redistribute"][0]), "", wrap("1. " + S["BSD_source"][0] + "."), wrap("2. " + S["BSD_binary"][0] + "."), wrap("3. " + S["BSD_endorse"][0] + ".")])
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    full = wrap(apache, "# ") + "\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required"
+    gpl = wrap(" ".join(S[k][0] + "." for k in ("GPL_free", "GPL_hope", "GPL_see", "GPL_copy")), " * ")
+    rows = [(1, mit, "en", "a"), (2, bsd, "en", "a"), (3, full, "en", "a"), (4, gpl, "en", "a"), (5, apache + " http://www.apache.org/licenses/LICENSE-2.0.", "en", "a"), (6, "all\nrights\nreserved", "en", "a"), (7, "It is Licensed under the. MIT License of old", "en", "a")]
+    found = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan(odd(spark, rows)).collect()}
+    assert found == {1: ("MIT", ""), 2: ("BSD-3-Clause", ""), 3: ("Apache-2.0", ""), 4: ("GPL-3.0-or-later", ""), 5: ("Apache-2.0", ""), 6: ("All-Rights-Reserved", ""), 7: ("", "")}
+    assert {r.doc_id: r.sentence_ids for r in licenses.scan(odd(spark, rows)).collect()}[5] == "Apache2_ref,Apache2_comply,Apache2_copy"
+
+
 def test_decontamination_finds_every_pattern_of_three(spark):
     import itertools
 

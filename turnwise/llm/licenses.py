@@ -73,28 +73,41 @@ TRIGGERS = ("licen", "permission", "copyright", "redistribut", "warrant", "copy
 assert all(any(t in x for t in TRIGGERS) for x in KNOWN), "every known sentence must hold a trigger"
 
 
-def _sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and after . ? or a single !, then only letters and digits, one space apart."""
+def _marked(text: Column) -> Column:
+    """Only letters and digits, one space apart, with marks between: | where a sentence ends (. ? or a single ! before white
+    space), # for blank lines (comment signs don't fill a line), / for other line ends and for : or ; before white space."""
     calm = F.regexp_replace(F.lower(text), "!!+", " ")
-    # A dot and what may trail it, before white space; the dot of "v. 2.0" is joined again by the rule below.
-    joined = F.regexp_replace(calm, r"v\. ", "v ")
-    parts = F.split(joined, r"\n|[.?!][^a-z0-9\s]*\s|:\s")
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    # The dot of "v. 2.0" ends no sentence.
+    joined = F.regexp_replace(calm, r"v\.\s", "v ")
+    ended = F.regexp_replace(joined, r"[.?!][^a-z0-9\s]*(?=\s)", "\u0001")
+    blank = F.regexp_replace(ended, r"\n(?:[^a-z0-9\n\u0001]*\n)+", "\u0002")
+    soft = F.regexp_replace(blank, r"\n|[:;](?=\s)", "\u0003")
+    plain = F.regexp_replace(soft, r"[^a-z0-9\u0001\u0002\u0003]+", " ")
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "\u0001", " | "), "\u0002", " # "), "\u0003", " / ")
+    return F.concat(F.lit("| "), F.regexp_replace(F.trim(marks), " +", " "), F.lit(" |"))
+
+
+def _sought() -> str:
+    """A pattern of a known sentence between two marks, longer ones first. Words may be parted by a / (a wrapped line), the
+    address in the Apache header by a blank line too."""
+    one = lambda s: s.replace(" ", " (?:/ )*").replace(" (?:/ )*http ", " (?:[/#] )*http ")
+    return "[|#/] (" + "|".join(one(s) for s in sorted(KNOWN, key=lambda s: (-len(s), s))) + ")(?= [|#/])"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (identifiers in text order), licenses (distinct, in name order), n_matches, unmatched of every row.
 
     unmatched: identifiers that no rule used. Null, empty and licence-free texts give empty lists; repeated rows are scanned
-    alike. One projection: no shuffle and no state between rows. Texts without a trigger word aren't cut into sentences."""
+    alike. One projection: no shuffle and no state between rows. Texts without a trigger word aren't cut into sentences.
+    Sentences may be wrapped over lines, also behind comment signs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
     hot = F.lit(False)
     for word in TRIGGERS:
-        hot = hot | low.contains(word)
+        hot = hot | (low.rlike(word.replace(" ", "[^a-z0-9]+")) if " " in word else low.contains(word))
     lookup = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    df = docs.select("doc_id", F.when(hot, _sentences(text)).alias("_s"))
-    ids = F.array_compact(F.transform(F.filter("_s", lambda s: s.isin(*KNOWN)), lambda s: F.element_at(lookup, s)))
+    df = docs.select("doc_id", F.when(hot, F.regexp_extract_all(_marked(text), F.lit(_sought()), 1)).alias("_s"))
+    ids = F.transform("_s", lambda s: F.element_at(lookup, F.regexp_replace(s, "[/#] ", "")))
     df = df.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
     df = df.withColumn("_left", F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")))
     found = []
