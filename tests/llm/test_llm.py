@@ -413,3 +413,16 @@ def test_decontamination_finds_every_pattern_of_three(spark):
     found = {(r.doc_id, r.item_id): (r.first_word, r.most_equal) for r in decontamination.overlaps(held, items).collect()}
     assert {d for d, i in found if i == 0} == {d for d, i in found if i == 1} == set(range(286))
     assert all(found[k, 0] == (len(pad(k)), 10) for k in range(286))
+
+
+def test_extraction_keeps_shared_passages_and_cuts_templates_in_articles(spark):
+    quote = "to be or not to be that is the question whether tis nobler"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    share = "<p>Read also what our readers liked best this week</p>"
+    # Pages 0 and 1 are revisions of one article, 2 and 3 quote a passage, every page opens with a phrase and has a share line.
+    body = {0: own(0), 1: own(0) + " revised", 2: f"{own(2)} {quote} a", 3: f"{own(3)} {quote} b", **{i: own(i) for i in range(4, 8)}}
+    text = {i: f"It was said in the town on day {i} that {b}" for i, b in body.items()}
+    for tag in ("article", "div"):
+        rows = [(i, f"http://h.example/{i}", f"<body><{tag}><h2>Introduction {i // 2}</h2><p>{t}</p>{share}</{tag}></body>") for i, t in text.items()]
+        found = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert found == {i: f"Introduction {i // 2}\n\n{t}" for i, t in text.items()}

@@ -25,8 +25,12 @@ MARKS = frozenset(
     "social share sharing related recommended complementary contentinfo search toolbar pagination pager legal copyright "
     "commentlist commentform adsbygoogle adbox adslot adunit sidenav topnav subnav mainnav sitenav sitefooter siteheader pagefooter pageheader cookiebar gdpr disclaimer feedback aside".split()
 )
-#: Words of a window that two distinct pages of a host must share for it to count as repeated.
+#: Words of a window that pages of a host are compared by.
 DEPTH = 6
+#: A window is repeated if at least this many distinct pages of a host hold it, and at least one in SHARE of all of them.
+LEAST_PAGES, SHARE = 3, 2
+#: Words of a repeated run that is taken out although it doesn't cover its block.
+LONG = 24
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^<]*\Z", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -121,16 +125,16 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_PARSED = "page_id {0}, url string, host string, text string, open array<string>, stream string"
+_PARSED = "page_id {0}, url string, host string, open array<string>, stream string"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, text (blocks inside an article, else null), open (unmarked blocks of a page without an article) and
-    stream (the words of all that isn't inside an article, blocks parted by line ends)."""
+    """page_id, url, host, open (the blocks inside an article, of a page without one its unmarked blocks) and stream (the words
+    of the other blocks), both in page order; blocks of a stream are parted by line ends."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string())), ("stream", pa.string())]
+        types = [("url", pa.string()), ("host", pa.string()), ("open", pa.list_(pa.string())), ("stream", pa.string())]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -138,58 +142,67 @@ def parsed(pages: DataFrame) -> DataFrame:
                 for i in range(part.num_rows):
                     url, page = part.column(1)[i].as_py(), part.column(2)[i].as_py() or ""
                     found = blocks(page)
-                    main = [t for t, k in found if k == 0]
-                    free = [t for t, k in found if k == 1]
+                    kind_out = 0 if any(k == 0 for _, k in found) else 1
                     rows["url"].append(url)
                     rows["host"].append(_host(url))
-                    rows["text"].append("\n\n".join(main) if main or not free else None)
-                    rows["open"].append([] if main else free)
-                    rows["stream"].append("\n".join(t for t, k in found if k))
+                    rows["open"].append([t for t, k in found if k == kind_out])
+                    rows["stream"].append("\n".join(t for t, k in found if k != kind_out))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(rows[k], t) for k, t in types)], ["page_id", *(k for k, _ in types)])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, _PARSED.format(kind))
 
 
 def repeated_runs(parsed_pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """host, run, where run is the hash of `depth` words in a row that streams of two distinct pages of a host hold.
+    """run, the hash of a host and `depth` words in a row that at least 3 distinct pages of the host hold, and at least half of them.
 
-    The streams of a host are laid end to end and their suffixes ranked by (host, first `depth` words), a suffix array cut at
-    that depth: neighbours of equal rank from distinct streams share a run that long, and longer shared runs are unions of
-    such windows. Ranking is a grouping with partial sums, so a host that holds many pages is spread by its windows. Equal
-    streams count once: copies of a page aren't evidence. Shorter blocks are padded by the block's end."""
-    suffixes = _windows(parsed_pages.select("host", F.xxhash64("stream").alias("page"), "stream").where("stream <> ''"), "stream", depth)
-    return suffixes.groupBy("host", "run").agg(F.min("page").alias("_a"), F.max("page").alias("_b")).where("_a <> _b").select("host", "run")
+    The blocks of a host are laid end to end and their suffixes ranked by (host, first `depth` words), a suffix array cut at
+    that depth: neighbours of equal rank share a run that long, and longer shared runs are unions of such windows. Ranking is
+    a grouping with partial sums, so a host that holds many pages is spread by its windows. Equal pages count once: copies
+    aren't evidence. A block with fewer words is one window."""
+    whole = F.concat_ws("\n", F.array_join("open", "\n"), "stream")
+    pages = parsed_pages.select("host", F.xxhash64(whole).alias("page"), whole.alias("_s")).where(F.trim("_s") != "").dropDuplicates(["host", "page"])
+    least = pages.groupBy(F.xxhash64("host").alias("_host")).agg(F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count("*") / SHARE)).alias("_least"))
+    runs = F.array_distinct(F.flatten(F.transform(F.split("_s", "\n"), lambda line: _runs(F.xxhash64("host"), line, depth))))
+    counts = pages.select(F.xxhash64("host").alias("_host"), F.explode(runs).alias("run")).groupBy("run").agg(F.count("*").alias("_n"), F.min("_host").alias("_host"))
+    return counts.where(F.col("_n") >= LEAST_PAGES).join(least, "_host").where("_n >= _least").select("run")
 
 
-def _windows(df: DataFrame, column: str, depth: int) -> DataFrame:
-    """df without `column`, and for each window of `depth` words inside one block of it: block, at, run. A block with fewer words is one window."""
-    others = [c for c in df.columns if c != column]
-    lines = df.select(*others, F.posexplode(F.split(column, "\n")).alias("block", "_line"))
-    words = lines.withColumn("_w", F.split("_line", " ")).drop("_line")
-    at = words.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - depth, F.lit(0)))))
-    return at.withColumn("run", F.xxhash64(F.array_join(F.slice("_w", F.col("at") + 1, F.lit(depth)), " "))).drop("_w")
+def _runs(host, line, depth: int):
+    """The runs of a block's windows, in order."""
+    w = F.split(line, " ")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - depth, F.lit(0))), lambda at: F.xxhash64(host, F.array_join(F.slice(w, at + 1, F.lit(depth)), " ")))
 
 
 def main_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     A page that marks its article (article, main) gives the blocks inside it, but for parts marked as beside it. Other pages
-    give their unmarked blocks without the runs of words that distinct pages of the host repeat. Inside a marked article
-    nothing is taken out for being repeated. Null or empty html and pages without text give an empty text; cut-off pages give
-    what is there; repeated rows are alike; a null url is a host of its own, the empty one. Streams hold only what lies
-    outside articles; texts of pages with an article are never shuffled."""
-    found = written(parsed(pages), "pages")
-    done = found.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    loose = found.where(F.col("text").isNull()).withColumn("_key", F.xxhash64(F.array_join("open", "\n")))
+    give their unmarked blocks. From both, runs of words that the host repeats are taken out: where at least 3 distinct pages
+    and half of the host's hold every window of the run, and it covers a whole block or has 24 words at least. Null or empty html
+    and pages without text give an empty text; cut-off pages give what is there; repeated rows are alike; a null url is a host
+    of its own, the empty one."""
+    found = written(parsed(pages), "pages").withColumn("_key", F.xxhash64(F.array_join("open", "\n")))
+    hot = written(repeated_runs(found, depth), "runs")
     # What is covered depends on the host and the blocks alone, so equal pages are looked up once.
-    windows = _windows(loose.select("host", "_key", F.array_join("open", "\n").alias("_s")).dropDuplicates(["host", "_key"]), "_s", depth)
-    covered = windows.join(repeated_runs(found, depth), ["host", "run"], "left_semi").groupBy("host", "_key").agg(F.collect_set(F.struct("block", "at")).alias("_hits"))
-    joined = loose.join(covered, ["host", "_key"], "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<block:int,at:int>>")))
+    lines = found.select(F.xxhash64("host").alias("_host"), "_key", F.posexplode("open").alias("block", "_line"))
+    windows = lines.select("_host", "_key", "block", F.posexplode(_runs(F.col("_host"), F.col("_line"), depth)).alias("at", "run"))
+    hits = windows.join(hot, "run", "left_semi").groupBy("_host", "_key").agg(F.collect_set(F.struct("block", "at")).alias("_hits"))
+    hits = written(hits, "hits")
+    joined = found.withColumn("_host", F.xxhash64("host")).join(hits, ["_host", "_key"], "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<block:int,at:int>>")))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def merge(acc, s):
+        last = F.get(acc, F.size(acc) - 1)
+        return F.when((F.size(acc) > 0) & (last["b"] >= s), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), (s + depth).alias("b"))))).otherwise(
+            F.concat(acc, F.array(F.struct(s.alias("a"), (s + depth).alias("b"))))
+        )
 
     def kept(block, number):
-        starts = F.transform(F.filter("_hits", lambda h: h["block"] == number), lambda h: h["at"])
-        words = F.filter(F.split(block, " "), lambda w, i: ~F.exists(starts, lambda s: (i >= s) & (i < s + depth)))
+        starts = F.array_sort(F.transform(F.filter("_hits", lambda h: h["block"] == number), lambda h: h["at"]))
+        size = F.size(F.split(block, " "))
+        out = F.filter(F.aggregate(starts, none, merge), lambda r: (r["b"] - r["a"] >= LONG) | ((r["a"] == 0) & (r["b"] >= size)))
+        words = F.filter(F.split(block, " "), lambda w, i: ~F.exists(out, lambda r: (i >= r["a"]) & (i < r["b"])))
         return F.when(F.size(starts) == 0, block).otherwise(F.array_join(words, " "))
 
-    rest = joined.select("page_id", "url", F.array_join(F.filter(F.transform("open", kept), lambda b: b != ""), "\n\n").alias("text"))
-    return done.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    text = F.array_join(F.filter(F.transform("open", kept), lambda b: b != ""), "\n\n")
+    return joined.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
