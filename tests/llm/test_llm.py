@@ -426,3 +426,10 @@ def test_extraction_keeps_shared_passages_and_cuts_templates_in_articles(spark):
         rows = [(i, f"http://h.example/{i}", f"<body><{tag}><h2>Introduction {i // 2}</h2><p>{t}</p>{share}</{tag}></body>") for i, t in text.items()]
         found = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert found == {i: f"Introduction {i // 2}\n\n{t}" for i, t in text.items()}
+
+
+@pytest.mark.parametrize("name", ["token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "AccessKey"])
+def test_secrets_of_letters_alone(name):
+    text = f"{name} = ABCDEFGHIJKLMNOPQRST"
+    new, kinds = pii.pseudonymise(text, KEY)
+    assert kinds == ["secret"] and "ABCDEFGHIJKLMNOPQRST" not in new and pii.pseudonymise(new, KEY, back=True)[0] == text

@@ -152,7 +152,7 @@ KINDS = (
 )
 _ALL = re.compile("|".join(p for _, p, _ in KINDS))
 _MAKE = {k: f for k, _, f in KINDS}
-_ANY = re.compile(r"[0-9@]|(?i:secret|passw)")
+_ANY = re.compile(r"[0-9@]|(?i:secret|passw|token|api[_-]?key|access[_-]?key)")
 
 
 def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[str]]:
