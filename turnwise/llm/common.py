@@ -16,17 +16,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one for local runs where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a folder of this machine, for a
+    local master only: executors of a cluster wouldn't share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "/tmp/turnwise-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/turnwise/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Through Hadoop's file systems, as the folder may be on any that Spark writes to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that later stages don't recompute it after an executor is lost."""
+    """Write df to the shared folder and read it back, so that later stages don't recompute it after an executor is lost.
+
+    It stays until clear() or the end of its Scratch."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnwise/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all written tables of this application; for when its results have been read."""
+    _delete(spark, _run_dir(spark))
+
+
+class Scratch:
+    """Written tables that are dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _delete(self.spark, self.held.pop(id(t))[1])

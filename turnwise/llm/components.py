@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import written
+from turnwise.llm.common import Scratch
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -21,14 +21,19 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, label: the least node of the component of every node that a link (u, v) of longs names. Links to oneself count for nothing.
 
-    Each round is written to the shared folder; it ends when a round changes no link."""
-    now = links.select("u", "v").where("u <> v").distinct()
+    Each round is written to the shared folder and the one before it dropped; it ends when a round changes no link, which takes
+    a number of rounds that grows with the logarithm of the longest path."""
+    scratch = scratch or Scratch(links.sparkSession)
+    now, held = links.select("u", "v").where("u <> v").distinct(), None
     before = None
-    for _ in range(rounds):
-        now = written(_stars(_stars(now, True), False), "stars")
+    while True:
+        now = scratch.write(_stars(_stars(now, True), False), "stars")
+        if held is not None:
+            scratch.drop(held)
+        held = now
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
