@@ -37,3 +37,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base modulo 2^64, n of them at least, and those of its inverse."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", _BACK)):
+            step = np.full(max(n, 1 << 20), base, np.uint64)
+            step[0] = 1
+            _POWERS[name] = np.cumprod(step, dtype=np.uint64)
+    return _POWERS["up"][:n], _POWERS["down"]
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of each word of a text whose words are parted by spaces and whose lines by line ends."""
+    word = (data != 32) & (data != 10)
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = powers(len(data))
+    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return mixed((total[stops] - before) * down[starts]), np.searchsorted(np.flatnonzero(data == 10), starts)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import LongType, StructField, StructType
 
-from turnwise.llm.arrowtext import mixed, pieces
+from turnwise.llm.arrowtext import mixed, pieces, powers
 from turnwise.llm.common import Scratch, written
 from turnwise.llm.components import components
 
@@ -53,19 +53,6 @@ BLOCK_GRAMS = 1_000_000
 PART_ROWS = 2_000
 _MEASURED = pa.schema([(c, pa.int64()) for c in ("u", "v", "common", "n_u", "n_v")])
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _BACK)):
-            step = np.full(max(n, 1 << 20), base, np.uint64)
-            step[0] = 1
-            _POWERS[name] = np.cumprod(step, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"]
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's n-grams of `width` words. A text of fewer words is one n-gram; without words, none."""
@@ -85,7 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     starts, stops = np.flatnonzero(first), np.flatnonzero(last)
     if not len(starts):
         return [np.zeros(0, np.uint64)] * n
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
     words = mixed((total[stops] - before) * down[starts])
