@@ -257,7 +257,6 @@ def test_pseudonyms_keep_formats_and_links():
     assert "4111111111111112" in out and "31.02.2024" in out and "999.1.1.1" in out and "@mail.example.com" in out
     y, d = re.search(r"and (\d{4}-\d\d-\d\d) = (\d\d/\d\d/\d{4})", out).groups()
     assert y.split("-") == d.split("/")[::-1]
-    assert [len(x) for x in out.split()] == [len(x) for x in text.split()] or True
     assert pii.pseudonymise(out, KEY, back=True)[0] == text
     assert pii.pseudonymise(None, KEY) == (None, []) and pii.pseudonymise("", KEY) == ("", [])
 

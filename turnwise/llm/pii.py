@@ -15,8 +15,15 @@ ROUNDS = 8
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 
 
-def _noise(key: bytes, tweak: str, turn: int, value: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{turn}|{value}".encode(), key=key, digest_size=32).digest(), "big")
+def _stream(key: bytes, label: str, n: int) -> bytes:
+    """n keyed bytes for a label."""
+    blocks = (hashlib.blake2b(f"{k}|{label}".encode(), key=key[:64], digest_size=64).digest() for k in range(-(-n // 64)))
+    return b"".join(blocks)[:n]
+
+
+def _noise(key: bytes, tweak: str, turn: int, value: int, size: int) -> int:
+    """A number far wider than size, so that its remainder has no trend."""
+    return int.from_bytes(_stream(key, f"{tweak}|{turn}|{value:x}", size.bit_length() // 8 + 16), "big")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, valid=None, back: bool = False) -> int:
@@ -30,9 +37,9 @@ def permute(value: int, size: int, key: bytes, tweak: str, valid=None, back: boo
         for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
             sign = -1 if back else 1
             if turn % 2:
-                right = (right + sign * _noise(key, tweak, turn, left)) % right_size
+                right = (right + sign * _noise(key, tweak, turn, left, right_size)) % right_size
             else:
-                left = (left + sign * _noise(key, tweak, turn, right)) % left_size
+                left = (left + sign * _noise(key, tweak, turn, right, left_size)) % left_size
         value = right * left_size + left
         if value < size and (valid is None or bool(valid(value)) == kind):
             return value
@@ -46,11 +53,11 @@ def luhn_digit(payload: str) -> int:
 def _refill(text: str, digits: str) -> str:
     """text with its digits replaced in order."""
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in text)
+    return "".join(next(rest) if c in "0123456789" else c for c in text)
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in text if c in "0123456789")
 
 
 def card(found: str, key: bytes, back=False) -> str | None:
@@ -107,32 +114,53 @@ def date(found: str, key: bytes, back=False) -> str | None:
     return _refill(found, "".join((y, m, d) if first else (m, d, y) if american else (d, m, y)))
 
 
+_SETS = {"9": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "h": "0123456789abcdef", "H": "0123456789ABCDEF"}
+
+
+def _kinds(found: str) -> str:
+    """The set of each character; a character of no set stands for itself. h and H: a string of hex digits, not of digits alone."""
+    if re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", found) and not found.isdigit():
+        return ("H" if found != found.lower() else "h") * len(found)
+    return "".join("9" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "-" for c in found)
+
+
 def symbols(found: str, key: bytes, back=False, tweak="text") -> str:
-    """Letters stay letters of their case and digits digits; a string of hex digits stays one."""
-    hexed = re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", found)
-    sets = []
-    for c in found:
-        if hexed:
-            sets.append("0123456789ABCDEF" if found != found.lower() else "0123456789abcdef")
-        elif c.isascii() and c.isdigit():
-            sets.append("0123456789")
-        elif c.isascii() and c.isalpha():
-            sets.append("abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        else:
-            sets.append(c)
-    value = size = 1
-    value = 0
-    for c, s in zip(found, sets, strict=True):
-        value, size = value * len(s) + s.index(c), size * len(s)
-    if size < 2:
+    """Letters stay letters of their case and digits digits; a string of hex digits stays one.
+
+    The halves are rows of symbols: a round adds to each symbol of one half a number hashed from all of the other half, so that
+    every symbol depends on all, whatever the length, in linear time. What would be read as of other sets is permuted again."""
+    kinds = _kinds(found)
+    at = [i for i, k in enumerate(kinds) if k != "-"]
+    if not at:
         return found
-    shape = "".join("h" if len(s) == 16 else "9" if len(s) == 10 else "a" if len(s) == 26 else s for s in sets)
-    value = permute(value, size, key, f"{tweak}{shape}", None, back)
-    out = []
-    for s in reversed(sets):
-        value, at = divmod(value, len(s))
-        out.append(s[at])
-    return "".join(reversed(out))
+    bases = [len(_SETS[kinds[i]]) for i in at]
+    values = [_SETS[kinds[i]].index(found[i]) for i in at]
+    label = f"{tweak}|{hashlib.sha256(kinds.encode()).hexdigest()}"
+    middle = (len(at) + 1) // 2
+    out = list(found)
+    while True:
+        for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            a, b = (0, middle) if turn % 2 else (middle, len(at))
+            noise = _stream(key, f"{label}|{turn}|{hashlib.sha256(bytes(values[:a] + values[b:])).hexdigest()}", 4 * (b - a))
+            sign = -1 if back else 1
+            for i in range(a, b):
+                values[i] = (values[i] + sign * int.from_bytes(noise[4 * (i - a) : 4 * (i - a) + 4], "big")) % bases[i]
+        for i, v in zip(at, values, strict=True):
+            out[i] = _SETS[kinds[i]][v]
+        new = "".join(out)
+        if _kinds(new) == kinds:
+            return new
+
+
+def iban(found: str, key: bytes, back=False) -> str | None:
+    """The country stays, the account is permuted within its shape and gets its own check digits."""
+    plain = found.replace(" ", "")
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+        return None
+    account = symbols(plain[4:], key, back, f"iban{plain[:2]}")
+    rest = iter(f"{plain[:2]}{98 - number(f'{account}{plain[:2]}00') % 97:02d}{account}")
+    return "".join(c if c == " " else next(rest) for c in found)
 
 
 def email(found: str, key: bytes, back=False) -> str:
@@ -142,13 +170,14 @@ def email(found: str, key: bytes, back=False) -> str:
 
 #: Kind, pattern of the value (a group named v where more than the value is matched), its pseudonym or None if it isn't valid.
 KINDS = (
-    ("secret", r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b[^\w\n]{0,12}[=:][^\w\n]{0,12})(?P<secret>[A-Za-z0-9_\-]{16,})", symbols),
-    ("email", r"(?P<email>[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", email),
-    ("date", r"(?<![\d.])(?P<date>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\d])", date),
-    ("ip", r"(?<![\d.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)", ip),
-    ("ssn", r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])", ssn),
-    ("phone", r"(?<![\w])(?P<phone>\+\d{1,3}[^\w\n(]{0,6}\(?\d{2,4}\)?[^\w\n]{1,6}\d{3,4}[^\w\n]{1,3}\d{3,4}|\(\d{3}\)[^\w\n]{0,6}\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)", phone),
-    ("card", r"(?<![\w+])(?P<card>\d(?:[ -]?\d){12,18})(?!\d)", card),
+    ("secret", r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b[^\w\n]{0,12}[=:][^\w\n]{0,12})(?P<secret>[A-Za-z0-9_.~+/=-]{16,})", symbols),
+    ("email", r"(?<![\w.+%-])(?P<email>[\w.+%-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", email),
+    ("iban", r"\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b", iban),
+    ("date", r"(?<![\d.])(?P<date>[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![\d])", date),
+    ("ip", r"(?<![\d.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?\d)", ip),
+    ("ssn", r"(?<![\d-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\d-])", ssn),
+    ("phone", r"(?<![\w])(?P<phone>\+[0-9]{1,3}[^\w\n(]{0,6}\(?[0-9]{2,4}\)?[^\w\n]{1,6}[0-9]{3,4}[^\w\n]{1,3}[0-9]{3,4}|\([0-9]{3}\)[^\w\n]{0,6}[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\d)", phone),
+    ("card", r"(?<![\w+])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?!\d)", card),
 )
 _ALL = re.compile("|".join(p for _, p, _ in KINDS))
 _MAKE = {k: f for k, _, f in KINDS}
@@ -174,7 +203,8 @@ def pseudonyms(docs: DataFrame, key: bytes = b"turnwise-example-key") -> DataFra
     """doc_id, text, n_values, kinds of every row: the whole text with its personal values replaced, how many, and their distinct
     kinds in name order.
 
-    Cards must pass the Luhn test and dates, addresses and numbers their ranges; what fails is left alone. Equal values of a
+    Cards must pass the Luhn test, bank accounts theirs by 97, and dates, addresses and numbers their ranges; what fails is left
+    alone. Only ASCII digits make a value. Equal values of a
     kind get equal pseudonyms in all documents, whatever their punctuation. Null text stays null, empty text empty, both
     with 0 values; repeated rows are changed alike. Rows are independent: nothing is shuffled. The key in use must be passed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
