@@ -68,10 +68,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     rates = rates.select("_source", steps.alias("_cdf"), parts.alias("_parts"))
     if docs.select("source").distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    drawn = docs.select(*columns).join(rates, F.col("source").eqNullSafe(F.col("_source")), "inner")
-    drawn = drawn.withColumn("_count", poisson_count(F.col("_cdf"), F.col("_parts"), F.lit(seed), key)).where("_count > 0").drop("_cdf", "_parts", "_source")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
-    return globally_shuffled(copies.withColumn("shuffle_key", uniform(F.lit(seed), key, F.lit("copy"), F.col("copy"))))
+    held = docs.select(F.struct(*columns).alias("_row"), key.alias("_id"), F.col("source").alias("_of"))
+    drawn = held.join(rates, F.col("_of").eqNullSafe(F.col("_source")), "inner").select("_row", "_id", poisson_count(F.col("_cdf"), F.col("_parts"), F.lit(seed), F.col("_id")).alias("_count")).where("_count > 0")
+    copies = drawn.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
+    copies = copies.select("_row.*", "copy", uniform(F.lit(seed), F.col("_id"), F.lit("copy"), F.col("copy")).alias("shuffle_key"))
+    return globally_shuffled(copies)
 
 
 def globally_shuffled(df: DataFrame, key: str = "shuffle_key") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the published jump hash: the multiplier of its linear congruential step, and the modulus of 64-bit words.
@@ -36,18 +36,21 @@ def jump_hash(key, shards: int):
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step, lambda acc: F.struct(acc["at"].alias("shard"), acc["grown"].alias("grown_shard")))
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], buckets: int = 4096) -> DataFrame:
-    """Add slot: gapless from 0 within each shard.
+def with_slots(df: DataFrame, shard: str, order: list[str | Column], shuffled: bool = False, buckets: int = 4096) -> DataFrame:
+    """Add slot: gapless from 0 within each shard, in place of a column of that name.
 
-    A shard is never sorted in one task: its rows fall into `buckets` hash buckets of the first order column, are numbered
-    there, and get the number of rows in the shard's earlier buckets added. The table of those sums has shards x buckets
-    rows at most, whatever the input, and is broadcast."""
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = bucketed.groupBy(shard, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = bucketed.withColumn("_place", F.row_number().over(place) - 1)
-    return numbered.join(F.broadcast(sums), [shard, "_bucket"]).withColumn("slot", (F.col("_place") + F.col("_before")).cast("long")).drop("_bucket", "_place", "_before")
+    A shard is never sorted in one task: its rows fall into `buckets` hash buckets of the order, are numbered there, and get
+    the number of rows in the shard's earlier buckets added. The table of those sums has shards x buckets rows at most,
+    whatever the input, and is broadcast. shuffled: within a bucket, by a hash of the row's place in that order, so that equal
+    rows don't stand side by side."""
+    held = df.drop("slot")
+    rows = held.select(F.struct("*").alias("_row"), F.col(shard).alias("_shard"), F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("_bucket"), F.struct(*order).alias("_order"))
+    before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_order")))
+    if shuffled:
+        numbered = numbered.withColumn("_place", F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy(F.xxhash64("_shard", "_bucket", "_place"), "_place")))
+    return numbered.join(F.broadcast(sums), ["_shard", "_bucket"]).select("_row.*", (F.col("_place") - 1 + F.col("_before")).cast("long").alias("slot"))
 
 
 def shard_rows(df: DataFrame, shards: int = 8, key: str = "doc_id") -> DataFrame:
@@ -56,7 +59,8 @@ def shard_rows(df: DataFrame, shards: int = 8, key: str = "doc_id") -> DataFrame
     Null keys count as key 0; equal keys share a shard; an empty table gives an empty one. Columns of df that are named shard
     or grown_shard are replaced."""
     kept = df.drop("shard", "grown_shard")
-    return kept.withColumn("_jump", jump_hash(F.col(key), shards)).withColumn("shard", F.col("_jump.shard")).withColumn("grown_shard", F.col("_jump.grown_shard")).drop("_jump")
+    jumped = kept.select(F.struct("*").alias("_row"), jump_hash(F.col(key), shards).alias("_jump"))
+    return jumped.select("_row.*", "_jump.shard", "_jump.grown_shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -66,5 +70,5 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     never shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
-    placed = with_slots(shard_rows(narrow, shards), "shard", ["doc_id", "text_crc32", "size"])
+    placed = with_slots(shard_rows(narrow, shards), "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
