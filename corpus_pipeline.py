@@ -7,6 +7,7 @@ next. All but the last return the columns of documents; the last adds shard, slo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnwise.llm import decontamination, mixing, ngram_join, quality, sharding
 from turnwise.llm.common import table, written
@@ -36,9 +37,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jump_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of 8, its place in the shard and its shard among 9. Copies of a document share a shard."""
+    """Every row with its shard of 8, its place in the shard and its shard among 9. Copies of a document share a shard, but places
+    go by a hash, so that the mixture's copies don't stand side by side."""
     columns = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
-    placed = sharding.with_slots(sharding.shard_rows(docs.select(*columns), SHARDS), "shard", ["doc_id"])
+    order = [F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+    placed = sharding.with_slots(sharding.shard_rows(docs.select(*columns), SHARDS), "shard", order, shuffled=True)
     return placed.select(*columns, "shard", "slot", "grown_shard")
 
 
