@@ -28,6 +28,45 @@ def has_media_extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS)
 
 
+#: The lines of a diarization log that hold its times.
+TIMERS = {
+    "segmentation_seconds": r"segmentation\s+([0-9]+(?:\.[0-9]+)?)\s+s",
+    "embedding_seconds": r"embedding\s+([0-9]+(?:\.[0-9]+)?)\s+s",
+    "clustering_seconds": r"clustering\s+([0-9]+(?:\.[0-9]+)?)\s+s",
+    "sherpa_total_seconds": r"total\s+([0-9]+(?:\.[0-9]+)?)\s+s",
+    "sherpa_rtf": r"total\s+[0-9]+(?:\.[0-9]+)?\s+s,\s*audio\s+[0-9]+(?:\.[0-9]+)?\s+s,\s*RTF\s+([0-9]+(?:\.[0-9]+)?)",
+}
+
+
+def timer(log: Column, name: str) -> Column:
+    """The last value of a timer in a log, or null."""
+    found = F.regexp_extract_all(F.coalesce(log, F.lit("")), F.lit(r"(?i)OfflineSpeakerDiarization:\s*" + TIMERS[name]), 1)
+    return F.get(found, F.size(found) - 1).cast("double")
+
+
+def number(value: Column) -> Column:
+    """A text or number as a double of at least 0: what can't be read, null, NaN and infinite count as 0."""
+    x = value.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(F.greatest(x, F.lit(0.0)))
+
+
+def parse_timers(spark, sf_dir):
+    """Logs of jobs, with an earlier pass before the last one, and their timers."""
+    from turnwise.sources import views
+
+    two = lambda c: F.format_string("%d.%02d", F.floor(F.col(c) / 100).cast("long"), (F.col(c) % 100).cast("long"))
+    line = lambda name, c: F.concat(F.lit(f"OfflineSpeakerDiarization: {name} "), two(c), F.lit(" s"))
+    total = F.concat(line("total", "diarization_cs"), F.lit(", audio "), two("audio_cs"), F.lit(" s, RTF "), two("export_cs"))
+    log = F.concat_ws("\n", F.lit("OfflineSpeakerDiarization: segmentation 9.75 s"), line("segmentation", "asr_cs"), F.upper(line("embedding", "overhead_cs")), F.lit("clustering 3 s"), total)
+    jobs = views.job_metrics(spark, sf_dir).withColumn("log", log)
+    return jobs.select("job_id", *(timer(F.col("log"), n).alias(n) for n in TIMERS))
+
+
+OWN = {
+    "parse_timers": (parse_timers, "SELECT job_id, asr_cs / 100.0::DOUBLE AS segmentation_seconds, NULL::DOUBLE AS clustering_seconds, overhead_cs / 100.0::DOUBLE AS embedding_seconds, diarization_cs / 100.0::DOUBLE AS sherpa_total_seconds, export_cs / 100.0::DOUBLE AS sherpa_rtf FROM job_metrics"),
+}
+
+
 def _stamp(ms: str, mark: str) -> str:
     part = lambda d, m: f"lpad(CAST(CAST(floor({ms} / {d}) AS BIGINT)" + (f" % {m}" if m else "") + " AS STRING), 2, '0')"
     return f"concat({part('3600000.0', '')}, ':', {part('60000.0', 60)}, ':', {part('1000.0', 60)}, '{mark}', lpad(CAST({ms} % 1000 AS STRING), 3, '0'))"
@@ -36,11 +75,11 @@ def _stamp(ms: str, mark: str) -> str:
 QUERIES = {
     "clean_text": Query(r"SELECT kind, id, trim(regexp_replace(text, '[ \n\t\r]+', ' ')) AS text FROM texts", duck=((r"regexp_replace(text, '[ \n\t\r]+', ' ')", r"regexp_replace(text, '[ \n\t\r]+', ' ', 'g')"),)),
     "format_timestamps": Query(f"SELECT source_id, seg_id, {_stamp('start_ms', ',')} AS srt, {_stamp('start_ms', '.')} AS vtt, substring({_stamp('start_ms', ',')}, 1, 8) AS simple FROM segments"),
-    "glossary_hotwords": Query(r"SELECT id, array_join(filter(transform(split(text, '[,;\n]+'), x -> trim(x)), x -> x <> ''), ', ') AS as_list, size(array_distinct(filter(transform(split(text, '[,;\n]+'), x -> trim(x)), x -> x <> ''))) AS n_hotwords FROM texts WHERE kind = 'benchmark'",
+    "glossary_hotwords": Query(r"SELECT kind, id, array_join(filter(transform(split(text, '[,;\n]+'), x -> trim(x)), x -> x <> ''), ', ') AS as_list, size(array_distinct(filter(transform(split(text, '[,;\n]+'), x -> trim(x)), x -> x <> ''))) AS n_hotwords FROM texts",
         duck=(("array_join(filter(transform(split(text, ", "array_to_string(list_filter(list_transform(regexp_split_to_array(text, "), ("size(array_distinct(filter(transform(split(text, ", "len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, "), ("x -> trim(x)", "lambda x: trim(x)"), ("x -> x <>", "lambda x: x <>"))),
-    "sentence_end": Query("SELECT source_id, seg_id, text RLIKE '[.!?…][\"”’)]*$' AS ends FROM segments", duck=(("text RLIKE '[.!?…][\"”’)]*$'", "regexp_matches(text, '[.!?…][\"”’)]*$')"),)),
+    "sentence_end": Query("SELECT source_id, seg_id, text RLIKE '[.!?…][\"\\x27”’)]*$' AS ends FROM segments", duck_sql="SELECT source_id, seg_id, right(rtrim(text, '\"''”’)'), 1) IN ('.', '!', '?', '…') AS ends FROM segments"),
     "sha256_content": Query("SELECT kind, id, sha2(text, 256) AS digest FROM texts", duck=(("sha2(text, 256)", "sha256(text)"),)),
-    "ext_filter": Query("SELECT page_id, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) AS ext, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in (*EXTENSIONS, ".html")) + ") AS known FROM pages"),
+    "ext_filter": Query("SELECT page_id, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) AS ext, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in EXTENSIONS) + ") AS known FROM pages"),
     "path_containment": Query("SELECT page_id, url LIKE 'http://blog.%' OR url LIKE 'https://blog.%' AS in_blog, startswith(url, concat('https://m.thther.example.org', '/')) OR url = 'https://m.thther.example.org' AS inside FROM pages", duck=(("startswith(", "starts_with("),)),
     "spanish_date": Query("SELECT event_id, concat(CAST(day(ts) AS STRING), ' de ', element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT)), ' de ', CAST(year(ts) AS STRING), ' ', lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0')) AS text FROM events",
         duck=(("element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT))", "string_split('" + ",".join(MONTHS) + "', ',')[month(ts)]"),)),
@@ -48,8 +87,5 @@ QUERIES = {
 SELECT doc_id, CASE WHEN k = 1 THEN concat(source, '.txt') ELSE concat(source, ' (', CAST(k AS STRING), ').txt') END AS name FROM n"""),
     "integrity_check": Query("""SELECT doc_id, CASE WHEN text = '' THEN 'missing' WHEN doc_id % 7 = 0 AND n_chars <> length(text) THEN 'size' WHEN doc_id % 5 = 0 AND substring(sha2(text, 256), 1, 1) IN ('0', '1') THEN 'hash' ELSE 'ok' END AS status FROM documents""", duck=(("sha2(text, 256)", "sha256(text)"),)),
     "identity_text": Query("""SELECT source_id, raw_speaker, concat(CAST(count(*) AS STRING), CASE WHEN count(*) = 1 THEN ' muestra' ELSE ' muestras' END, ', ', CASE WHEN sum(end_ms - start_ms) > 0 THEN CAST(CAST(floor(sum(end_ms - start_ms) / 1000.0) AS BIGINT) AS STRING) ELSE '—' END, ' s') AS text FROM turns GROUP BY source_id, raw_speaker"""),
-    "parse_timers": Query(r"""WITH l AS (SELECT event_id, concat('total: ', CAST(event_id % 9 AS STRING), '.5 s; total: ', CAST(event_id % 7 AS STRING), '.25 s; rtf: 0.', CAST(event_id % 90 + 10 AS STRING)) AS log FROM events)
-SELECT event_id, CAST(element_at(regexp_extract_all(log, 'total: ([0-9.]+)', 1), -1) AS DOUBLE) AS total, CAST(element_at(regexp_extract_all(log, 'rtf: ([0-9.]+)', 1), -1) AS DOUBLE) AS rtf FROM l""",
-        duck=(("element_at(regexp_extract_all(log, 'total: ([0-9.]+)', 1), -1)", "regexp_extract_all(log, 'total: ([0-9.]+)', 1)[-1]"), ("element_at(regexp_extract_all(log, 'rtf: ([0-9.]+)', 1), -1)", "regexp_extract_all(log, 'rtf: ([0-9.]+)', 1)[-1]"))),
     "json_parse_segments": Query("""SELECT event_id, get_json_object(props, '$.k') AS k, CASE WHEN event_type = 'error' THEN 'error' WHEN props IS NULL THEN 'cancelled' ELSE 'ok' END AS status FROM events""", duck=(("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),)),
 }

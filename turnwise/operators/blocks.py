@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.plans.query import Query
@@ -15,28 +15,32 @@ SENTENCE_END = r"""[.!?…]["'”’)]*$"""
 def reading_blocks(segments: DataFrame, speaker: str = "raw_speaker") -> DataFrame:
     """One row a block: block, start_ms, end_ms, speaker, text, segment_ids, means of the confidences and review_required.
 
-    Whether a segment opens a block depends on where the open block began, so a source is folded in order by `aggregate`,
-    with an accumulator that holds the open block's bounds and the numbers given so far. One source is one file's
-    transcript, which is small; sources are spread over the cluster."""
+    Whether a segment opens a block depends on where the open block began, so segments are folded in order by `aggregate`,
+    with an accumulator that holds the open block's bounds and the numbers given so far."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     rows = segments.withColumn("_t", text).where("_t <> ''").withColumn("_s", F.col(speaker))
-    seg = F.struct("start_ms", "end_ms", F.col("seg_id"), F.col("_s"), F.length("_t").alias("n"), F.col("_t").rlike(SENTENCE_END).alias("ends"))
-    lists = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(seg)).alias("l"))
+    order = Window.partitionBy("source_id").orderBy("start_ms", "end_ms", "seg_id")
+    # A new speaker or a pause opens a block whatever came before, so that only what lies between two of those is folded.
+    hard = F.row_number().over(order) == 1
+    hard = hard | ~F.col("_s").eqNullSafe(F.lag("_s").over(order)) | (F.col("start_ms") - F.lag("end_ms").over(order) >= PAUSE_MS)
+    rows = rows.withColumn("_hard", hard.cast("int")).withColumn("_isle", F.sum("_hard").over(order)).drop("_hard")
+    seg = F.struct("start_ms", "end_ms", F.col("seg_id"), F.length("_t").alias("n"), F.col("_t").rlike(SENTENCE_END).alias("ends"))
+    lists = rows.groupBy("source_id", "_isle").agg(F.array_sort(F.collect_list(seg)).alias("l"))
     empty = F.array().cast("array<struct<seg_id:bigint,block:int>>")
-    zero = F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("e"), F.lit(None).cast("int").alias("s"), F.lit(0).alias("n"), F.lit(False).alias("ends"), empty.alias("out"))
+    zero = F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("a"), F.lit(0).alias("n"), F.lit(False).alias("ends"), empty.alias("out"))
 
     def step(acc, x):
-        cut = (
-            (acc["block"] < 0) | ~acc["s"].eqNullSafe(x["_s"]) | (x["start_ms"] - acc["e"] >= PAUSE_MS) | (x["end_ms"] - acc["a"] > MAX_MS)
-            | (acc["n"] + 1 + x["n"] > MAX_CHARS) | (acc["ends"] & (acc["n"] >= SENTENCE_CHARS))
-        )
+        cut = (acc["block"] < 0) | (x["end_ms"] - acc["a"] > MAX_MS) | (acc["n"] + 1 + x["n"] > MAX_CHARS) | (acc["ends"] & (acc["n"] >= SENTENCE_CHARS))
         block = acc["block"] + cut.cast("int")
         return F.struct(
-            block.alias("block"), F.when(cut, x["start_ms"]).otherwise(acc["a"]).alias("a"), x["end_ms"].alias("e"), x["_s"].cast("int").alias("s"),
-            F.when(cut, x["n"]).otherwise(acc["n"] + 1 + x["n"]).alias("n"), x["ends"].alias("ends"), F.concat(acc["out"], F.array(F.struct(x["seg_id"].alias("seg_id"), block.alias("block")))).alias("out"),
+            block.alias("block"), F.when(cut, x["start_ms"]).otherwise(acc["a"]).alias("a"), F.when(cut, x["n"]).otherwise(acc["n"] + 1 + x["n"]).alias("n"), x["ends"].alias("ends"),
+            F.concat(acc["out"], F.array(F.struct(x["seg_id"].alias("seg_id"), block.alias("block")))).alias("out"),
         )
 
-    given = lists.select("source_id", F.explode(F.aggregate("l", zero, step, lambda acc: acc["out"])).alias("x")).select("source_id", "x.seg_id", "x.block")
+    lists = lists.select("source_id", "_isle", F.aggregate("l", zero, step).alias("f"))
+    before = Window.partitionBy("source_id").orderBy("_isle").rowsBetween(Window.unboundedPreceding, -1)
+    lists = lists.withColumn("_first", F.coalesce(F.sum(F.col("f.block") + 1).over(before), F.lit(0)))
+    given = lists.select("source_id", "_first", F.explode("f.out").alias("x")).select("source_id", "x.seg_id", (F.col("_first") + F.col("x.block")).cast("int").alias("block"))
     joined = rows.join(given, ["source_id", "seg_id"])
     ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_id", F.col("_t").alias("t"), F.col("_s").alias("s"))))
     out = joined.groupBy("source_id", "block").agg(ordered.alias("l"), *(F.avg(c).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")))
@@ -81,9 +85,4 @@ k AS (SELECT source_id AS s, raw_speaker AS r, row_number() OVER (PARTITION BY s
 SELECT source_id, seg_id, raw_speaker AS speaker_raw_id, place - 1 AS speaker_id, concat('Persona ', CAST(place AS STRING)) AS speaker FROM segments JOIN k ON source_id = s AND raw_speaker = r"""),
     "identity_display_join": Query("""WITH f AS (SELECT source_id, raw_speaker, min(seg_id) AS first FROM segments GROUP BY source_id, raw_speaker)
 SELECT t.source_id, t.turn_index, concat('Persona ', CAST(k.place AS STRING)) AS display_name FROM turns t LEFT JOIN (SELECT source_id, raw_speaker, row_number() OVER (PARTITION BY source_id ORDER BY first) AS place FROM f) k ON t.source_id = k.source_id AND t.raw_speaker = k.raw_speaker"""),
-    "speaker_count_snapshot": Query("""WITH a AS (SELECT source_id, count(DISTINCT raw_speaker) AS engine FROM turns WHERE end_ms > start_ms GROUP BY source_id),
-t AS (SELECT source_id, count(DISTINCT raw_speaker) AS text_speakers FROM segments WHERE seg_id % 2 = 0 GROUP BY source_id),
-u AS (SELECT source_id, count(DISTINCT raw_speaker) AS unassigned FROM turns g WHERE end_ms > start_ms AND NOT EXISTS (SELECT 1 FROM segments s WHERE s.source_id = g.source_id AND s.raw_speaker = g.raw_speaker AND s.seg_id % 2 = 0) GROUP BY source_id)
-SELECT a.source_id, coalesce(nullif(a.source_id % 4, 0), nullif(engine, 0), text_speakers, 0) AS raw, engine, coalesce(text_speakers, 0) AS text_speakers, coalesce(unassigned, 0) AS unassigned, engine <> coalesce(text_speakers, 0) AS mismatch
-FROM a LEFT JOIN t ON a.source_id = t.source_id LEFT JOIN u ON a.source_id = u.source_id"""),
 }

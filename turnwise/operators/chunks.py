@@ -11,9 +11,13 @@ SELECT source_id, dur, CASE WHEN dur > 300000 THEN CAST(greatest(1, ceil(greates
 m AS (SELECT *, chunk_start_ms + local_start_ms + CAST(floor(greatest(0, local_end_ms - local_start_ms) / 2.0) AS BIGINT) AS mid FROM chunk_segments JOIN n ON source_id = n_id)
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY chunk_start_ms + local_start_ms, seg_id) - 1 AS id, seg_id, chunk_idx, chunk_start_ms + local_start_ms AS start_ms, chunk_start_ms + local_end_ms AS end_ms, text
 FROM m WHERE (chunk_idx = 0 OR mid >= chunk_start_ms + 1000) AND (chunk_idx = last OR mid < chunk_start_ms + 89000)"""),
-    "token_to_word": Query("""WITH t AS (SELECT source_id, seg_id, word_idx, start_ms, end_ms, word, CASE WHEN word_idx % 3 = 0 THEN 1 ELSE 0 END AS fresh FROM words),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM t)
-SELECT source_id, seg_id, CAST(grp AS BIGINT) AS grp, min(start_ms) AS start_ms, max(end_ms) AS end_ms, array_join(transform(array_sort(collect_list(struct(word_idx, word))), x -> x.word), '') AS word FROM g GROUP BY source_id, seg_id, grp""", duck=(("array_join(transform(array_sort(collect_list(struct(word_idx, word))), x -> x.word), '')", "string_agg(word, '' ORDER BY word_idx)"),)),
+    # Tokens of three letters, the first of a word with its leading blank; a blank before a token ends the word before it.
+    "token_to_word": Query("""WITH p AS (SELECT source_id, seg_id, word_idx, start_ms, end_ms, word, explode(sequence(0, CAST(floor(greatest(length(word) - 1, 0) / 3.0) AS INT))) AS k FROM words),
+t AS (SELECT source_id, seg_id, word_idx * 1000L + k AS at, start_ms, end_ms, concat(CASE WHEN k = 0 THEN ' ' ELSE '' END, substring(word, 3 * k + 1, 3)) AS token FROM p),
+g AS (SELECT *, sum(CASE WHEN startswith(token, ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, seg_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM t),
+w AS (SELECT source_id, seg_id, run, min(start_ms) AS start_ms, max(end_ms) AS end_ms, trim(array_join(transform(array_sort(collect_list(struct(at, token))), x -> x.token), '')) AS word FROM g WHERE trim(token) <> '' GROUP BY source_id, seg_id, run)
+SELECT source_id, seg_id, CAST(row_number() OVER (PARTITION BY source_id, seg_id ORDER BY run) AS BIGINT) AS grp, start_ms, end_ms, word FROM w""",
+        duck_sql="SELECT source_id, seg_id, row_number() OVER (PARTITION BY source_id, seg_id ORDER BY word_idx) AS grp, start_ms, end_ms, word FROM words WHERE word <> ''"),
     "label_fill": Query("""WITH l AS (SELECT source_id, seg_id, word_idx, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE (seg_id + word_idx) % 3 END AS label FROM words)
 SELECT source_id, seg_id, word_idx, coalesce(label, first_value(label) IGNORE NULLS OVER n, last_value(label) IGNORE NULLS OVER p) AS label FROM l
 WINDOW n AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", duck=(("first_value(label) IGNORE NULLS", "first_value(label IGNORE NULLS)"), ("last_value(label) IGNORE NULLS", "last_value(label IGNORE NULLS)"))),

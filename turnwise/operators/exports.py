@@ -1,26 +1,155 @@
-"""Text exports of transcripts: one ordered text a source."""
+"""Text exports of transcripts: TXT and Markdown of reading blocks, SRT and WebVTT of segments, documents as JSON."""
 
 from __future__ import annotations
 
-from turnwise.functions.scalars import _stamp
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from turnwise.functions.scalars import clean_text, srt_stamp
+from turnwise.operators.blocks import BLOCKS_CTE, reading_blocks
 from turnwise.plans.query import Query
+from turnwise.sources import views
+
+
+def _text(df: DataFrame, entry: Column, order: str) -> DataFrame:
+    """source_id, text: the entries of a source in order, a blank line apart."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), entry.alias("t"))))
+    return df.groupBy("source_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("text"))
+
+
+def _ended(text: Column) -> Column:
+    return F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n"))
+
+
+def _simple(ms: Column) -> Column:
+    return F.substring(srt_stamp(ms), 1, 8)
+
+
+def txt(blocks: DataFrame, with_times: bool = True) -> DataFrame:
+    """blocks (source_id, block, start_ms, speaker name or null, text, review_required): a head line, the text, a blank line."""
+    time = F.concat(F.lit("["), _simple(F.col("start_ms")), F.lit("]")) if with_times else F.lit(None).cast("string")
+    head = F.concat_ws(" ", time, "speaker", F.when(F.col("review_required"), F.lit("[REVISAR]")))
+    entry = F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(F.lit("")), clean_text(F.col("text")), F.lit("\n"))
+    return _text(blocks, entry, "block").select("source_id", _ended(F.col("text")).alias("text"))
+
+
+def markdown(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """A document for each of files (source_id, file, model, language, audio_ms, processing_ms) with its blocks as for txt."""
+    head = F.concat(
+        F.lit("### ["), _simple(F.col("start_ms")), F.lit("]"), F.coalesce(F.concat(F.lit(" · **"), "speaker", F.lit("**")), F.lit("")),
+        F.when(F.col("review_required"), F.lit(" · ⚠ **REVISAR**")).otherwise(F.lit("")), F.lit("\n\n"), clean_text(F.col("text")), F.lit("\n"),
+    )
+    body = _text(blocks, head, "block")
+    speed = F.when(F.col("processing_ms") > 0, F.col("audio_ms") / F.col("processing_ms")).otherwise(F.lit(0.0))
+    lines = [
+        F.concat(F.lit("# Transcripción: "), F.regexp_extract("file", r"([^/]*)$", 1)), F.lit(""), F.concat(F.lit("- **Modelo:** "), "model"),
+        F.concat(F.lit("- **Idioma:** "), F.when(F.coalesce("language", F.lit("")) != "", F.col("language")).otherwise(F.lit("auto"))),
+        F.concat(F.lit("- **Duración:** "), _simple(F.col("audio_ms"))), F.concat(F.lit("- **Procesamiento:** "), _simple(F.col("processing_ms"))),
+        F.concat(F.lit("- **Velocidad:** "), F.format_string("%.2f", speed), F.lit("× tiempo real")), F.lit(""), F.lit("## Transcripción"), F.lit(""), F.coalesce("text", F.lit("")),
+    ]
+    return files.join(body, "source_id", "left").select("source_id", _ended(F.concat_ws("\n", *lines)).alias("text"))
+
+
+def _cue(mark: str) -> Column:
+    name = F.coalesce(F.concat("speaker", F.lit(": ")), F.lit(""))
+    return F.concat(srt_stamp(F.col("start_ms"), mark), F.lit(" --> "), srt_stamp(F.col("end_ms"), mark), F.lit("\n"), name, clean_text(F.col("text")), F.lit("\n"))
+
+
+def srt(segments: DataFrame) -> DataFrame:
+    """segments (source_id, place from 0, start_ms, end_ms, speaker name or null, text): numbered cues."""
+    return _text(segments, F.concat((F.col("place") + 1).cast("string"), F.lit("\n"), _cue(",")), "place")
 
 
-def _joined(item: str, mark: str, order: str, table: str) -> Query:
-    spark = f"array_join(transform(array_sort(collect_list(struct({order}, {item} AS t))), x -> x.t), '{mark}')"
-    return Query(f"SELECT source_id, {spark} AS text FROM {table} GROUP BY source_id", duck=((spark, f"string_agg({item}, '{mark}' ORDER BY {order})"),))
+def vtt(segments: DataFrame) -> DataFrame:
+    """As srt, but without numbers and after the format's head line."""
+    return _text(segments, _cue("."), "place").select("source_id", F.concat(F.lit("WEBVTT\n\n"), "text").alias("text"))
 
 
-_A, _B, _V, _W = (_stamp(c, m) for c, m in (("start_ms", ","), ("end_ms", ","), ("start_ms", "."), ("end_ms", ".")))
-_NAME = "concat('Persona ', CAST(raw_speaker + 1 AS STRING))"
+def _named_segments(spark, sf_dir) -> DataFrame:
+    return views.segments(spark, sf_dir).select("source_id", F.col("seg_id").alias("place"), "start_ms", "end_ms", "text", F.concat(F.lit("Persona "), (F.col("raw_speaker") + 1).cast("string")).alias("speaker"))
+
+
+def _named_blocks(spark, sf_dir) -> DataFrame:
+    return reading_blocks(views.segments(spark, sf_dir)).withColumn("speaker", F.concat(F.lit("Persona "), (F.col("speaker") + 1).cast("string")))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    sizes = views.segments(spark, sf_dir).groupBy("source_id").agg(F.max("end_ms").alias("audio_ms"), (F.count("*") * 700).alias("processing_ms"))
+    return sizes.select("source_id", F.concat(F.lit("/audio/file-"), F.col("source_id").cast("string"), F.lit(".wav")).alias("file"), F.lit("small").alias("model"), F.lit("").alias("language"), "audio_ms", "processing_ms")
+
+
+def document(blocks: DataFrame, segments: DataFrame, files: DataFrame) -> DataFrame:
+    """source_id, document: one JSON document of version 8 a source, with its segments, blocks, speakers and times."""
+    listed = lambda df, name, order, *columns: df.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), *columns))).alias(name))
+    seconds = lambda c: F.round(F.col(c) / 1000.0, 3).alias(c.replace("_ms", ""))
+    own = listed(segments, "segments", "place", seconds("start_ms"), seconds("end_ms"), clean_text(F.col("text")).alias("text"), "speaker")
+    read = listed(blocks, "blocks", "block", seconds("start_ms"), seconds("end_ms"), "speaker", "text", "segment_ids", "review_required")
+    voices = segments.groupBy("source_id", "speaker").agg(F.count("*").alias("segments"), F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0, 3).alias("seconds")).where("speaker is not null")
+    voices = voices.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "segments", "seconds"))).alias("speakers"))
+    joined = files.join(own, "source_id", "left").join(read, "source_id", "left").join(voices, "source_id", "left")
+    whole = F.struct(
+        F.lit(8).alias("schema_version"), F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "model", F.coalesce("language", F.lit("")).alias("language"), F.array_join(F.transform("segments", lambda s: s["text"]), " ").alias("text"), "segments", "blocks", "speakers",
+        F.struct(F.round(F.col("audio_ms") / 1000.0, 3).alias("audio_seconds"), F.round(F.col("processing_ms") / 1000.0, 3).alias("processing_seconds")).alias("metrics"),
+    )
+    return joined.select("source_id", F.to_json(whole).alias("document"))
+
+
+#: How a document reads back.
+DOCUMENT = "schema_version INT, text STRING, segments ARRAY<STRUCT<id: BIGINT, start: DOUBLE, end: DOUBLE, text: STRING, speaker: STRING>>, blocks ARRAY<STRUCT<id: BIGINT, review_required: BOOLEAN>>, speakers ARRAY<STRUCT<speaker: STRING, segments: BIGINT, seconds: DOUBLE>>, metrics STRUCT<audio_seconds: DOUBLE, processing_seconds: DOUBLE>"
+
+
+def read_documents(documents: DataFrame) -> DataFrame:
+    """source_id, doc, status of documents (source_id, document): ok, missing (null or blank) or corrupt (no JSON of a document)."""
+    doc = F.from_json("document", DOCUMENT)
+    status = F.when(F.trim(F.coalesce("document", F.lit(""))) == "", "missing").when(doc["schema_version"].isNull(), "corrupt").otherwise("ok")
+    return documents.select("source_id", F.when(status == "ok", doc).alias("doc"), status.alias("status"))
+
+
+def json_document_query(spark, sf_dir):
+    docs = document(_named_blocks(spark, sf_dir), _named_segments(spark, sf_dir), _files(spark, sf_dir))
+    return read_documents(docs).select(
+        "source_id", "status", F.col("doc.schema_version").alias("schema_version"), F.col("doc.text").alias("text"), F.size("doc.segments").cast("long").alias("n_segments"), F.size("doc.blocks").cast("long").alias("n_blocks"),
+        F.size(F.filter("doc.blocks", lambda b: b["review_required"])).cast("long").alias("n_review"), F.array_join(F.transform("doc.speakers", lambda s: F.concat(s["speaker"], F.lit("="), s["segments"].cast("string"))), ",").alias("speakers"),
+        F.col("doc.metrics.audio_seconds").alias("audio_seconds"),
+    )
+
+
+_DUCK_STAMP = "printf('%02d:%02d:%02d{}%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
+_stamp = lambda c, mark: _DUCK_STAMP.format(mark, c=c)
+_HM = "printf('%02d:%02d:%02d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60)"
+_hm = lambda c: _HM.format(c=c)
+_CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_B = f"WITH RECURSIVE {BLOCKS_CTE}"
+OWN = {
+    "export_txt": (
+        lambda spark, sf_dir: txt(_named_blocks(spark, sf_dir)),
+        f"{_B} SELECT source_id, rtrim(string_agg('[' || {_hm('start_ms')} || '] Persona ' || (speaker + 1) || CASE WHEN review_required THEN ' [REVISAR]' ELSE '' END || chr(10) || text || chr(10), chr(10) ORDER BY block), chr(10)) || chr(10) AS text FROM blocks GROUP BY source_id",
+    ),
+    "export_md": (
+        lambda spark, sf_dir: markdown(_named_blocks(spark, sf_dir), _files(spark, sf_dir)),
+        f"""{_B}, f AS (SELECT source_id, max(end_ms) AS a, count(*) * 700 AS p FROM segments GROUP BY source_id),
+m AS (SELECT source_id, string_agg('### [' || {_hm('start_ms')} || '] · **Persona ' || (speaker + 1) || '**' || CASE WHEN review_required THEN ' · ⚠ **REVISAR**' ELSE '' END || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY block) AS body FROM blocks GROUP BY source_id)
+SELECT source_id, rtrim('# Transcripción: file-' || source_id || '.wav' || chr(10) || chr(10) || '- **Modelo:** small' || chr(10) || '- **Idioma:** auto' || chr(10) || '- **Duración:** ' || {_hm('a')} || chr(10) || '- **Procesamiento:** ' || {_hm('p')} || chr(10)
+  || '- **Velocidad:** ' || printf('%.2f', a / p) || '× tiempo real' || chr(10) || chr(10) || '## Transcripción' || chr(10) || chr(10) || coalesce(body, ''), chr(10)) || chr(10) AS text FROM f LEFT JOIN m USING (source_id)""",
+    ),
+    "export_srt": (
+        lambda spark, sf_dir: srt(_named_segments(spark, sf_dir)),
+        f"SELECT source_id, string_agg((seg_id + 1) || chr(10) || {_stamp('start_ms', ',')} || ' --> ' || {_stamp('end_ms', ',')} || chr(10) || 'Persona ' || (raw_speaker + 1) || ': ' || {_CLEAN} || chr(10), chr(10) ORDER BY seg_id) AS text FROM segments GROUP BY source_id",
+    ),
+    "export_vtt": (
+        lambda spark, sf_dir: vtt(_named_segments(spark, sf_dir)),
+        f"SELECT source_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_stamp('start_ms', '.')} || ' --> ' || {_stamp('end_ms', '.')} || chr(10) || 'Persona ' || (raw_speaker + 1) || ': ' || {_CLEAN} || chr(10), chr(10) ORDER BY seg_id) AS text FROM segments GROUP BY source_id",
+    ),
+    "json_document": (
+        json_document_query,
+        rf"""{_B}, sp AS (SELECT source_id, 'Persona ' || (raw_speaker + 1) AS name, count(*) AS n FROM segments GROUP BY ALL), v AS (SELECT source_id, string_agg(name || '=' || n, ',' ORDER BY name) AS speakers FROM sp GROUP BY source_id),
+bl AS (SELECT source_id, count(*) AS n_blocks, count(*) FILTER (review_required) AS n_review FROM blocks GROUP BY source_id), sg AS (SELECT source_id, string_agg({_CLEAN}, ' ' ORDER BY seg_id) AS text, count(*) AS n_segments, round(max(end_ms) / 1000.0::DOUBLE, 3) AS audio_seconds FROM segments GROUP BY source_id)
+SELECT source_id, 'ok' AS status, 8 AS schema_version, text, n_segments, n_blocks, n_review, speakers, audio_seconds FROM sg JOIN bl USING (source_id) JOIN v USING (source_id)""",
+    ),
+}
 QUERIES = {
-    "export_txt": _joined(f"concat('[', substring({_A}, 1, 8), '] ', {_NAME}, CASE WHEN avg_logprob < -1.0 OR no_speech_prob > 0.6 OR compression_ratio > 2.4 THEN ' [REVISAR]' ELSE '' END, chr(10), text)", "||", "seg_id", "segments"),
-    "export_md": _joined(f"concat('### ', {_NAME}, ' · ', substring({_A}, 1, 8), chr(10), chr(10), text)", "||", "seg_id", "segments"),
-    "export_srt": _joined(f"concat(CAST(seg_id + 1 AS STRING), chr(10), {_A}, ' --> ', {_B}, chr(10), {_NAME}, ': ', text, chr(10))", "|", "seg_id", "segments"),
-    "export_vtt": _joined(f"concat({_V}, ' --> ', {_W}, chr(10), {_NAME}, ': ', text, chr(10))", "|", "seg_id", "segments"),
     "report_rows": Query("""WITH t AS (SELECT source_id, count(*) AS segments, count(DISTINCT raw_speaker) AS speakers, max(end_ms) AS audio_ms FROM segments GROUP BY source_id)
 SELECT source_id, 'Segmentos' AS label, CAST(segments AS STRING) AS value FROM t UNION ALL SELECT source_id, 'Hablantes', CAST(speakers AS STRING) FROM t UNION ALL SELECT source_id, 'Audio (s)', CAST(CAST(floor(audio_ms / 1000.0) AS BIGINT) AS STRING) FROM t"""),
-    "json_document": Query("""SELECT source_id, concat('{"schema_version":8,"segments":', CAST(count(*) AS STRING), ',"flagged":', CAST(sum(CASE WHEN avg_logprob < -1.0 THEN 1 ELSE 0 END) AS STRING), ',"speakers":', CAST(count(DISTINCT raw_speaker) AS STRING), '}') AS document FROM segments GROUP BY source_id"""),
     # Persisted documents: written as JSON, read back by schema; a document without its original text counts as absent.
     "json_roundtrip": Query("""WITH d AS (SELECT source_id, to_json(named_struct('original', array_join(transform(array_sort(collect_list(struct(seg_id, text AS t))), x -> x.t), ' '), 'segments', transform(array_sort(collect_list(struct(seg_id, start_ms, end_ms, text AS t))), x -> named_struct('startMs', x.start_ms, 'endMs', x.end_ms, 'text', x.t)))) AS body FROM segments GROUP BY source_id),
 p AS (SELECT source_id, from_json(body, 'original STRING, segments ARRAY<STRUCT<startMs: BIGINT, endMs: BIGINT, text: STRING>>') AS j FROM d)

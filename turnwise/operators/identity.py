@@ -5,7 +5,8 @@ join of turns with the prototypes of their source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from turnwise.plans.query import Query, over
 from turnwise.plans.shared import written
@@ -131,12 +132,38 @@ def refine_identities_v52(spark, sf_dir):
 
 
 _RECOUNT = "source_id, count(DISTINCT was) AS speakers_before, count(DISTINCT speaker) AS speakers_after, CAST(sum(CASE WHEN was <> speaker THEN 1 ELSE 0 END) AS BIGINT) AS reassigned_turns"
+def scan_candidates(turns: DataFrame, most: int = 4, least_ms: int = 18_000) -> DataFrame:
+    """source_id, turn_index, place: the longest turns of a source, of 18 s at least, that others overlap by 15 % at most."""
+    from turnwise.operators.intervals import overlap_ratio
+
+    ratio = overlap_ratio(turns).where("overlap_ratio <= 0.15").select("source_id", "turn_index")
+    order = Window.partitionBy("source_id").orderBy(F.desc(F.col("end_ms") - F.col("start_ms")), "turn_index")
+    found = turns.where(F.col("end_ms") - F.col("start_ms") >= least_ms).join(ratio, ["source_id", "turn_index"], "left_semi")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("source_id", "turn_index", "place")
+
+
+def scan_candidates_query(spark, sf_dir):
+    """Every fifth embedded turn starts 5 s before the end of the one before it, so that some overlap; of the transcripts' turns too."""
+    e = views.turn_embeddings(spark, sf_dir)
+    early = F.when(F.col("turn_index") % 5 == 4, F.greatest(F.lit(0), F.col("start_ms") - 5000)).otherwise(F.col("start_ms"))
+    own = e.select("source_id", "turn_index", early.cast("long").alias("start_ms"), "end_ms", F.col("speaker").alias("raw_speaker"))
+    return scan_candidates(own)
+
+
+SCAN_ORACLE = """WITH t AS (SELECT source_id, turn_index, CASE WHEN turn_index % 5 = 4 THEN greatest(0, start_ms - 5000) ELSE start_ms END AS a, end_ms AS b, speaker FROM turn_embeddings),
+o AS (SELECT x.source_id, x.turn_index, x.b - x.a AS d, coalesce(sum(least(x.b, y.b) - greatest(x.a, y.a)) FILTER (y.source_id IS NOT NULL), 0) AS o FROM t x LEFT JOIN t y ON x.source_id = y.source_id AND x.speaker <> y.speaker AND y.a < x.b AND y.b > x.a WHERE x.b - x.a >= 18000 GROUP BY ALL)
+SELECT source_id, turn_index, place FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY d DESC, turn_index)::INTEGER AS place FROM o WHERE round(least(1, o / d), 6) <= 0.15) WHERE place <= 4"""
+
 OWN = {
+    "scan_candidates": (scan_candidates_query, SCAN_ORACLE),
     "refine_identities": (refine_identities, f"WITH {_Dialect(False).refined(3)} SELECT source_id, turn_index, was AS from_speaker, speaker AS to_speaker, was <> speaker AS reassigned FROM e3"),
     "refine_identities_v52": (refine_identities_v52, f"WITH {_Dialect(False).refined(4)} SELECT {_RECOUNT} FROM e4 GROUP BY source_id"),
 }
 QUERIES = {
-    "vec_normalize": _both(lambda d: f"SELECT source_id, turn_index, round(sqrt({d.dot('embedding', 'embedding')}), 6) AS norm, round({d.at('embedding', 0)}, 6) AS first FROM turn_embeddings"),
+    "vec_normalize": Query("""WITH v AS (SELECT vec_id, transform(embedding, x -> CAST(x AS DOUBLE) * (vec_id % 5)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(aggregate(v, CAST(0 AS DOUBLE), (s, x) -> s + x * x)) AS norm FROM v)
+SELECT vec_id, round(norm, 6) AS norm, CASE WHEN norm > 0 AND norm < double('Infinity') THEN array_join(transform(slice(v, 1, 3), x -> CAST(CAST(round(x / norm * 10000) AS BIGINT) AS STRING)), ',') END AS unit FROM n""",
+        duck_sql="""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS v FROM embeddings)
+SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, CASE WHEN vec_id % 5 > 0 THEN array_to_string(list_transform(v[1:3], lambda x: round(x / sqrt(list_inner_product(v, v)) * 10000)::BIGINT), ',') END AS unit FROM v"""),
     "cosine_pairs": _both(lambda d: f"SELECT a.source_id, a.turn_index, round({d.sim('a.embedding', 'b.embedding')}, 6) AS cosine FROM turn_embeddings a JOIN turn_embeddings b ON a.source_id = b.source_id AND b.turn_index = a.turn_index + 1"),
     "pair_similarity": _both(lambda d: f"WITH {_E0}, {d.pairs('q', 'e0')} SELECT source_id, speaker, round(pair, 6) AS pair, suspect FROM q"),
     "prototypes": _both(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')} SELECT source_id, speaker, medoid_index, n, round({d.at('proto', 0)}, 6) AS p0, round({d.at('proto', 1)}, 6) AS p1 FROM p"),
@@ -148,8 +175,11 @@ SELECT source_id, low, medium, insufficient, warnings, CASE WHEN low > 0 THEN 'b
     "embedding_sampling": Query(f"""WITH {_E0}, o AS (SELECT source_id, turn_index, speaker, end_ms - start_ms AS d, row_number() OVER (PARTITION BY source_id, speaker ORDER BY start_ms) AS f, row_number() OVER (PARTITION BY source_id, speaker ORDER BY start_ms DESC) AS l, row_number() OVER (PARTITION BY source_id, speaker ORDER BY end_ms - start_ms DESC, turn_index) AS g FROM e0),
 c AS (SELECT *, row_number() OVER (PARTITION BY source_id, speaker ORDER BY CASE WHEN f = 1 THEN 0 WHEN l = 1 THEN 1 ELSE 2 END, g) AS pick FROM o),
 t AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY d DESC, speaker, turn_index) AS place FROM c WHERE pick <= 8) SELECT source_id, turn_index, speaker FROM t WHERE place <= 64"""),
-    "embedding_cache_stats": Query("SELECT source_id, count(*) AS asked, count(DISTINCT CAST(floor((end_ms - start_ms) / 1000.0) AS BIGINT)) AS computed, count(*) - count(DISTINCT CAST(floor((end_ms - start_ms) / 1000.0) AS BIGINT)) AS hits FROM turn_embeddings GROUP BY source_id"),
-    "scan_candidates": Query("""SELECT source_id, turn_index, place FROM (SELECT source_id, turn_index, row_number() OVER (PARTITION BY source_id ORDER BY end_ms - start_ms DESC, turn_index) AS place FROM turn_embeddings WHERE end_ms - start_ms >= 18000) x WHERE place <= 4"""),
+    # Intervals are asked for once by the precheck (turns under 18 s) and once by the last pass (all turns); keys are bounds in ms.
+    "embedding_cache_stats": Query("""WITH asks AS (SELECT source_id, start_ms, end_ms FROM turn_embeddings WHERE end_ms - start_ms < 18000 UNION ALL SELECT source_id, start_ms, end_ms FROM turn_embeddings),
+k AS (SELECT source_id, start_ms, end_ms, count(*) AS n FROM asks GROUP BY source_id, start_ms, end_ms)
+SELECT source_id, CAST(sum(n) AS BIGINT) AS asked, CAST(sum(n - 1) AS BIGINT) AS cache_hits, CAST(sum(CASE WHEN end_ms - start_ms >= 800 THEN 1 ELSE 0 END) AS BIGINT) AS embedding_calls FROM k GROUP BY source_id""",
+        duck_sql="SELECT source_id, count(*) + count(*) FILTER (end_ms - start_ms < 18000) AS asked, count(*) FILTER (end_ms - start_ms < 18000) AS cache_hits, count(*) FILTER (end_ms - start_ms >= 800) AS embedding_calls FROM turn_embeddings GROUP BY source_id"),
     "long_turn_probe": _both(lambda d: f"""WITH {_E0}, {d.prototypes('p', 'e0')}, l AS (SELECT source_id, turn_index, speaker FROM turn_embeddings WHERE end_ms - start_ms >= 18000),
 w AS (SELECT l.source_id, l.turn_index, l.speaker, e.turn_index AS w_index, e.embedding FROM l JOIN turn_embeddings e ON l.source_id = e.source_id AND e.turn_index >= l.turn_index AND e.turn_index < l.turn_index + 3),
 c AS (SELECT w.source_id, w.turn_index, count(*) AS windows, min({d.sim('w.embedding', 'p.proto')}) AS lowest, count(p.speaker) AS sims FROM w LEFT JOIN p ON w.source_id = p.source_id AND w.speaker = p.speaker GROUP BY w.source_id, w.turn_index),

@@ -92,15 +92,18 @@ SELECT w.source_id, w.seg_id, w.word_idx, w.word, coalesce(o.s, n.s) AS speaker
 
 
 def segment_fallback_align(spark, sf_dir):
-    """Segments without timed words are aligned by their own bounds; here every third one."""
+    """Every segment: by its timed words where it has some, else by its own bounds. Here words of under 0.12 s count as not timed."""
     from turnwise.sources import views
 
-    found = views.segments(spark, sf_dir).where("seg_id % 3 = 0").select("source_id", "seg_id", "start_ms", "end_ms")
-    return assign_speakers(found, views.turns(spark, sf_dir), ["source_id", "seg_id"], nearest_ms=650).select("source_id", "seg_id", "speaker")
+    words = views.words(spark, sf_dir).where("end_ms - start_ms >= 120").groupBy("source_id", "seg_id").agg(F.count("*").alias("timed_words"))
+    every = views.segments(spark, sf_dir).select("source_id", "seg_id", "start_ms", "end_ms").join(words, ["source_id", "seg_id"], "left")
+    bare = assign_speakers(every.where("timed_words is null"), views.turns(spark, sf_dir), ["source_id", "seg_id"], nearest_ms=650).select("source_id", "seg_id", F.lit("segment").alias("branch"), F.lit(0).cast("long").alias("timed_words"), "speaker")
+    return every.where("timed_words is not null").select("source_id", "seg_id", F.lit("words").alias("branch"), "timed_words", F.lit(None).cast("int").alias("speaker")).unionByName(bare)
 
 
-FALLBACK_ORACLE = f"""WITH {_duck_speakers('(SELECT * FROM segments WHERE seg_id % 3 = 0)', 'source_id, seg_id', 1300)}
-SELECT g.source_id, g.seg_id, coalesce(o.s, n.s) AS speaker FROM item g LEFT JOIN overlap o USING (source_id, seg_id) LEFT JOIN near n USING (source_id, seg_id)"""
+FALLBACK_ORACLE = f"""WITH timed AS (SELECT source_id, seg_id, count(*) AS timed_words FROM words WHERE end_ms - start_ms >= 120 GROUP BY ALL), {_duck_speakers('(SELECT * FROM segments ANTI JOIN timed USING (source_id, seg_id))', 'source_id, seg_id', 1300)}
+SELECT source_id, seg_id, 'words' AS branch, timed_words, NULL::INTEGER AS speaker FROM timed
+UNION ALL SELECT g.source_id, g.seg_id, 'segment', 0, coalesce(o.s, n.s) FROM item g LEFT JOIN overlap o USING (source_id, seg_id) LEFT JOIN near n USING (source_id, seg_id)"""
 
 #: Runs of one speaker, cut again where a pause is longer than the gap: a table of merged turns.
 MERGE = """run AS (SELECT *, sum(CASE WHEN prev = raw_speaker THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index) AS run
@@ -113,7 +116,7 @@ QUERIES = {
     "valid_turns": Query("SELECT source_id, turn_index, start_ms, end_ms, raw_speaker, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index) - 1 AS place FROM turns WHERE end_ms > start_ms"),
     "merge_turns": Query(f"WITH {MERGE.format(gap=550)} SELECT * FROM merged"),
     "speech_regions": Query("""WITH dur AS (SELECT source_id AS d_id, max(end_ms) + 5000 AS d FROM segments GROUP BY source_id),
-pad AS (SELECT source_id, d, greatest(0, start_ms - 350) AS a, least(d, end_ms + 350) AS b FROM segments JOIN dur ON source_id = d_id WHERE trim(text) <> '' AND seg_id % 4 < 2),
+pad AS (SELECT source_id, d, greatest(0, start_ms - 350) AS a, least(d, end_ms + 350) AS b FROM segments JOIN dur ON source_id = d_id WHERE trim(text) <> ''),
 cut AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 600 THEN 0 ELSE 1 END AS fresh FROM pad WHERE b > a),
 isle AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM cut),
 zone AS (SELECT source_id, d, isle, min(a) AS a, max(b) AS b FROM isle GROUP BY source_id, d, isle),
@@ -122,7 +125,22 @@ SELECT source_id, audio_ms, regions, speech_ms, round(speech_ms / audio_ms, 6) A
   CASE WHEN regions < 2 THEN 'una_sola_region' WHEN speech_ms < 8000 THEN 'muy_poca_voz' WHEN 100 * speech_ms >= 88 * audio_ms THEN 'ahorro_insuficiente' ELSE 'ok' END AS reason FROM total"""),
     "concat_layout": Query("""SELECT source_id, turn_index, start_ms AS original_start, end_ms AS original_end, CAST(at0 AS BIGINT) AS concat_start, CAST(at0 + end_ms - start_ms AS BIGINT) AS concat_end FROM (
   SELECT *, coalesce(sum(end_ms - start_ms + 250) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM turns WHERE end_ms > start_ms) x"""),
-    "region_remap": Query("""WITH piece AS (SELECT source_id, turn_index, start_ms AS o0, at0 AS c0, at0 + end_ms - start_ms AS c1 FROM (
+    "speaker_gaps": Query("""SELECT source_id, raw_speaker, count(*) AS turns, CAST(coalesce(max(gap), 0) AS BIGINT) AS max_gap_ms FROM (
+  SELECT *, greatest(0, lead(start_ms) OVER (PARTITION BY source_id, raw_speaker ORDER BY start_ms, end_ms, turn_index) - end_ms) AS gap FROM turns WHERE end_ms > start_ms) x GROUP BY source_id, raw_speaker"""),
+    "range_scan_window": Query("SELECT source_id, seg_id, greatest(start_ms, 30000) AS start_ms, least(end_ms, 90000) AS end_ms, text FROM segments WHERE start_ms < 90000 AND end_ms > 30000"),
+    "sub_windows": Query("""WITH n AS (SELECT source_id, turn_index, start_ms, end_ms, greatest(1, least(6, CAST(floor((end_ms - start_ms) / 1500.0) AS INT))) AS n FROM turns WHERE end_ms - start_ms >= 1500),
+w AS (SELECT *, explode(sequence(0, n - 1)) AS k FROM n)
+SELECT source_id, turn_index, CAST(k AS INT) AS k, CAST(CASE WHEN n = 1 THEN start_ms + floor((end_ms - start_ms - 1500) / 2.0) ELSE start_ms + floor((end_ms - start_ms - 1500) * k / (n - 1.0)) END AS BIGINT) AS window_start FROM w""", duck=(("explode(sequence(0, n - 1))", "unnest(range(0, n))"),)),
+}
+
+_PIECES = """piece AS (SELECT source_id, turn_index, start_ms AS o0, at0 AS start_ms, at0 + end_ms - start_ms AS end_ms FROM (
+  SELECT *, CAST(coalesce(sum(end_ms - start_ms + 250) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at0 FROM turns WHERE end_ms > start_ms) x)"""
+_MERGED_HITS = """run AS (SELECT *, sum(CASE WHEN prev = raw_speaker THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY a, b, raw_speaker ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM (SELECT *, lag(raw_speaker) OVER (PARTITION BY source_id ORDER BY a, b, raw_speaker) AS prev FROM hit) y),
+cut AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id, run ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 200 THEN 0 ELSE 1 END AS fresh FROM run),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, run ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM cut)
+SELECT source_id, raw_speaker, CAST(min(a) AS BIGINT) AS start_ms, CAST(max(b) AS BIGINT) AS end_ms FROM isle GROUP BY source_id, raw_speaker, run, isle"""
+REMAP_ORACLE = """WITH piece AS (SELECT source_id, turn_index, start_ms AS o0, at0 AS c0, at0 + end_ms - start_ms AS c1 FROM (
   SELECT *, coalesce(sum(end_ms - start_ms + 250) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM turns WHERE end_ms > start_ms) x),
 hit AS (SELECT s.source_id, s.raw_speaker, greatest(s.start_ms, p.c0) - p.c0 + p.o0 AS a, least(s.end_ms, p.c1) - p.c0 + p.o0 AS b
   FROM segments s JOIN piece p ON s.source_id = p.source_id AND s.start_ms < p.c1 AND s.end_ms > p.c0 WHERE least(s.end_ms, p.c1) - greatest(s.start_ms, p.c0) >= 50),
@@ -130,14 +148,37 @@ run AS (SELECT *, sum(CASE WHEN prev = raw_speaker THEN 0 ELSE 1 END) OVER (PART
   FROM (SELECT *, lag(raw_speaker) OVER (PARTITION BY source_id ORDER BY a, b, raw_speaker) AS prev FROM hit) y),
 cut AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id, run ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 200 THEN 0 ELSE 1 END AS fresh FROM run),
 isle AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, run ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM cut)
-SELECT source_id, raw_speaker, CAST(min(a) AS BIGINT) AS start_ms, CAST(max(b) AS BIGINT) AS end_ms FROM isle GROUP BY source_id, raw_speaker, run, isle"""),
-    "overlap_ratio": Query("""SELECT a.source_id, a.turn_index, round(least(1.0, coalesce(sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)), 0) / max(a.end_ms - a.start_ms)), 6) AS overlap_ratio
+SELECT source_id, raw_speaker, CAST(min(a) AS BIGINT) AS start_ms, CAST(max(b) AS BIGINT) AS end_ms FROM isle GROUP BY source_id, raw_speaker, run, isle"""
+RATIO_ORACLE = """SELECT a.source_id, a.turn_index, round(least(1.0, coalesce(sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) FILTER (b.source_id IS NOT NULL), 0) / max(a.end_ms - a.start_ms)), 6) AS overlap_ratio
 FROM turns a LEFT JOIN turns b ON a.source_id = b.source_id AND a.raw_speaker <> b.raw_speaker AND b.end_ms > b.start_ms AND b.start_ms < a.end_ms AND b.end_ms > a.start_ms
-WHERE a.end_ms > a.start_ms GROUP BY a.source_id, a.turn_index"""),
-    "speaker_gaps": Query("""SELECT source_id, raw_speaker, count(*) AS turns, CAST(coalesce(max(gap), 0) AS BIGINT) AS max_gap_ms FROM (
-  SELECT *, greatest(0, lead(start_ms) OVER (PARTITION BY source_id, raw_speaker ORDER BY start_ms, end_ms, turn_index) - end_ms) AS gap FROM turns WHERE end_ms > start_ms) x GROUP BY source_id, raw_speaker"""),
-    "range_scan_window": Query("SELECT source_id, seg_id, greatest(start_ms, 30000) AS start_ms, least(end_ms, 90000) AS end_ms, text FROM segments WHERE start_ms < 90000 AND end_ms > 30000"),
-    "sub_windows": Query("""WITH n AS (SELECT source_id, turn_index, start_ms, end_ms, greatest(1, least(6, CAST(floor((end_ms - start_ms) / 1500.0) AS INT))) AS n FROM turns WHERE end_ms - start_ms >= 1500),
-w AS (SELECT *, explode(sequence(0, n - 1)) AS k FROM n)
-SELECT source_id, turn_index, CAST(k AS INT) AS k, CAST(CASE WHEN n = 1 THEN start_ms + floor((end_ms - start_ms - 1500) / 2.0) ELSE start_ms + floor((end_ms - start_ms - 1500) * k / (n - 1.0)) END AS BIGINT) AS window_start FROM w""", duck=(("explode(sequence(0, n - 1))", "unnest(range(0, n))"),)),
-}
+WHERE a.end_ms > a.start_ms GROUP BY a.source_id, a.turn_index"""
+
+
+def region_remap(spark, sf_dir):
+    """What was heard in a row of regions laid end to end, put back to where the regions were; a piece under 50 ms is dropped."""
+    from turnwise.plans.query import over
+    from turnwise.sources import views
+
+    pieces = over(spark, f"WITH {_PIECES} SELECT * FROM piece", {"turns": views.turns(spark, sf_dir)})
+    met = bucketed_overlap(views.segments(spark, sf_dir).select("source_id", "start_ms", "end_ms", "raw_speaker"), pieces, "source_id", 60_000)
+    a, b, shift = F.greatest("start_ms", "r_start_ms"), F.least("end_ms", "r_end_ms"), F.col("r_o0") - F.col("r_start_ms")
+    hits = met.where((b - a >= 50) & (F.col("start_ms") < F.col("r_end_ms")) & (F.col("end_ms") > F.col("r_start_ms"))).select("source_id", "raw_speaker", (a + shift).alias("a"), (b + shift).alias("b"))
+    return over(spark, f"WITH {_MERGED_HITS}", {"hit": hits})
+
+
+def overlap_ratio(turns: DataFrame) -> DataFrame:
+    """source_id, turn_index, overlap_ratio of every valid turn: the share of it that turns of other speakers overlap, 1 at most."""
+    valid = turns.where("end_ms > start_ms")
+    met = bucketed_overlap(valid, valid.select("source_id", "start_ms", "end_ms", "raw_speaker"), "source_id", 60_000).where("raw_speaker <> r_raw_speaker")
+    sums = met.groupBy("source_id", "turn_index").agg(F.sum(F.greatest(F.lit(0), F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms"))).alias("o"))
+    share = F.least(F.lit(1.0), F.coalesce("o", F.lit(0)) / (F.col("end_ms") - F.col("start_ms")))
+    return valid.join(sums, ["source_id", "turn_index"], "left").select("source_id", "turn_index", F.round(share, 6).alias("overlap_ratio"))
+
+
+def overlap_ratio_query(spark, sf_dir):
+    from turnwise.sources import views
+
+    return overlap_ratio(views.turns(spark, sf_dir))
+
+
+OWN = {"region_remap": (region_remap, REMAP_ORACLE), "overlap_ratio": (overlap_ratio_query, RATIO_ORACLE)}

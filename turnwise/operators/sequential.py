@@ -67,7 +67,7 @@ def wrap_text_query(spark, sf_dir):
     def wrap(t: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(textwrap.fill(line, 100, break_long_words=False, break_on_hyphens=False) for line in (x or "").split("\n")) for x in t])
 
-    return views.read(spark, sf_dir, "benchmark").select("item_id", wrap("text").alias("text"))
+    return views.texts(spark, sf_dir).select("kind", "id", wrap("text").alias("text"))
 
 
 OWN = {"label_smoothing": label_smoothing_query, "text_similarity": text_similarity_query, "wrap_text": wrap_text_query}

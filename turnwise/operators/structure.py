@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from turnwise.operators.intervals import MERGE
 from turnwise.plans.query import Query
 
@@ -19,8 +21,12 @@ scored AS (SELECT *, CASE WHEN speaker_count <= 1 THEN 8.0 WHEN speaker_count >
 _RETRY = """CASE WHEN speaker_count <= 1 THEN 'subdeteccion_extrema' WHEN speaker_count > 8 THEN 'sobredeteccion_extrema' WHEN tiny >= 2 OR switches > 18.0 THEN 'fragmentacion_excesiva'
   WHEN speaker_count <= 4 AND (longest >= 60.0 OR (longest >= 45.0 AND dominant >= 0.55)) THEN 'tramo_monopolizado' WHEN speaker_count <= 4 AND dominant >= 0.72 THEN 'hablante_dominante' END"""
 
-# Two candidates of a source: all its turns, and those of its first half alone.
-_CANDIDATES = """pairs AS (SELECT a.source_id, a.speaker_count AS n_a, a.penalty AS p_a, (a.source_id * 5) % 10 AS n_b, ((a.source_id * 37) % 100) / 20.0 AS p_b, """ + _RETRY.replace("speaker_count", "a.speaker_count").replace("tiny", "a.tiny").replace("switches", "a.switches").replace("longest", "a.longest").replace("dominant ", "a.dominant ") + """ AS reason FROM scored a)"""
+#: The same of a second pass, which hears only turns of 1.5 s and more.
+STRUCTURE_B = STRUCTURE.replace("FROM turns WHERE end_ms > start_ms", "FROM turns WHERE end_ms - start_ms >= 1500")
+for _name in ("run", "cut", "isle", "merged", "audio", "per", "share", "base", "structure", "scored"):
+    STRUCTURE_B = re.sub(rf"\b(FROM |JOIN ){_name}\b|(?m:^|, ){_name} AS \(", lambda m: m[0].replace(_name, _name + "_b", 1), STRUCTURE_B)
+_OF_A = re.sub(r"\b(speaker_count|tiny|switches|longest|dominant)\b(?=[ )])", r"a.\1", _RETRY)
+_CANDIDATES = f"""{STRUCTURE_B}, pairs AS (SELECT a.source_id, a.speaker_count AS n_a, a.penalty AS p_a, coalesce(b.speaker_count, 0) AS n_b, coalesce(b.penalty, 8.0) AS p_b, {_OF_A} AS reason FROM scored a LEFT JOIN scored_b b ON a.source_id = b.source_id)"""
 
 _JOBS = "job_metrics"
 _BUDGET = "SELECT job_id, audio_cs, asr_cs, CASE job_id % 4 WHEN 0 THEN 'Rápido' WHEN 1 THEN 'Equilibrado' WHEN 2 THEN 'Preciso' ELSE 'Personalizado' END AS profile, CASE job_id % 4 WHEN 0 THEN 85 WHEN 1 THEN 100 WHEN 2 THEN 150 END AS ratio FROM job_metrics"
@@ -40,9 +46,4 @@ SELECT source_id, reason, after, reason IN ('sobredeteccion_extrema', 'fragmenta
     "diarization_budget": Query(f"SELECT job_id, profile, CASE WHEN ratio IS NOT NULL THEN greatest(0, CAST(floor(audio_cs * ratio / 100.0) AS BIGINT) - asr_cs - 500) END AS budget_cs FROM ({_BUDGET}) b"),
     "budget_skip": Query(f"""WITH b AS (SELECT job_id, CASE WHEN ratio IS NOT NULL THEN greatest(0, CAST(floor(audio_cs * ratio / 100.0) AS BIGINT) - asr_cs - 500) END AS budget_cs FROM ({_BUDGET}) x)
 SELECT b.job_id, budget_cs, diarization_cs + export_cs + model_load_cs AS predicted_cs, coalesce(diarization_cs + export_cs + model_load_cs > budget_cs, false) AS skip FROM b JOIN job_metrics m ON b.job_id = m.job_id"""),
-    "raw_candidate": Query("""SELECT job_id, CASE WHEN job_id % 7 = 0 THEN 'identity_aware' WHEN job_id % 5 = 0 THEN 'precheck_avoided' WHEN job_id % 3 = 0 THEN 'second_pass' WHEN abs(audio_cs - asr_cs) < 1e-9 THEN 'second_pass' ELSE 'first_pass' END AS candidate FROM job_metrics"""),
-    "count_validation": Query(f"""WITH {STRUCTURE}, v AS (SELECT source_id, speaker_count, penalty, source_id % 11 = 0 AS manual, source_id % 3 = 0 AS retried, source_id % 6 AS delta, CASE source_id % 4 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' WHEN 2 THEN 'baja' ELSE 'sin_datos' END AS identity, source_id % 13 = 0 AS over_budget FROM scored),
-st AS (SELECT *, CASE WHEN manual THEN 'manual' WHEN speaker_count = 0 THEN 'sin_hablantes' WHEN retried AND delta > 3 THEN 'inestable' WHEN penalty >= 2.0 THEN 'sospechosa' WHEN retried THEN 'estable_tras_reintento' ELSE 'estable' END AS s FROM v),
-idn AS (SELECT *, CASE WHEN s = 'manual' THEN s WHEN identity = 'baja' THEN 'sospechosa_identidad' WHEN identity IN ('media', 'sin_datos') AND s IN ('estable', 'estable_tras_reintento') THEN 'con_reservas' ELSE s END AS s2 FROM st)
-SELECT source_id, s AS structural_status, CASE WHEN over_budget AND NOT manual THEN 'estimacion_ambigua_presupuesto' ELSE s2 END AS status, NOT manual AND (over_budget OR s2 IN ('inestable', 'sospechosa', 'sospechosa_identidad', 'sin_hablantes')) AS ambiguous FROM idn"""),
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import blocks, chunks, exports, identity, intervals, metrics, sequential, structure
+from turnwise.operators import blocks, chunks, exports, identity, intervals, metrics, sequential, structure, validation
 from turnwise.plans.query import with_views
 from turnwise.streaming import streams
 
@@ -16,6 +16,10 @@ _OWN = {
     "reading_blocks": (blocks.reading_blocks_query, blocks.BLOCKS_ORACLE),
     **{k: (f, None) for k, f in sequential.OWN.items()},
     **identity.OWN,
+    **exports.OWN,
+    **validation.OWN,
+    **intervals.OWN,
+    **scalars.OWN,
     **streams.OWN,
 }
 
