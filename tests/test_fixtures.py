@@ -62,3 +62,22 @@ def test_overlap_of_turns(spark):
     found = {r.turn_index: r.overlap_ratio for r in intervals.overlap_ratio(turns).collect()}
     assert found == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.035}
     assert {r.turn_index: r.overlap_ratio for r in intervals.overlap_ratio(turns.where("turn_index < 3")).collect()} == {0: 0.5, 1: round(1 / 3, 6), 2: 0.0}
+
+
+def test_local_scan_cuts_out_another_voice(spark):
+    from turnwise.operators import local_scan
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    turns = [(0, 0.0, 25000.0, 0, None), (1, 30000.0, 34000.0, 1, b), (2, 36000.0, 40000.0, 1, b), (3, 41000.0, 45000.0, 0, a), (4, 50000.0, 80000.0, 0, None)]
+
+    def spots(voice, n):
+        return [(s, i, k, x + (y - x - 2500) * k / (n - 1), x + (y - x - 2500) * k / (n - 1) + 2500, voice(s, x + (y - x - 2500) * k / (n - 1) + 1250)) for s in (1, 2) for i, x, y in ((0, 0.0, 25000.0), (4, 50000.0, 80000.0)) for k in range(n)]
+
+    # Source 1: the known voice b between 9 and 17 s. Source 2: a voice that nobody has, there.
+    voice = lambda s, t: (b if s == 1 else c) if 9000 <= t <= 17000 else a
+    schema = "source_id long, turn_index long, k int, start_ms double, end_ms double, embedding array<double>"
+    df = spark.createDataFrame([(s, *t) for s in (1, 2) for t in turns], "source_id long, turn_index long, start_ms double, end_ms double, speaker int, embedding array<double>")
+    found = local_scan.local_change_scan(df, spark.createDataFrame(spots(voice, 3), schema), spark.createDataFrame(spots(voice, 6), schema)).collect()
+    for source, target, kind in ((1, 1, "moved"), (2, 2, "new")):
+        rows = sorted((r.start_ms, r.end_ms, r.speaker, r.change) for r in found if r.source_id == source)
+        assert rows == [(0.0, 9000.0, 0, None), (9000.0, 16000.0, target, kind), (16000.0, 25000.0, 0, None), (30000.0, 34000.0, 1, None), (36000.0, 40000.0, 1, None), (41000.0, 45000.0, 0, None), (50000.0, 80000.0, 0, None)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import blocks, chunks, exports, identity, intervals, metrics, sequential, structure, validation
+from turnwise.operators import blocks, chunks, exports, identity, intervals, local_scan, metrics, sequential, structure, validation
 from turnwise.plans.query import with_views
 from turnwise.streaming import streams
 
@@ -20,6 +20,7 @@ _OWN = {
     **validation.OWN,
     **intervals.OWN,
     **scalars.OWN,
+    **local_scan.OWN,
     **streams.OWN,
 }
 
