@@ -81,3 +81,25 @@ def test_local_scan_cuts_out_another_voice(spark):
     for source, target, kind in ((1, 1, "moved"), (2, 2, "new")):
         rows = sorted((r.start_ms, r.end_ms, r.speaker, r.change) for r in found if r.source_id == source)
         assert rows == [(0.0, 9000.0, 0, None), (9000.0, 16000.0, target, kind), (16000.0, 25000.0, 0, None), (30000.0, 34000.0, 1, None), (36000.0, 40000.0, 1, None), (41000.0, 45000.0, 0, None), (50000.0, 80000.0, 0, None)]
+
+
+def test_text_of_words_and_timed_words(spark):
+    rows = [([" Hola", " mundo"],), (["Hola", "mundo"],), (["uno"],), ([" a", "b", "  c "],), ([],), (["ab", None, "cd"],)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    assert [r[0] for r in df.select(scalars.word_text(F.col("tokens"))).collect()] == ["Hola mundo", "Hola mundo", "uno", "ab c", "", "ab cd"]
+    words = spark.createDataFrame([([("a", 0, 5), ("b", None, 7), ("c", 7, None), ("d", 7, 9)],)], "words array<struct<word: string, start_ms: long, end_ms: long>>")
+    assert [w.word for w in words.select(scalars.timed_words(F.col("words")).alias("w")).first().w] == ["a", "d"]
+
+
+def test_files_inside_folders(spark):
+    files = spark.createDataFrame([(1, "/tmp/a/x.wav"), (2, "/tmp/ab/x.wav"), (3, "/tmp/a"), (4, None), (5, "/tmp/a/b/c.mp3"), (6, "x.wav")], "id long, path string")
+    folders = spark.createDataFrame([("/tmp/a/",), ("/tmp/a",), (None,), ("/",)], "folder string")
+    assert sorted(r.id for r in scalars.inside(files, folders).collect()) == [1, 3, 5]
+
+
+def test_progress_of_segments(spark):
+    from turnwise.streaming import streams
+
+    segments = spark.createDataFrame([(1, 0, 0, 5, "a"), (1, 1, 5, 12, "b"), (2, 0, 0, 5, "c"), (3, 0, 0, 1, "d")], "source_id long, seg_id long, start_ms long, end_ms long, text string")
+    durations = spark.createDataFrame([(1, 10), (2, 0)], "source_id long, duration_ms long")
+    assert sorted((r.source_id, r.seg_id, r.percent) for r in streams.progress(segments, durations).collect()) == [(1, 0, 50.0), (1, 1, 100.0), (2, 0, None), (3, 0, None)]

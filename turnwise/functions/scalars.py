@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.plans.query import Query
@@ -62,7 +62,40 @@ def parse_timers(spark, sf_dir):
     return jobs.select("job_id", *(timer(F.col("log"), n).alias(n) for n in TIMERS))
 
 
+def timed_words(words: Column) -> Column:
+    """The words (structs with start_ms and end_ms) of an array that have both bounds."""
+    return F.filter(words, lambda w: w["start_ms"].isNotNull() & w["end_ms"].isNotNull())
+
+
+def word_text(tokens: Column) -> Column:
+    """The text of raw tokens in order: as they stand, or with blanks between them if several hold none; white space collapsed."""
+    joined = F.trim(F.array_join(tokens, "", ""))
+    spaced = F.when((F.size(tokens) > 1) & ~F.contains(joined, F.lit(" ")), F.array_join(F.transform(tokens, F.trim), " ", "")).otherwise(joined)
+    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
+
+
+def inside(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """The rows of files (path, ...) that are one of folders (folder) or lie below it; null paths do not.
+
+    Each path is joined by its ancestors, an equality on whole names, so that /tmp/a isn't in /tmp/ab."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    known = folders.select(F.regexp_replace("folder", "/+$", "").alias("_at")).where("_at <> ''").distinct()
+    hits = files.select("path", F.explode(above).alias("_at")).join(known, "_at", "left_semi").select("path").distinct()
+    return files.join(hits, "path", "left_semi")
+
+
+def temp_files(spark, sf_dir):
+    """Pages of hosts that have five pages and more: the host stands for the temporary folder."""
+    from turnwise.sources import views
+
+    files = views.read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    roots = files.select(F.substring_index("path", "/", 3).alias("folder")).groupBy("folder").count().where("count >= 5")
+    return inside(files, roots.select("folder")).select("page_id")
+
+
 OWN = {
+    "temp_files": (temp_files, "SELECT page_id FROM (SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^[^/]*//[^/]*')) AS n FROM pages) WHERE n >= 5"),
     "parse_timers": (parse_timers, "SELECT job_id, asr_cs / 100.0::DOUBLE AS segmentation_seconds, NULL::DOUBLE AS clustering_seconds, overhead_cs / 100.0::DOUBLE AS embedding_seconds, diarization_cs / 100.0::DOUBLE AS sherpa_total_seconds, export_cs / 100.0::DOUBLE AS sherpa_rtf FROM job_metrics"),
 }
 

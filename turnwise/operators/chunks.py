@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-from turnwise.plans.query import Query
+from pyspark.sql import functions as F
+
+from turnwise.functions.scalars import word_text
+from turnwise.plans.query import Query, over
+from turnwise.sources import views
+
+#: Runs of words of one speaker inside a segment; words without bounds are no words.
+_RUNS = """l AS (SELECT *, CAST(floor((seg_id + word_idx) / 4.0) AS BIGINT) % 3 AS label FROM words WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL),
+c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx) = label THEN 0 ELSE 1 END AS fresh FROM l),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM c)"""
+
+
+def segment_texts(spark, sf_dir):
+    """The pieces of split segments with their text, from tokens with a leading blank in even sources and bare ones in odd ones."""
+    tokens = "transform(array_sort(collect_list(struct(word_idx, word))), x -> CASE WHEN source_id % 2 = 0 THEN concat(' ', x.word) ELSE x.word END)"
+    runs = over(spark, f"WITH {_RUNS} SELECT source_id, seg_id, CAST(grp AS BIGINT) AS grp, label AS speaker_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, {tokens} AS tokens FROM g GROUP BY source_id, seg_id, grp, label", {"words": views.words(spark, sf_dir)})
+    return runs.withColumn("text", word_text(F.col("tokens"))).drop("tokens")
+
+
+OWN = {
+    "segment_texts": (segment_texts, f"""WITH {_RUNS} SELECT source_id, seg_id, grp::BIGINT AS grp, label AS speaker_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, trim(regexp_replace(string_agg(word, ' ' ORDER BY word_idx), '\\s+', ' ', 'g')) AS text FROM g GROUP BY source_id, seg_id, grp, label"""),
+}
 
 QUERIES = {
     "chunk_plan": Query("""WITH d AS (SELECT source_id, max(end_ms) AS dur FROM segments GROUP BY source_id)
@@ -21,9 +42,7 @@ SELECT source_id, seg_id, CAST(row_number() OVER (PARTITION BY source_id, seg_id
     "label_fill": Query("""WITH l AS (SELECT source_id, seg_id, word_idx, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE (seg_id + word_idx) % 3 END AS label FROM words)
 SELECT source_id, seg_id, word_idx, coalesce(label, first_value(label) IGNORE NULLS OVER n, last_value(label) IGNORE NULLS OVER p) AS label FROM l
 WINDOW n AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", duck=(("first_value(label) IGNORE NULLS", "first_value(label IGNORE NULLS)"), ("last_value(label) IGNORE NULLS", "last_value(label IGNORE NULLS)"))),
-    "segment_split": Query("""WITH l AS (SELECT *, CAST(floor((seg_id + word_idx) / 4.0) AS BIGINT) % 3 AS label FROM words),
-c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx) = label THEN 0 ELSE 1 END AS fresh FROM l),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, seg_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM c),
+    "segment_split": Query(f"""WITH {_RUNS},
 s AS (SELECT source_id, seg_id, grp, label, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS words FROM g GROUP BY source_id, seg_id, grp, label)
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seg_id, grp) - 1 AS id, seg_id AS source_segment_id, label AS speaker_id, start_ms, end_ms, words FROM s"""),
     "alignment_meta": Query("""WITH l AS (SELECT *, CAST(floor((seg_id + word_idx) / 4.0) AS BIGINT) % 3 AS label FROM words),

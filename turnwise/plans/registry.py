@@ -21,6 +21,7 @@ _OWN = {
     **intervals.OWN,
     **scalars.OWN,
     **local_scan.OWN,
+    **chunks.OWN,
     **streams.OWN,
 }
 

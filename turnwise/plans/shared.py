@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it back: a cut in the plan that survives lost executors."""
-    spark = df.sparkSession
+def place(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir. Where that is unset, a local master gets a folder of its machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -17,6 +16,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = "/tmp/turnwise-shared"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/turnwise/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/turnwise/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write df below spark.checkpoint.dir and read it back: a cut in the plan that survives lost executors."""
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

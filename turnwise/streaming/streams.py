@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.plans.shared import place
+from turnwise.sources import views
+
 #: Ours, as the source system has no event-time lateness: how long a stream waits for what is late.
 WATERMARK = "10 minutes"
 
@@ -17,27 +18,62 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a bounded stream to its end into a memory table and return that table."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _run(stream: DataFrame, mode: str, label: str) -> DataFrame:
+    """Run a bounded stream to its end into a table below spark.checkpoint.dir and return that table. In complete mode each
+    micro-batch replaces the table; nothing passes through the driver."""
+    spark, path = stream.sparkSession, place(stream.sparkSession, label)
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "complete":
+        spark.createDataFrame([], stream.schema).write.parquet(path)
+        query = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    else:
+        query = out.format("parquet").option("path", path).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def progress(segments: DataFrame, durations: DataFrame) -> DataFrame:
+    """Segments as they come, with the share of their source that is done, in percent: 100 at most, null where a source has no
+    duration. durations: source_id, duration_ms, a static table."""
+    known = durations.where("duration_ms > 0")
+    return segments.join(known, "source_id", "left").select(
+        "source_id", "seg_id", "start_ms", "end_ms", "text", F.when(F.col("duration_ms") > 0, F.round(F.least(F.lit(100.0), F.col("end_ms") / F.col("duration_ms") * 100), 6)).alias("percent")
+    )
 
 
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments read as a stream of files, each sent on with the progress of its source; no state."""
+    path = place(spark, "segments")
+    found = views.segments(spark, sf_dir).select("source_id", "seg_id", "start_ms", "end_ms", "text")
+    found.write.parquet(path)
+    held = spark.read.schema(found.schema).parquet(path)
+    durations = held.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms"))
+    return _run(progress(spark.readStream.schema(found.schema).parquet(path), durations), "append", "progress")
+
+
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each run of a user's events that lie less than five minutes apart: session windows."""
+    runs = events_stream(spark, sf_dir).withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", "5 minutes"), "user_id")
+    last = runs.agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"), F.count("*").alias("events"))
+    return _run(last.select("user_id", "x.event_id", "x.event_type", "events"), "complete", "settled")
+
+
+def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and value by user and day, updated as files come; complete once the input is read."""
     day = events_stream(spark, sf_dir).withWatermark("ts", WATERMARK).groupBy("user_id", F.to_date("ts").cast("string").alias("day"))
-    return _run(day.agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents")), "complete")
+    return _run(day.agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents")), "complete", "daily")
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user: a running maximum of (ts, event_id)."""
     last = events_stream(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"))
-    return _run(last.select("user_id", "x.event_id", "x.event_type"), "complete")
+    return _run(last.select("user_id", "x.event_id", "x.event_type"), "complete", "latest")
 
 
 OWN = {
-    "stream_segments": (stream_segments, "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(floor(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL"),
+    "stream_segments": (stream_segments, "SELECT source_id, seg_id, start_ms, end_ms, text, round(end_ms * 100.0::DOUBLE / max(end_ms) OVER (PARTITION BY source_id), 6) AS percent FROM segments"),
+    "stream_debounce": (stream_debounce, """WITH e AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS events FROM g GROUP BY user_id, run"""),
+    "stream_daily": (stream_daily, "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(floor(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL"),
     "stream_latest": (stream_latest, "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"),
 }
