@@ -50,9 +50,9 @@ class _Dialect:
 
     def prototypes(self, name: str, src: str) -> str:
         """The medoid by median cosine, then the renormalised mean of the three nearest to it, itself included."""
-        return f"""{name}_s AS (SELECT a.source_id, a.speaker, a.turn_index, a.embedding, median({self.sim('a.embedding', 'b.embedding')}) AS score FROM {src} a
-  LEFT JOIN {src} b ON a.source_id = b.source_id AND a.speaker = b.speaker AND a.turn_index <> b.turn_index GROUP BY a.source_id, a.speaker, a.turn_index, a.embedding),
-{name}_m AS (SELECT source_id, speaker, turn_index AS medoid_index, embedding AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY source_id, speaker ORDER BY round(coalesce(score, 1.0), 8) DESC, turn_index) AS r FROM {name}_s) q WHERE r = 1),
+        return f"""{name}_s AS (SELECT a.source_id, a.speaker, a.turn_index, median({self.sim('a.embedding', 'b.embedding')}) AS score FROM {src} a
+  LEFT JOIN {src} b ON a.source_id = b.source_id AND a.speaker = b.speaker AND a.turn_index <> b.turn_index GROUP BY a.source_id, a.speaker, a.turn_index),
+{name}_m AS (SELECT q.source_id, q.speaker, q.turn_index AS medoid_index, e.embedding AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY source_id, speaker ORDER BY round(coalesce(score, 1.0), 8) DESC, turn_index) AS r FROM {name}_s) q JOIN {src} e ON q.source_id = e.source_id AND q.turn_index = e.turn_index WHERE r = 1),
 {name}_r AS (SELECT s.source_id, s.speaker, s.embedding, medoid_index, row_number() OVER (PARTITION BY s.source_id, s.speaker ORDER BY {self.sim('s.embedding', 'medoid')} DESC, s.turn_index) AS r FROM {src} s JOIN {name}_m m ON s.source_id = m.source_id AND s.speaker = m.speaker),
 {name}_v AS (SELECT source_id, speaker, medoid_index, count(*) AS n, max(CASE WHEN r = 1 THEN embedding END) AS v1, max(CASE WHEN r = 2 THEN embedding END) AS v2, max(CASE WHEN r = 3 THEN embedding END) AS v3 FROM {name}_r GROUP BY source_id, speaker, medoid_index),
 {name}_t AS (SELECT source_id, speaker, medoid_index, n, {self.sum3()} AS total FROM {name}_v),
