@@ -181,4 +181,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, texts: int = FIT_TEXTS) -> DataFrame:
+    """Fit on about `texts` labelled texts a language that aren't held out, then predict every row of docs (as predict does).
+
+    Rows without a label aren't learnt from; other columns, lang and source among them, play no part in a prediction. Empty docs
+    give no rows."""
     return predict(docs, fit(docs, texts))

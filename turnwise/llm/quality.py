@@ -27,8 +27,6 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
     ("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.3),
 )
-#: The first two rules are the base; failing either is base_failed.
-BASE = ("words", "repeated_words")
 WINDOW = 8
 
 

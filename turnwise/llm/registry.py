@@ -9,42 +9,52 @@ from turnwise.llm.common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the licence sentences found and the licence that the first matching rule names."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: a row for each document and item that overlap in a window of 13 words."""
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with numbers, dates, addresses and secrets replaced by keyed pseudonyms of the same format."""
     return pii.pseudonyms(table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7 by jump hashing of doc_id (law `key`), with places in the shard and the shard of nine."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their class of links: sets of 4-word shingles with a Jaccard similarity of 0.85 and more."""
     return ngram_join.join_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each as often as its source's Poisson count says, in a global random order."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, equal payloads as revisits, and read back from them."""
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the counts and ratios of the rules and the verdict."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with their main text."""
     return extraction.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their predicted language; learnt from the labelled ones that aren't held out."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
