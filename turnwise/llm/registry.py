@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import decontamination, extraction, language, licenses, mixing, ngram_join, pii, quality, sharding, warc
+from turnwise.llm import decontamination, extraction, fill_middle, language, licenses, mixing, ngram_join, pii, quality, search, sentencepieces, sharding, warc
 from turnwise.llm.common import table
 
 
@@ -58,9 +58,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut for filling in the middle, with checksums of the outputs and of the texts rebuilt from them."""
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=42))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """All documents as ids of the 32,000 pieces of `model` (a public model where it is unset) and back."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.digests(sentencepieces.encode_decode(table(spark, sf_dir, "documents"), model))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op5_ngram_jaccard, op6_source_mixing, op7_warc, op8_quality_rules, op9_main_text, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_pii_pseudonyms, op4_sharding, op5_ngram_jaccard, op6_source_mixing, op7_warc, op8_quality_rules, op9_main_text, op10_language_id, op11_block_max_search, op12_fill_in_middle, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle(), "op7_warc": warc.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle(), "op7_warc": warc.oracle(), "op11_block_max_search": search.oracle(), "op12_fill_in_middle": fill_middle.oracle()}
