@@ -150,9 +150,4 @@ SELECT source_id, 'ok' AS status, 8 AS schema_version, text, n_segments, n_block
 QUERIES = {
     "report_rows": Query("""WITH t AS (SELECT source_id, count(*) AS segments, count(DISTINCT raw_speaker) AS speakers, max(end_ms) AS audio_ms FROM segments GROUP BY source_id)
 SELECT source_id, 'Segmentos' AS label, CAST(segments AS STRING) AS value FROM t UNION ALL SELECT source_id, 'Hablantes', CAST(speakers AS STRING) FROM t UNION ALL SELECT source_id, 'Audio (s)', CAST(CAST(floor(audio_ms / 1000.0) AS BIGINT) AS STRING) FROM t"""),
-    # Persisted documents: written as JSON, read back by schema; a document without its original text counts as absent.
-    "json_roundtrip": Query("""WITH d AS (SELECT source_id, to_json(named_struct('original', array_join(transform(array_sort(collect_list(struct(seg_id, text AS t))), x -> x.t), ' '), 'segments', transform(array_sort(collect_list(struct(seg_id, start_ms, end_ms, text AS t))), x -> named_struct('startMs', x.start_ms, 'endMs', x.end_ms, 'text', x.t)))) AS body FROM segments GROUP BY source_id),
-p AS (SELECT source_id, from_json(body, 'original STRING, segments ARRAY<STRUCT<startMs: BIGINT, endMs: BIGINT, text: STRING>>') AS j FROM d)
-SELECT source_id, j.original AS original, CAST(size(j.segments) AS BIGINT) AS n_segments, aggregate(j.segments, CAST(0 AS BIGINT), (s, x) -> s + x.endMs - x.startMs) AS spoken_ms FROM p WHERE j.original <> ''""",
-        duck_sql="SELECT source_id, string_agg(text, ' ' ORDER BY seg_id) AS original, count(*) AS n_segments, CAST(sum(end_ms - start_ms) AS BIGINT) AS spoken_ms FROM segments GROUP BY source_id HAVING string_agg(text, ' ' ORDER BY seg_id) <> ''"),
 }
