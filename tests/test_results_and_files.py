@@ -32,7 +32,7 @@ def test_engine_json_of_odd_texts_reads_back(spark):
 
 def test_saved_transcripts(spark):
     rows = [
-        ("a", '{"original":"x","edited":null,"sourceName":"s.wav","language":"es","updatedAt":5,"revision":2,"segments":[{"startMs":1,"endMs":2,"text":"x"}]}'), ("b", '{"original":"","model":"m"}'), ("c", ""), ("d", None), ("e", "not json"),
+        ("a", '{"original":"x","edited":null,"sourceName":"s.wav","language":"es","updatedAt":5,"revision":2,"segments":[{"startMs":1,"endMs":2,"text":"x"}]}'), ("b", '{"original":"","model":"m"}'), ("c", " \n\t"), ("d", None), ("e", "not json"),
         ("f", '{"original":"y","edited":"z","model":"small"}'), ("g", "[]"), ("h", '{"original":"y"'),
     ]
     got = {r.name: r for r in results.saved_transcripts(spark.createDataFrame(rows, "name string, text string")).collect()}

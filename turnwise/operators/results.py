@@ -63,7 +63,7 @@ def saved_transcripts(files: DataFrame) -> DataFrame:
     status: ok, missing (no text or only blanks), corrupt (no JSON object) or empty (no original text); only ok rows have fields.
     edited and source_name may be null; a missing model is `base`, other missing fields are empty or 0."""
     v = F.col("_v")
-    status = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "missing").when(v.isNull(), "corrupt").when(_text(v, "original") == "", "empty").otherwise("ok")
+    status = F.when(~F.coalesce("text", F.lit("")).rlike(r"\S"), "missing").when(v.isNull(), "corrupt").when(_text(v, "original") == "", "empty").otherwise("ok")
     fields = {
         "original": _text(v, "original"), "edited": _get(v, "edited", "string"), "source_name": _get(v, "sourceName", "string"), "model": _text(v, "model", "base"), "language": _text(v, "language"),
         "updated_at": _whole(v, "updatedAt"), "revision": _whole(v, "revision"), "segments": segments_of(v),
