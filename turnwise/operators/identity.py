@@ -226,7 +226,7 @@ def light_identity(turns: DataFrame, audio: DataFrame, per_speaker: int = 3, tot
     heard = turns.join(picked.select("source_id", "turn_index", F.lit(True).alias("_picked")), ["source_id", "turn_index"], "left").withColumn("embedding", F.when(F.col("_picked"), F.col("embedding"))).drop("_picked")
     refined = written(refine(heard), "refined")
     looks = over(spark, f"WITH {STRUCTURE} SELECT source_id, speaker_count, turn_count, round(penalty, 6) AS penalty FROM scored", {"turns": refined.withColumnRenamed("speaker", "raw_speaker"), "segments": audio})
-    doubts = over(spark, f"WITH {_Dialect(True).summary()}, {_OVERALL} SELECT source_id, overall_confidence, penalty AS identity_penalty FROM overall", {"turn_embeddings": refined})
+    doubts = over(spark, f"WITH {_Dialect(True).summary()}, {_OVERALL} SELECT source_id, overall_confidence, low, penalty AS identity_penalty FROM overall", {"turn_embeddings": refined})
     moved = over(spark, f"SELECT {_RECOUNT} FROM found GROUP BY source_id", {"found": refined})
     row = extracted
     for other in (moved, looks, doubts):

@@ -28,8 +28,13 @@ for _name in ("run", "cut", "isle", "merged", "audio", "per", "share", "base", "
 _OF_A = re.sub(r"\b(speaker_count|tiny|switches|longest|dominant)\b(?=[ )])", r"a.\1", _RETRY)
 _CANDIDATES = f"""{STRUCTURE_B}, pairs AS (SELECT a.source_id, a.speaker_count AS n_a, a.penalty AS p_a, coalesce(b.speaker_count, 0) AS n_b, coalesce(b.penalty, 8.0) AS p_b, {_OF_A} AS reason FROM scored a LEFT JOIN scored_b b ON a.source_id = b.source_id)"""
 
-_JOBS = "job_metrics"
-_BUDGET = "SELECT job_id, audio_cs, asr_cs, CASE job_id % 4 WHEN 0 THEN 'Rápido' WHEN 1 THEN 'Equilibrado' WHEN 2 THEN 'Preciso' ELSE 'Personalizado' END AS profile, CASE job_id % 4 WHEN 0 THEN 85 WHEN 1 THEN 100 WHEN 2 THEN 150 END AS ratio FROM job_metrics"
+#: The profile of a job is what its last event stands for; its budget is a share of the audio's length less the time of the
+#: transcription and a reserve of 5 s.
+_BUDGET = """last AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+b AS (SELECT m.*, CASE event_type WHEN 'click' THEN 'Rápido' WHEN 'view' THEN 'Equilibrado' WHEN 'purchase' THEN 'Preciso' ELSE 'Personalizado' END AS profile, CASE event_type WHEN 'click' THEN 85 WHEN 'view' THEN 100 WHEN 'purchase' THEN 150 END AS ratio FROM job_metrics m JOIN last ON job_id = user_id AND r = 1),
+c AS (SELECT *, CASE WHEN ratio IS NOT NULL THEN greatest(0, CAST(floor(audio_cs * ratio / 100.0) AS BIGINT) - asr_cs - 500) END AS budget_cs FROM b)"""
+_BUDGET_DUCK = """w AS (SELECT user_id AS job_id, MAP {'click': 'Rápido', 'view': 'Equilibrado', 'purchase': 'Preciso'}[arg_max(event_type, (ts, event_id))] AS p FROM events GROUP BY 1),
+c AS (SELECT *, coalesce(p, 'Personalizado') AS profile, CASE WHEN p IS NOT NULL THEN greatest(0, audio_cs * MAP {'Rápido': 85, 'Equilibrado': 100, 'Preciso': 150}[p] // 100 - asr_cs - 500)::BIGINT END AS budget_cs FROM job_metrics JOIN w USING (job_id))"""
 
 QUERIES = {
     "turn_structure": Query(f"WITH {STRUCTURE} SELECT source_id, speaker_count, turn_count, round(speech, 6) AS speech_seconds, round(dominant, 6) AS dominant_share, round(longest, 6) AS longest_turn_seconds, tiny AS tiny_speakers, round(switches, 6) AS switches_per_minute, round(penalty, 6) AS penalty FROM scored"),
@@ -38,12 +43,8 @@ QUERIES = {
     "candidate_selection": Query(f"""WITH {STRUCTURE}, {_CANDIDATES},
 adj AS (SELECT *, p_b + greatest(0, abs(n_b - n_a) - 2) * 0.25 AS p_b2 FROM pairs)
 SELECT source_id, n_a, n_b, round(p_a, 6) AS p_a, round(p_b2, 6) AS p_b, reason, CASE WHEN reason IN ('subdeteccion_extrema', 'sobredeteccion_extrema') THEN n_b >= 2 AND n_b <= 8 AND p_b2 <= p_a + 0.5 ELSE p_b2 + 0.1 < p_a END AS second_wins FROM adj"""),
-    "identity_aware_selection": Query(f"""WITH {STRUCTURE}, {_CANDIDATES},
-s AS (SELECT *, greatest(p_a, p_b) >= 2.0 OR abs(p_a - p_b) <= 1.0 AS needed, p_a + (source_id % 5) * 0.35 AS s_a, p_b + (source_id % 3) * 0.75 AS s_b, p_b + 0.1 < p_a AS structural FROM pairs)
-SELECT source_id, needed, CASE WHEN NOT needed THEN structural WHEN s_b + 0.15 < s_a THEN true WHEN s_a + 0.15 < s_b THEN false ELSE structural END AS second_wins FROM s"""),
-    "precheck_decision": Query(f"""WITH {STRUCTURE}, r AS (SELECT source_id, speaker_count, penalty, {_RETRY} AS reason, greatest(1, speaker_count - source_id % 3) AS after, source_id % 4 AS low FROM scored)
-SELECT source_id, reason, after, reason IN ('sobredeteccion_extrema', 'fragmentacion_excesiva') AND after >= 2 AND after <= 8 AND after < speaker_count AND penalty <= 2.60 AND low = 0 AS accepted FROM r"""),
-    "diarization_budget": Query(f"SELECT job_id, profile, CASE WHEN ratio IS NOT NULL THEN greatest(0, CAST(floor(audio_cs * ratio / 100.0) AS BIGINT) - asr_cs - 500) END AS budget_cs FROM ({_BUDGET}) b"),
-    "budget_skip": Query(f"""WITH b AS (SELECT job_id, CASE WHEN ratio IS NOT NULL THEN greatest(0, CAST(floor(audio_cs * ratio / 100.0) AS BIGINT) - asr_cs - 500) END AS budget_cs FROM ({_BUDGET}) x)
-SELECT b.job_id, budget_cs, diarization_cs + export_cs + model_load_cs AS predicted_cs, coalesce(diarization_cs + export_cs + model_load_cs > budget_cs, false) AS skip FROM b JOIN job_metrics m ON b.job_id = m.job_id"""),
+    "diarization_budget": Query(f"WITH {_BUDGET} SELECT job_id, profile, budget_cs FROM c", duck_sql=f"WITH {_BUDGET_DUCK} SELECT job_id, profile, budget_cs FROM c"),
+    # What the job has taken (loading the model, the first look) and a second pass as long as the first, against the budget.
+    "budget_skip": Query(f"WITH {_BUDGET} SELECT job_id, budget_cs, CASE WHEN budget_cs IS NOT NULL THEN model_load_cs + overhead_cs + diarization_cs END AS projected_cs, coalesce(model_load_cs + overhead_cs + diarization_cs > budget_cs, false) AS skip FROM c",
+        duck_sql=f"WITH {_BUDGET_DUCK}, d AS (SELECT *, model_load_cs + overhead_cs + diarization_cs AS all_cs FROM c) SELECT job_id, budget_cs, CASE WHEN p IS NOT NULL THEN all_cs END AS projected_cs, p IS NOT NULL AND all_cs - budget_cs > 0 AS skip FROM d"),
 }

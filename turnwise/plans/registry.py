@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import blocks, chunks, exports, identity, intervals, local_scan, metrics, results, sequential, structure, validation
+from turnwise.operators import blocks, candidates, chunks, exports, identity, intervals, local_scan, metrics, results, sequential, structure, validation
 from turnwise.plans.query import with_views
 from turnwise.streaming import streams
 
@@ -24,6 +24,8 @@ _OWN = {
     **chunks.OWN,
     **streams.OWN,
     **results.OWN,
+    **candidates.OWN,
+    "light_identity": (identity.light_identity_query, candidates.LIGHT_ORACLE),
 }
 
 
