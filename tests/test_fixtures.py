@@ -19,11 +19,6 @@ def test_exports(spark):
     assert found[2].endswith("0.00× tiempo real\n\n## Transcripción\n")
 
 
-def test_documents_read_back(spark):
-    docs = spark.createDataFrame([(1, '{"schema_version": 8, "text": "a", "segments": []}'), (2, "{broken"), (3, None), (4, " "), (5, "[1]")], "source_id long, document string")
-    assert {r.source_id: r.status for r in exports.read_documents(docs).collect()} == {1: "ok", 2: "corrupt", 3: "missing", 4: "missing", 5: "corrupt"}
-
-
 def test_snapshot_of_counts(spark):
     rows = [(1, 8, 9, [0, 1, 2, 3, 4, 5, 6, 7, 8, 10], [0, 1, 2, 3, 4, 6, 7, 8, 10]), (2, 0, 0, None, [3]), (3, None, 4, [1, 2, 3, 4], [1, 9])]
     found = {r.source_id: r for r in validation.snapshot(spark.createDataFrame(rows, "source_id long, raw int, engine int, identity_ids array<int>, assigned_ids array<int>")).collect()}

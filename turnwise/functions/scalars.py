@@ -119,5 +119,4 @@ QUERIES = {
     "unique_names": Query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
 SELECT doc_id, CASE WHEN k = 1 THEN concat(source, '.txt') ELSE concat(source, ' (', CAST(k AS STRING), ').txt') END AS name FROM n"""),
     "integrity_check": Query("""SELECT doc_id, CASE WHEN text = '' THEN 'missing' WHEN doc_id % 7 = 0 AND n_chars <> length(text) THEN 'size' WHEN doc_id % 5 = 0 AND substring(sha2(text, 256), 1, 1) IN ('0', '1') THEN 'hash' ELSE 'ok' END AS status FROM documents""", duck=(("sha2(text, 256)", "sha256(text)"),)),
-    "identity_text": Query("""SELECT source_id, raw_speaker, concat(CAST(count(*) AS STRING), CASE WHEN count(*) = 1 THEN ' muestra' ELSE ' muestras' END, ', ', CASE WHEN sum(end_ms - start_ms) > 0 THEN CAST(CAST(floor(sum(end_ms - start_ms) / 1000.0) AS BIGINT) AS STRING) ELSE '—' END, ' s') AS text FROM turns GROUP BY source_id, raw_speaker"""),
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.scalars import clean_text, srt_stamp
 from turnwise.operators.blocks import BLOCKS_CTE, reading_blocks
-from turnwise.plans.query import Query
 from turnwise.sources import views
 
 
@@ -78,42 +77,6 @@ def _files(spark, sf_dir) -> DataFrame:
     return sizes.select("source_id", F.concat(F.lit("/audio/file-"), F.col("source_id").cast("string"), F.lit(".wav")).alias("file"), F.lit("small").alias("model"), F.lit("").alias("language"), "audio_ms", "processing_ms")
 
 
-def document(blocks: DataFrame, segments: DataFrame, files: DataFrame) -> DataFrame:
-    """source_id, document: one JSON document of version 8 a source, with its segments, blocks, speakers and times."""
-    listed = lambda df, name, order, *columns: df.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), *columns))).alias(name))
-    seconds = lambda c: F.round(F.col(c) / 1000.0, 3).alias(c.replace("_ms", ""))
-    own = listed(segments, "segments", "place", seconds("start_ms"), seconds("end_ms"), clean_text(F.col("text")).alias("text"), "speaker")
-    read = listed(blocks, "blocks", "block", seconds("start_ms"), seconds("end_ms"), "speaker", "text", "segment_ids", "review_required")
-    voices = segments.groupBy("source_id", "speaker").agg(F.count("*").alias("segments"), F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000.0, 3).alias("seconds")).where("speaker is not null")
-    voices = voices.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "segments", "seconds"))).alias("speakers"))
-    joined = files.join(own, "source_id", "left").join(read, "source_id", "left").join(voices, "source_id", "left")
-    whole = F.struct(
-        F.lit(8).alias("schema_version"), F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "model", F.coalesce("language", F.lit("")).alias("language"), F.array_join(F.transform("segments", lambda s: s["text"]), " ").alias("text"), "segments", "blocks", "speakers",
-        F.struct(F.round(F.col("audio_ms") / 1000.0, 3).alias("audio_seconds"), F.round(F.col("processing_ms") / 1000.0, 3).alias("processing_seconds")).alias("metrics"),
-    )
-    return joined.select("source_id", F.to_json(whole).alias("document"))
-
-
-#: How a document reads back.
-DOCUMENT = "schema_version INT, text STRING, segments ARRAY<STRUCT<id: BIGINT, start: DOUBLE, end: DOUBLE, text: STRING, speaker: STRING>>, blocks ARRAY<STRUCT<id: BIGINT, review_required: BOOLEAN>>, speakers ARRAY<STRUCT<speaker: STRING, segments: BIGINT, seconds: DOUBLE>>, metrics STRUCT<audio_seconds: DOUBLE, processing_seconds: DOUBLE>"
-
-
-def read_documents(documents: DataFrame) -> DataFrame:
-    """source_id, doc, status of documents (source_id, document): ok, missing (null or blank) or corrupt (no JSON of a document)."""
-    doc = F.from_json("document", DOCUMENT)
-    status = F.when(F.trim(F.coalesce("document", F.lit(""))) == "", "missing").when(doc["schema_version"].isNull(), "corrupt").otherwise("ok")
-    return documents.select("source_id", F.when(status == "ok", doc).alias("doc"), status.alias("status"))
-
-
-def json_document_query(spark, sf_dir):
-    docs = document(_named_blocks(spark, sf_dir), _named_segments(spark, sf_dir), _files(spark, sf_dir))
-    return read_documents(docs).select(
-        "source_id", "status", F.col("doc.schema_version").alias("schema_version"), F.col("doc.text").alias("text"), F.size("doc.segments").cast("long").alias("n_segments"), F.size("doc.blocks").cast("long").alias("n_blocks"),
-        F.size(F.filter("doc.blocks", lambda b: b["review_required"])).cast("long").alias("n_review"), F.array_join(F.transform("doc.speakers", lambda s: F.concat(s["speaker"], F.lit("="), s["segments"].cast("string"))), ",").alias("speakers"),
-        F.col("doc.metrics.audio_seconds").alias("audio_seconds"),
-    )
-
-
 _DUCK_STAMP = "printf('%02d:%02d:%02d{}%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
 _stamp = lambda c, mark: _DUCK_STAMP.format(mark, c=c)
 _HM = "printf('%02d:%02d:%02d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60)"
@@ -140,14 +103,4 @@ SELECT source_id, rtrim('# Transcripción: file-' || source_id || '.wav' || chr(
         lambda spark, sf_dir: vtt(_named_segments(spark, sf_dir)),
         f"SELECT source_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_stamp('start_ms', '.')} || ' --> ' || {_stamp('end_ms', '.')} || chr(10) || 'Persona ' || (raw_speaker + 1) || ': ' || {_CLEAN} || chr(10), chr(10) ORDER BY seg_id) AS text FROM segments GROUP BY source_id",
     ),
-    "json_document": (
-        json_document_query,
-        rf"""{_B}, sp AS (SELECT source_id, 'Persona ' || (raw_speaker + 1) AS name, count(*) AS n FROM segments GROUP BY ALL), v AS (SELECT source_id, string_agg(name || '=' || n, ',' ORDER BY name) AS speakers FROM sp GROUP BY source_id),
-bl AS (SELECT source_id, count(*) AS n_blocks, count(*) FILTER (review_required) AS n_review FROM blocks GROUP BY source_id), sg AS (SELECT source_id, string_agg({_CLEAN}, ' ' ORDER BY seg_id) AS text, count(*) AS n_segments, round(max(end_ms) / 1000.0::DOUBLE, 3) AS audio_seconds FROM segments GROUP BY source_id)
-SELECT source_id, 'ok' AS status, 8 AS schema_version, text, n_segments, n_blocks, n_review, speakers, audio_seconds FROM sg JOIN bl USING (source_id) JOIN v USING (source_id)""",
-    ),
-}
-QUERIES = {
-    "report_rows": Query("""WITH t AS (SELECT source_id, count(*) AS segments, count(DISTINCT raw_speaker) AS speakers, max(end_ms) AS audio_ms FROM segments GROUP BY source_id)
-SELECT source_id, 'Segmentos' AS label, CAST(segments AS STRING) AS value FROM t UNION ALL SELECT source_id, 'Hablantes', CAST(speakers AS STRING) FROM t UNION ALL SELECT source_id, 'Audio (s)', CAST(CAST(floor(audio_ms / 1000.0) AS BIGINT) AS STRING) FROM t"""),
 }

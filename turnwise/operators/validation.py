@@ -78,7 +78,7 @@ SELECT source_id, speakers, retry, structural_status, status, status[:10] = 'est
   ELSE MAP {{'estimacion_estable_tras_reintento': 'confianza media', 'estimacion_acustica_estable': 'confianza estructural alta', 'conteo_fijado_por_usuario': 'conteo fijado por usuario', 'sin_estimacion': 'confianza no determinada'}}[status] END AS label FROM s"""
 
 
-def speaker_count_snapshot(spark, sf_dir):
+def snapshots(spark, sf_dir) -> DataFrame:
     """Raw: all speakers of the turns; engine: those of valid turns; audited: those with a turn of 0.8 s; assigned: those that
     segments of 3 s and more overlap most."""
     turns, segments = views.turns(spark, sf_dir), views.segments(spark, sf_dir)
@@ -88,7 +88,11 @@ def speaker_count_snapshot(spark, sf_dir):
     jobs = turns.groupBy("source_id").agg(
         F.countDistinct("raw_speaker").alias("raw"), F.countDistinct(F.when(valid, F.col("raw_speaker"))).alias("engine"), F.collect_set(F.when(F.col("end_ms") - F.col("start_ms") >= 800, F.col("raw_speaker"))).alias("identity_ids")
     )
-    out = snapshot(jobs.join(given, "source_id", "left"))
+    return snapshot(jobs.join(given, "source_id", "left"))
+
+
+def speaker_count_snapshot(spark, sf_dir):
+    out = snapshots(spark, sf_dir)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select(*[text(c) if c in ("unassigned_raw_ids", "text_ids_missing_from_identity_audit") else c for c in out.columns])
 
