@@ -43,8 +43,17 @@ MARKS = frozenset(
     "social share sharing related recommended complementary contentinfo search toolbar pagination pager legal copyright "
     "commentlist commentform adsbygoogle adbox adslot adunit sidenav topnav subnav mainnav sitenav sitefooter siteheader pagefooter pageheader cookiebar gdpr disclaimer feedback aside".split()
 )
+#: A name of several words marks a part if its last word does, unless its first is one of STATES (has-sidebar), or if its first word
+#: does and its last is one of PARTS (ad-slot, but not comments-open, widget-text or nav-free).
+STATES = frozenset("has no not with without is show hide hidden non after before js".split())
+PARTS = frozenset(
+    "area bar block body box button buttons card cards column container content form frame group holder inner item items left links list main panel popup posts row section slot stories strip title top unit widget wrap wrapper right bottom primary secondary site page global".split()
+)
+#: A part by its marks alone that holds this many times the unmarked text of a page isn't beside it, unless it is one of BESIDE.
+VOIDED = 10
+BESIDE = frozenset("comment comments commentlist reply replies respond disqus menu nav navbar navigation sidebar footer related recommended breadcrumb breadcrumbs cookie cookies consent ad ads advert adverts advertisement advertising sponsored".split())
 #: Words by whose hash a suffix is chosen, and the least words of a run that is taken out of a longer block.
-DEPTH, LONG = 8, 40
+DEPTH, LONG = 8, 24
 #: A run is repeated if at least this many distinct pages of a host hold it, and at least one in SHARE of all of them.
 LEAST_PAGES, SHARE = 3, 2
 #: Hashes of repeated runs in one broadcast, 8 bytes each; more of them are joined to the pages.
@@ -67,18 +76,33 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _words_of_marks(found: dict[str, str]) -> frozenset[str]:
-    return frozenset(w for k in ("class", "id", "role") if k in found for w in _SPLIT.split(found[k].lower()))
+def _marks_of(found: dict[str, str]) -> frozenset[str]:
+    """The words of class, id and role that can mark a part: names of one word, and of longer names the one that says what it is."""
+    out = set()
+    for k in ("class", "id", "role"):
+        for name in found.get(k, "").lower().split():
+            words = [w for w in _SPLIT.split(name) if w]
+            if len(words) == 1:
+                out.add(words[0])
+            elif words and words[0] not in STATES:
+                out.add(words[-1])
+                if words[-1] in PARTS:
+                    out.add(words[0])
+    return frozenset(out)
 
 
 def _is_main(tag: str, found: dict[str, str]) -> bool:
     return tag in ("article", "main") or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
 
 
-def blocks(page: str) -> list[tuple[str, int]]:
+def blocks(page: str, void: frozenset[int] = frozenset(), wrappers: list[list[int]] | None = None) -> list[tuple[str, int]]:
     """(text, kind) of a page's blocks in order. Kind 0: inside the article; 1: unmarked; 2: in a part beside it; 3: inside an
-    article that a marked part holds. Time is linear in the page, however broken its markup."""
+    article that a marked part holds. Time is linear in the page, however broken its markup.
+
+    void: places of tags in the page whose marks don't count. wrappers gets [place, characters, may be void] of every outermost
+    part by its marks."""
     out: list[tuple[str, int]] = []
+    marked: list[list[int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # tag, what it starts: 0 nothing, 1 a part beside, 2 one by its marks outside the article, 3 the article
     open_tags: Counter[str] = Counter()
@@ -90,6 +114,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
+                if starts[2] and not starts[1] and not starts[3]:
+                    marked[-1][1] += len(text)
                 out.append((text, 2 if starts[1] else (3 if starts[2] else 0) if starts[3] else 2 if starts[2] else 1))
 
     def close(down_to: int) -> None:
@@ -150,7 +176,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             at = size if closing < 0 else closing + 1
             continue
         named = _attributes(rest) if rest else {}
-        marks = _words_of_marks(named) if named else frozenset()
+        marks = _marks_of(named) if named else frozenset()
         kind = 0
         if tag in DROPPED or "hidden" in named or named.get("aria-hidden", "").lower() == "true":
             kind = 1
@@ -160,8 +186,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
             kind = (1 if starts[3] else 2) if tag == "article" and not _THREADS.isdisjoint(marks) else 3
         elif starts[3]:
             kind = 0 if INNER.isdisjoint(marks) else 1
-        elif not MARKS.isdisjoint(marks):
+        elif not MARKS.isdisjoint(marks) and sign not in void:
             kind = 2
+            if not starts[2]:
+                flush()
+                marked.append([sign, 0, BESIDE.isdisjoint(marks)])
         if kind and plain:
             flush()
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
@@ -175,13 +204,23 @@ def blocks(page: str) -> list[tuple[str, int]]:
         open_tags[tag] += 1
         starts[kind] += 1
     flush()
+    if wrappers is not None:
+        wrappers += marked
     return out
 
 
 def article(page: str) -> list[str]:
     """The blocks that may be the page's main text: those inside its article. Without one, those of an article inside a marked
-    part or the unmarked blocks, whichever have more text."""
-    found = blocks(page)
+    part or the unmarked blocks, whichever have more text. A mark round nearly all text of a page without an article is void; so
+    are marks inside of it that hold nearly all of the rest, as often as that is so, eight times at most."""
+    void: frozenset[int] = frozenset()
+    for _ in range(8):
+        wrappers: list[list[int]] = []
+        found = blocks(page, void, wrappers)
+        largest = max((w for w in wrappers if w[2]), key=lambda w: w[1], default=None)
+        if largest is None or any(x in (0, 3) for _, x in found) or largest[1] <= VOIDED * sum(len(t) for t, x in found if x == 1):
+            break
+        void |= {largest[0]}
     of = {k: [t for t, x in found if x == k] for k in (0, 1, 3)}
     return of[0] or max(of[3], of[1], key=lambda x: sum(map(len, x)))
 
@@ -334,7 +373,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     A page that marks its article (article, main) gives the blocks inside it, but for parts marked as beside it. Other pages
-    give their unmarked blocks. From both, what the host repeats is taken out: a block of fewer than 40 words, or a run of 40
+    give their unmarked blocks. From both, what the host repeats is taken out: a block of fewer than 24 words, or a run of 24
     words and more, that at least 3 distinct pages and half of the host's hold. Copies and most near copies count once, and
     a page that has nothing else keeps its text. Null or empty html and pages without text give an empty text; cut-off pages
     give what is there; repeated rows are alike; a null url is a host of its own, the empty one; other columns are passed over."""
