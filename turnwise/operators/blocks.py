@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,35 +13,72 @@ MAX_MS, MAX_CHARS, PAUSE_MS, SENTENCE_CHARS = 35_000, 650, 1_400, 180
 SENTENCE_END = r"""[.!?…]["'”’)]*$"""
 
 
+#: Segments of a piece of a run without a hard break, and how many segments a block can have at most: each has a character.
+PIECE, WIDEST = 4096, MAX_CHARS // 2 + 2
+
+
+def _cut(start, chars, ends, x_end, x_chars):
+    """Whether a segment opens a block behind an open one of which start, characters and the last sentence end are given."""
+    return (x_end - start > MAX_MS) | (chars + 1 + x_chars > MAX_CHARS) | (ends & (chars >= SENTENCE_CHARS))
+
+
+def _exits(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+    """For each place of a piece, or behind it, where a block may start: at which place behind the piece the first block starts that
+    starts there, if one starts here. Every place points at the start of the next block; pointers are followed from the right."""
+    piece = piece.sort_values("place")
+    size, rows = int((piece["at"] == key[2]).sum()), len(piece)
+    start, end, chars, ends = (piece[c].tolist() for c in ("start_ms", "end_ms", "n", "ends"))
+    out = list(range(-size, max(WIDEST, rows - size + 1)))
+    for i in reversed(range(size)):
+        held, j = chars[i], i + 1
+        while j < rows and not _cut(start[i], held, ends[j - 1], end[j], chars[j]):
+            held += 1 + chars[j]
+            j += 1
+        out[i] = out[j]
+    return pd.DataFrame({"source_id": [key[0]], "_isle": [key[1]], "_piece": [key[2]], "exits": [out[:WIDEST]]})
+
+
+def _entries(seg: DataFrame) -> DataFrame:
+    """source_id, _isle, _piece, _entry: at which place of each piece of a long run the first block starts."""
+    first = F.greatest(F.lit(0), F.floor((F.col("place") - WIDEST) / PIECE))
+    shared = seg.select("*", F.explode(F.sequence(first.cast("int"), F.col("at"))).alias("_piece"))
+    maps = shared.groupBy("source_id", "_isle", "_piece").applyInPandas(_exits, f"source_id {seg.schema['source_id'].dataType.simpleString()}, _isle long, _piece int, exits array<int>")
+    lists = maps.groupBy("source_id", "_isle").agg(F.array_sort(F.collect_list(F.struct("_piece", "exits"))).alias("l"))
+    walk = F.aggregate("l", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.get(x["exits"], F.element_at(a, -1)))))
+    return lists.select("source_id", "_isle", F.posexplode(walk).alias("_piece", "_entry"))
+
+
 def reading_blocks(segments: DataFrame, speaker: str = "raw_speaker") -> DataFrame:
     """One row a block: block, start_ms, end_ms, speaker, text, segment_ids, means of the confidences and review_required.
 
-    Whether a segment opens a block depends on where the open block began, so segments are folded in order by `aggregate`,
-    with an accumulator that holds the open block's bounds and the numbers given so far."""
+    Whether a segment opens a block depends on where the open block began, so segments are folded in order. Runs between hard breaks
+    (a new speaker or a pause) are folded apart, and long runs in pieces: each tells for every place where a block may start in it
+    where the first one behind it starts, so that these pointers, followed from piece to piece, give each its first block. Work
+    is linear in the segments, and a long run is spread over tasks."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     rows = segments.withColumn("_t", text).where("_t <> ''").withColumn("_s", F.col(speaker))
     order = Window.partitionBy("source_id").orderBy("start_ms", "end_ms", "seg_id")
-    # A new speaker or a pause opens a block whatever came before, so that only what lies between two of those is folded.
     hard = F.row_number().over(order) == 1
     hard = hard | ~F.col("_s").eqNullSafe(F.lag("_s").over(order)) | (F.col("start_ms") - F.lag("end_ms").over(order) >= PAUSE_MS)
     rows = rows.withColumn("_hard", hard.cast("int")).withColumn("_isle", F.sum("_hard").over(order)).drop("_hard")
-    seg = F.struct("start_ms", "end_ms", F.col("seg_id"), F.length("_t").alias("n"), F.col("_t").rlike(SENTENCE_END).alias("ends"))
-    lists = rows.groupBy("source_id", "_isle").agg(F.array_sort(F.collect_list(seg)).alias("l"))
-    empty = F.array().cast("array<struct<seg_id:bigint,block:int>>")
-    zero = F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("a"), F.lit(0).alias("n"), F.lit(False).alias("ends"), empty.alias("out"))
+    within = Window.partitionBy("source_id", "_isle").orderBy("start_ms", "end_ms", "seg_id")
+    rows = rows.withColumn("_place", F.row_number().over(within) - 1)
+    seg = rows.select("source_id", "_isle", F.col("_place").alias("place"), F.floor(F.col("_place") / PIECE).cast("int").alias("at"), "start_ms", "end_ms", F.length("_t").alias("n"), F.col("_t").rlike(SENTENCE_END).alias("ends"))
+    long = seg.where(F.col("place") == PIECE).select("source_id", "_isle")
+    entries = _entries(seg.join(long, ["source_id", "_isle"], "left_semi"))
+    lists = seg.withColumnRenamed("at", "_piece").groupBy("source_id", "_isle", "_piece").agg(F.array_sort(F.collect_list(F.struct("place", "start_ms", "end_ms", "n", "ends"))).alias("l"))
+    lists = lists.join(entries, ["source_id", "_isle", "_piece"], "left").withColumn("_from", F.coalesce("_entry", F.lit(0)) + F.col("_piece") * PIECE)
+    own = F.filter("l", lambda x: x["place"] >= F.col("_from"))
+    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).alias("n"), F.lit(False).alias("ends"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, x):
-        cut = (acc["block"] < 0) | (x["end_ms"] - acc["a"] > MAX_MS) | (acc["n"] + 1 + x["n"] > MAX_CHARS) | (acc["ends"] & (acc["n"] >= SENTENCE_CHARS))
-        block = acc["block"] + cut.cast("int")
-        return F.struct(
-            block.alias("block"), F.when(cut, x["start_ms"]).otherwise(acc["a"]).alias("a"), F.when(cut, x["n"]).otherwise(acc["n"] + 1 + x["n"]).alias("n"), x["ends"].alias("ends"),
-            F.concat(acc["out"], F.array(F.struct(x["seg_id"].alias("seg_id"), block.alias("block")))).alias("out"),
-        )
-
-    lists = lists.select("source_id", "_isle", F.aggregate("l", zero, step).alias("f"))
-    before = Window.partitionBy("source_id").orderBy("_isle").rowsBetween(Window.unboundedPreceding, -1)
-    lists = lists.withColumn("_first", F.coalesce(F.sum(F.col("f.block") + 1).over(before), F.lit(0)))
-    given = lists.select("source_id", "_first", F.explode("f.out").alias("x")).select("source_id", "x.seg_id", (F.col("_first") + F.col("x.block")).cast("int").alias("block"))
+        cut = (acc["n"] < 0) | _cut(acc["a"], acc["n"], acc["ends"], x["end_ms"], x["n"])
+        return F.struct(F.when(cut, x["start_ms"]).otherwise(acc["a"]).alias("a"), F.when(cut, x["n"]).otherwise(acc["n"] + 1 + x["n"]).alias("n"), x["ends"].alias("ends"), F.when(cut, F.concat(acc["starts"], F.array(x["place"]))).otherwise(acc["starts"]).alias("starts"))
+
+    starts = lists.select("source_id", "_isle", F.explode(F.aggregate(own, zero, step)["starts"]).alias("_place"), F.lit(1).alias("_new"))
+    given = rows.select("source_id", "_isle", "_place", "seg_id").join(starts, ["source_id", "_isle", "_place"], "left")
+    number = F.sum(F.coalesce("_new", F.lit(0))).over(Window.partitionBy("source_id").orderBy("_isle", "_place")) - 1
+    given = given.select("source_id", "seg_id", number.cast("int").alias("block"))
     joined = rows.join(given, ["source_id", "seg_id"])
     ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_id", F.col("_t").alias("t"), F.col("_s").alias("s"))))
     out = joined.groupBy("source_id", "block").agg(ordered.alias("l"), *(F.avg(c).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")))
