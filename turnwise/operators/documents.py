@@ -17,7 +17,7 @@ from turnwise.operators import candidates, exports, validation
 from turnwise.operators.blocks import BLOCKS_CTE, reading_blocks
 from turnwise.operators.identity import _OVERALL, _Dialect
 from turnwise.plans.query import over
-from turnwise.plans.shared import place
+from turnwise.plans.shared import place, written
 from turnwise.sources import views
 from turnwise.sources.files import read_files, write_files
 
@@ -377,7 +377,7 @@ def _jobs(spark, sf_dir) -> DataFrame:
         "identity_aware_selection", F.col("stability_delta").alias("auto_stability_delta_speakers"), F.col("reason").isNotNull().alias("auto_retry_requested"), F.col("retry_avoided").alias("auto_retry_avoided"), F.col("retry_skipped_budget").alias("auto_retry_skipped_budget"), F.col("budget_s").alias("diarization_time_budget_seconds"),
     )
     d = _Dialect(True)
-    look = over(spark, f"WITH {d.summary()}, {_OVERALL}, shown AS (SELECT DISTINCT source_id AS s, raw_speaker AS r, dense_rank() OVER (PARTITION BY source_id ORDER BY f) AS place FROM (SELECT source_id, raw_speaker, min(seg_id) AS f FROM segments GROUP BY source_id, raw_speaker) x) SELECT v.*, o.overall_confidence, place FROM verdict v JOIN overall o ON v.source_id = o.source_id LEFT JOIN shown ON v.source_id = s AND speaker = r", {"turn_embeddings": views.turn_embeddings(spark, sf_dir), "segments": segments})
+    look = over(spark, f"WITH {d.summary()}, {_OVERALL}, shown AS (SELECT DISTINCT source_id AS s, raw_speaker AS r, dense_rank() OVER (PARTITION BY source_id ORDER BY f) AS place FROM (SELECT source_id, raw_speaker, min(seg_id) AS f FROM segments GROUP BY source_id, raw_speaker) x) SELECT v.*, o.overall_confidence, place FROM verdict v JOIN overall o ON v.source_id = o.source_id LEFT JOIN shown ON v.source_id = s AND speaker = r", {"turn_embeddings": written(views.sampled_turns(spark, sf_dir), "sampled-turns"), "segments": segments})
     six = lambda c, n: F.round(c, 6).alias(n)
     said = F.struct("speaker", F.concat(F.lit("Persona "), F.col("place").cast("string")).alias("display_name"), "confidence", "turns", "embedded_turns", (F.col("total_ms") / 1000.0).alias("total_seconds"), (F.col("max_gap_ms") / 1000.0).alias("max_gap_seconds"), six("pair", "pair_similarity"), six("own_median", "prototype_similarity_median"), six("own_min", "prototype_similarity_min"), six("rival", "rival_similarity_max"))
     whole = look.groupBy("source_id", "overall_confidence").agg(F.array_sort(F.collect_list(said)).alias("speakers"))
@@ -449,7 +449,7 @@ _VALUES = ", ".join(f"('{k}', '{m}', '{a}', '{d}', {b})" for k, (m, a, d, b) in
 _JOBS_SQL = f"""{candidates.PASSES_SQL}, presets(k, model, asr, diar, beam) AS (VALUES {_VALUES}),
 shown AS (SELECT source_id, raw_speaker, 'Persona ' || row_number() OVER (PARTITION BY source_id ORDER BY f) AS speaker FROM (SELECT source_id, raw_speaker, min(seg_id) AS f FROM segments GROUP BY ALL)),
 snap AS ({validation.OWN['speaker_count_snapshot'][1]}),
-idn AS (WITH {_D.summary()}, {_OVERALL} SELECT v.*, overall_confidence FROM verdict v JOIN overall USING (source_id)),
+idn AS (WITH {_D.summary().replace('turn_embeddings', 'sampled_turns')}, {_OVERALL} SELECT v.*, overall_confidence FROM verdict v JOIN overall USING (source_id)),
 over_all AS (SELECT DISTINCT source_id AS o_id, overall_confidence FROM idn),
 base AS (SELECT s.source_id, g.glossary, lower(regexp_extract(g.glossary, '^[A-Za-z]+')) AS word, coalesce(profile, 'Personalizado') AS gp, strftime(latest, '%Y-%m-%dT%H:%M:%S') AS created_at, audio_cs, model_load_cs, asr_cs, diarization_cs, export_cs, overhead_cs,
   coalesce(asr_cs + diarization_cs + export_cs + overhead_cs, 0) AS work FROM (SELECT DISTINCT source_id FROM segments) s JOIN (SELECT source_id, arg_min(text, seg_id) AS glossary FROM segments GROUP BY 1) g USING (source_id)

@@ -136,6 +136,11 @@ def _both(make) -> Query:
     return Query(make(_Dialect(True)), duck_sql=make(_Dialect(False)))
 
 
+def _sampled(make) -> Query:
+    """As _both, from the vectors that identities are made from."""
+    return _both(lambda d: make(d).replace("turn_embeddings", "sampled_turns"))
+
+
 def cluster_candidates(found: DataFrame) -> DataFrame:
     """found (source_id, turn_index, k, start_ms, end_ms, embedding) with lead: k of the first seed that a candidate matches by a
     cosine of 0.55. A candidate is a seed unless an earlier seed matches it; k is 1, 2, ... in a source.
@@ -187,12 +192,12 @@ def refine(turns: DataFrame, last: int = 4) -> DataFrame:
 
 
 def refine_identities(spark, sf_dir):
-    found = refine(views.turn_embeddings(spark, sf_dir), 3)
+    found = refine(views.sampled_turns(spark, sf_dir), 3)
     return found.selectExpr("source_id", "turn_index", "was AS from_speaker", "speaker AS to_speaker", "was <> speaker AS reassigned", "made AS new_identity")
 
 
 def refine_identities_v52(spark, sf_dir):
-    found = refine(views.turn_embeddings(spark, sf_dir), 4)
+    found = refine(views.sampled_turns(spark, sf_dir), 4)
     return over(spark, f"SELECT {_RECOUNT} FROM found GROUP BY source_id", {"found": found})
 
 
@@ -263,8 +268,8 @@ SELECT source_id, turn_index, place FROM (SELECT *, row_number() OVER (PARTITION
 
 OWN = {
     "scan_candidates": (scan_candidates_query, SCAN_ORACLE),
-    "refine_identities": (refine_identities, f"WITH RECURSIVE {_Dialect(False).refined(3)}, every AS (SELECT source_id, turn_index, was, speaker, made FROM e3 UNION ALL {_REST}) SELECT source_id, turn_index, was AS from_speaker, speaker AS to_speaker, was <> speaker AS reassigned, made AS new_identity FROM every"),
-    "refine_identities_v52": (refine_identities_v52, f"WITH RECURSIVE {_Dialect(False).refined(4)}, every AS (SELECT source_id, turn_index, was, speaker, made FROM e4 UNION ALL {_REST}) SELECT {_RECOUNT} FROM every GROUP BY source_id"),
+    "refine_identities": (refine_identities, f"WITH RECURSIVE {_Dialect(False).refined(3)}, every AS (SELECT source_id, turn_index, was, speaker, made FROM e3 UNION ALL {_REST}) SELECT source_id, turn_index, was AS from_speaker, speaker AS to_speaker, was <> speaker AS reassigned, made AS new_identity FROM every".replace("turn_embeddings", "sampled_turns")),
+    "refine_identities_v52": (refine_identities_v52, f"WITH RECURSIVE {_Dialect(False).refined(4)}, every AS (SELECT source_id, turn_index, was, speaker, made FROM e4 UNION ALL {_REST}) SELECT {_RECOUNT} FROM every GROUP BY source_id".replace("turn_embeddings", "sampled_turns")),
     "light_identity": (light_identity_query, None),
 }
 QUERIES = {
@@ -273,11 +278,11 @@ SELECT vec_id, round(norm, 6) AS norm, CASE WHEN norm > 0 AND norm < double('Inf
         duck_sql="""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS v FROM embeddings)
 SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, CASE WHEN vec_id % 5 > 0 THEN array_to_string(list_transform(v[1:3], lambda x: round(x / sqrt(list_inner_product(v, v)) * 10000)::BIGINT), ',') END AS unit FROM v"""),
     "cosine_pairs": _both(lambda d: f"SELECT a.source_id, a.turn_index, round({d.sim('a.embedding', 'b.embedding')}, 6) AS cosine FROM turn_embeddings a JOIN turn_embeddings b ON a.source_id = b.source_id AND b.turn_index = a.turn_index + 1"),
-    "pair_similarity": _both(lambda d: f"WITH {_E0}, {d.pairs('q', 'e0')} SELECT source_id, speaker, round(pair, 6) AS pair, suspect FROM q"),
-    "prototypes": _both(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')} SELECT source_id, speaker, medoid_index, n, round({d.at('proto', 0)}, 6) AS p0, round({d.at('proto', 1)}, 6) AS p1 FROM p"),
-    "rival_search": _both(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')}, {d.rivals('r', 'e0', 'p')} SELECT source_id, turn_index, best_sp, round(best, 6) AS best, round(second, 6) AS second FROM r"),
-    "identity_summary": _both(lambda d: f"WITH {d.summary()} SELECT source_id, speaker, turns, embedded_turns, total_ms, first_start, last_start, max_gap_ms, round(pair, 6) AS pair_similarity, round(own_min, 6) AS prototype_similarity_min, round(own_median, 6) AS prototype_similarity_median, round(rival, 6) AS rival_similarity_max, confidence, identity_warning, total_ms < 3000 AS brief_identity FROM verdict"),
-    "identity_overall": _both(lambda d: f"WITH {d.summary()}, {_OVERALL} SELECT * FROM overall"),
+    "pair_similarity": _sampled(lambda d: f"WITH {_E0}, {d.pairs('q', 'e0')} SELECT source_id, speaker, round(pair, 6) AS pair, suspect FROM q"),
+    "prototypes": _sampled(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')} SELECT source_id, speaker, medoid_index, n, round({d.at('proto', 0)}, 6) AS p0, round({d.at('proto', 1)}, 6) AS p1 FROM p"),
+    "rival_search": _sampled(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')}, {d.rivals('r', 'e0', 'p')} SELECT source_id, turn_index, best_sp, round(best, 6) AS best, round(second, 6) AS second FROM r"),
+    "identity_summary": _sampled(lambda d: f"WITH {d.summary()} SELECT source_id, speaker, turns, embedded_turns, total_ms, first_start, last_start, max_gap_ms, round(pair, 6) AS pair_similarity, round(own_min, 6) AS prototype_similarity_min, round(own_median, 6) AS prototype_similarity_median, round(rival, 6) AS rival_similarity_max, confidence, identity_warning, total_ms < 3000 AS brief_identity FROM verdict"),
+    "identity_overall": _sampled(lambda d: f"WITH {d.summary()}, {_OVERALL} SELECT * FROM overall"),
     "embedding_eligibility": Query("SELECT source_id, turn_index, CASE WHEN end_ms - start_ms < 800 THEN 'short' WHEN end_ms - start_ms >= 18000 THEN 'long' ELSE 'eligible' END AS kind FROM turn_embeddings"),
     "embedding_sampling": Query(f"WITH {_sampling(8, 64)} SELECT * FROM picked"),
     "extraction_summary": Query(f"WITH {_sampling(8, 64)}, {_EXTRACTED} SELECT * FROM extracted",
@@ -288,7 +293,7 @@ SELECT t.source_id, count(*) FILTER (end_ms - start_ms BETWEEN 800 AND 17999) AS
 k AS (SELECT source_id, start_ms, end_ms, count(*) AS n FROM asks GROUP BY source_id, start_ms, end_ms)
 SELECT source_id, CAST(sum(n) AS BIGINT) AS asked, CAST(sum(n - 1) AS BIGINT) AS cache_hits, CAST(sum(CASE WHEN end_ms - start_ms >= 800 THEN 1 ELSE 0 END) AS BIGINT) AS embedding_calls FROM k GROUP BY source_id""",
         duck_sql="SELECT source_id, count(*) + count(*) FILTER (end_ms - start_ms < 18000) AS asked, count(*) FILTER (end_ms - start_ms < 18000) AS cache_hits, count(*) FILTER (end_ms - start_ms >= 800) AS embedding_calls FROM turn_embeddings GROUP BY source_id"),
-    "long_turn_probe": _both(lambda d: f"""WITH {_E0}, {d.prototypes('p', 'e0')}, l AS (SELECT source_id, turn_index, speaker FROM turn_embeddings WHERE end_ms - start_ms >= 18000),
+    "long_turn_probe": _both(lambda d: f"""WITH {_E0.replace('turn_embeddings', 'sampled_turns')}, {d.prototypes('p', 'e0')}, l AS (SELECT source_id, turn_index, speaker FROM turn_embeddings WHERE end_ms - start_ms >= 18000),
 w AS (SELECT l.source_id, l.turn_index, l.speaker, e.turn_index AS w_index, e.embedding FROM l JOIN turn_embeddings e ON l.source_id = e.source_id AND e.turn_index >= l.turn_index AND e.turn_index < l.turn_index + 3),
 c AS (SELECT w.source_id, w.turn_index, count(*) AS windows, min({d.sim('w.embedding', 'p.proto')}) AS lowest, count(p.speaker) AS sims FROM w LEFT JOIN p ON w.source_id = p.source_id AND w.speaker = p.speaker GROUP BY w.source_id, w.turn_index),
 m AS (SELECT a.source_id, a.turn_index, median({d.sim('a.embedding', 'b.embedding')}) AS mutual FROM w a JOIN w b ON a.source_id = b.source_id AND a.turn_index = b.turn_index AND a.w_index < b.w_index GROUP BY a.source_id, a.turn_index)

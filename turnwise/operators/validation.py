@@ -9,6 +9,7 @@ from turnwise.operators.identity import _Dialect
 from turnwise.operators.intervals import assign_speakers
 from turnwise.operators.structure import _RETRY, STRUCTURE, STRUCTURE_B
 from turnwise.plans.query import over
+from turnwise.plans.shared import written
 from turnwise.sources import views
 
 
@@ -60,15 +61,19 @@ _JOBS = _JOBS.replace("{retry}", _RETRY)
 _CONFIDENCE = "n AS (SELECT source_id AS n_id, CAST(sum(CASE WHEN confidence = 'baja' THEN 1 ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN confidence IN ('media', 'sin_datos', 'insuficiente') THEN 1 ELSE 0 END) AS BIGINT) AS doubts FROM verdict GROUP BY source_id)"
 
 
+_SUMMARY = _Dialect(True).summary().replace("turn_embeddings", "sampled_turns")
+
+
 def count_validation(spark, sf_dir):
-    tables = {n: views.VIEWS[n](spark, sf_dir) for n in ("segments", "turns", "turn_embeddings")}
+    # Written once, as both passes and every part of the summary read them.
+    tables = {n: written(views.VIEWS[n](spark, sf_dir), n) for n in ("segments", "turns", "sampled_turns")}
     jobs = over(spark, f"WITH {STRUCTURE}, {STRUCTURE_B}, {_JOBS} SELECT * FROM jobs", tables)
-    own = over(spark, f"WITH {_Dialect(True).summary()}, {_CONFIDENCE} SELECT n_id, CASE WHEN low > 0 THEN 'baja' WHEN doubts > 0 THEN 'media' ELSE 'alta' END AS confidence FROM n", tables)
+    own = over(spark, f"WITH {_SUMMARY}, {_CONFIDENCE} SELECT n_id, CASE WHEN low > 0 THEN 'baja' WHEN doubts > 0 THEN 'media' ELSE 'alta' END AS confidence FROM n", tables)
     jobs = jobs.join(own, F.col("source_id") == F.col("n_id"), "left")
     return validated(jobs).select("source_id", "speakers", "retry", "structural_status", "status", "ambiguous", "label")
 
 
-VALIDATION_ORACLE = f"""WITH {_Dialect(False).summary()}, {_CONFIDENCE}, {STRUCTURE}, {STRUCTURE_B}, {_JOBS},
+VALIDATION_ORACLE = f"""WITH {_Dialect(False).summary().replace('turn_embeddings', 'sampled_turns')}, {_CONFIDENCE}, {STRUCTURE}, {STRUCTURE_B}, {_JOBS},
 j AS (SELECT jobs.*, CASE WHEN n.low > 0 THEN 'baja' WHEN n.doubts > 0 THEN 'media' WHEN n.low = 0 THEN 'alta' ELSE 'sin_datos' END AS conf FROM jobs LEFT JOIN n ON n_id = source_id),
 rules(rank, structural_status) AS (VALUES (1, 'conteo_fijado_por_usuario'), (2, 'sin_estimacion'), (3, 'estimacion_inestable'), (4, 'estimacion_sospechosa'), (5, 'estimacion_estable_tras_reintento'), (6, 'estimacion_acustica_estable')),
 r AS (SELECT *, list_position([manual IS NOT NULL, speakers <= 0, retry AND delta > 3, penalty >= 2.0, retry, true], true) AS rank FROM j),

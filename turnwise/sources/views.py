@@ -64,6 +64,27 @@ def turn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", (F.row_number().over(order) - 1).cast("long").alias("turn_index"), start.alias("start_ms"), (start + F.col("d")).alias("end_ms"), "speaker", "embedding")
 
 
+#: Vectors of a speaker and of a source that identities are made from.
+MOST_OF_SPEAKER, MOST_OF_SOURCE = 8, 64
+
+
+def sampled(turns: DataFrame, per_speaker: int = MOST_OF_SPEAKER, total: int = MOST_OF_SOURCE) -> DataFrame:
+    """turns (source_id, turn_index, start_ms, end_ms, speaker, embedding) with null in the place of vectors that aren't used: of the
+    turns of 0.8 to 18 s a speaker's first, last and longest count, and of those the longest of the source."""
+    length = F.col("end_ms") - F.col("start_ms")
+    own = Window.partitionBy("source_id", "speaker", "_ok")
+    first, last = F.row_number().over(own.orderBy("start_ms", "turn_index")) == 1, F.row_number().over(own.orderBy(F.desc("start_ms"), F.desc("turn_index"))) == 1
+    rows = turns.withColumn("_ok", F.coalesce((length >= 800) & (length < 18_000) & F.col("embedding").isNotNull(), F.lit(False))).withColumn("_rank", F.when(first, 0).when(last, 1).otherwise(2))
+    rows = rows.withColumn("_pick", F.col("_ok") & (F.row_number().over(own.orderBy("_rank", F.desc(length), "turn_index")) <= per_speaker))
+    rows = rows.withColumn("_pick", F.col("_pick") & (F.row_number().over(Window.partitionBy("source_id", "_pick").orderBy(F.desc(length), "speaker", "turn_index")) <= total))
+    return rows.withColumn("embedding", F.when(F.col("_pick"), F.col("embedding"))).select(*turns.columns)
+
+
+def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turn_embeddings with the vectors that identities are made from."""
+    return sampled(turn_embeddings(spark, sf_dir))
+
+
 def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage times of a job, in hundredths of a second."""
     e = read(spark, sf_dir, "events")
@@ -90,7 +111,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick("documents", "doc_id", "text").unionByName(pick("benchmark", "item_id", "text"))
 
 
-VIEWS = {f.__name__: f for f in (segments, words, turns, turn_embeddings, job_metrics, chunk_segments, texts)}
+VIEWS = {f.__name__: f for f in (segments, words, turns, turn_embeddings, sampled_turns, job_metrics, chunk_segments, texts)}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: The same views for DuckDB, each after those that it reads.
@@ -112,6 +133,11 @@ DUCK = {
     sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM (
     SELECT vec_id % 20 AS source_id, vec_id, label AS speaker, [500, 1000, 2000, 3000, 6000, 12000, 20000][vec_id % 7 + 1]::BIGINT AS d,
       list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i - 1 = label THEN (vec_id % 8) * 0.2::DOUBLE + 0.6::DOUBLE ELSE 0 END) AS v FROM embeddings)))""",
+    "sampled_turns": f"""sampled_turns AS (WITH ok AS (SELECT *, end_ms - start_ms AS d FROM turn_embeddings WHERE end_ms - start_ms BETWEEN 800 AND 17999 AND embedding IS NOT NULL),
+  ends AS (SELECT source_id, speaker, arg_min(turn_index, start_ms) AS a, arg_max(turn_index, start_ms) AS z FROM ok GROUP BY ALL),
+  few AS (SELECT ok.* FROM ok JOIN ends USING (source_id, speaker) QUALIFY row_number() OVER (PARTITION BY source_id, speaker ORDER BY turn_index NOT IN (a, z), turn_index <> a, d DESC, turn_index) <= {MOST_OF_SPEAKER}),
+  chosen AS (SELECT source_id, turn_index FROM few QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY d DESC, speaker, turn_index) <= {MOST_OF_SOURCE})
+  SELECT t.* REPLACE (CASE WHEN s.turn_index IS NOT NULL THEN embedding END AS embedding) FROM turn_embeddings t LEFT JOIN chosen s ON s.source_id = t.source_id AND s.turn_index = t.turn_index)""",
     "job_metrics": "job_metrics AS (SELECT user_id AS job_id, (count(*) * 1000)::BIGINT AS audio_cs, " + ", ".join(
         f"coalesce(sum(CASE WHEN event_type = '{k}' THEN floor(value * 100)::BIGINT END), 0)::BIGINT AS {v}" for k, v in (("error", "model_load_cs"), ("click", "asr_cs"), ("view", "diarization_cs"), ("purchase", "export_cs"), ("signup", "overhead_cs"))
     ) + " FROM events GROUP BY user_id)",
@@ -120,4 +146,4 @@ DUCK = {
     SELECT s.*, least(floor((end_ms - 1) / 88000), n - 1)::BIGINT AS last FROM segments s JOIN (SELECT source_id, greatest(1, ceil(greatest(0, max(end_ms) - 2000) / 88000))::BIGINT AS n FROM segments GROUP BY source_id) USING (source_id))))""",
     "texts": "texts AS (SELECT 'documents' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark)",
 }
-NEEDS = {"words": ("segments",), "turns": ("segments",), "chunk_segments": ("segments",)}
+NEEDS = {"sampled_turns": ("turn_embeddings",), "words": ("segments",), "turns": ("segments",), "chunk_segments": ("segments",)}
