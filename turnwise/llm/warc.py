@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -111,11 +113,121 @@ class _Part(InputPartition):
     file: str
     start: int
     end: int
+    listed: bool = True
+
+
+_HEAD = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
+_AFTER = re.compile(rb"\r?\n\r?\n(?=WARC/[0-9]+\.[0-9]+\r?\n)")
+_GZIP = b"\x1f\x8b\x08"
+
+
+class _Bytes:
+    """Bytes of an archive from a place on: as they stand, or inflated to the end of a gzip member."""
+
+    def __init__(self, f, at: int, gzip: bool):
+        self.f, self.at, self.inflate, self.held, self.over = f, at, zlib.decompressobj(31) if gzip else None, b"", False
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are at hand, after reading on."""
+        while len(self.held) < n and not self.over:
+            self.f.seek(self.at)
+            chunk = self.f.read(1 << 16)
+            self.at += len(chunk)
+            self.over = not chunk
+            if self.inflate:
+                data = self.inflate.decompress(chunk)
+                if self.inflate.eof:
+                    self.over, self.at = True, self.at - len(self.inflate.unused_data)
+                self.held += data
+            else:
+                self.held += chunk
+        return len(self.held) >= n
+
+    def take(self, n: int) -> bytes:
+        self.fill(n)
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def skip(self, n: int) -> None:
+        if not self.inflate and n > len(self.held):
+            self.at, self.held = self.at + n - len(self.held), b""
+        while n and (self.held or self.fill(1)):
+            step = min(n, len(self.held))
+            self.held, n = self.held[step:], n - step
+
+    def head(self) -> tuple[dict[str, str], int] | None:
+        """The header of the next record, names in lower case, and its bytes; None at the end."""
+        while self.fill(1) and self.held[:1] in b"\r\n":
+            self.held = self.held[1:]
+        n = 4096
+        while True:
+            self.fill(n)
+            m = re.search(rb"\r?\n\r?\n", self.held)
+            if m or self.over or n > 1 << 24:
+                break
+            n *= 4
+        if m is None or not _HEAD.match(self.held):
+            if self.held.strip():
+                raise ValueError("no WARC record where one should start")
+            return None
+        lines = re.sub(r"\r?\n[ \t]+", " ", self.take(m.end()).decode("utf-8", "replace")).splitlines()[1:]
+        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}, m.end()
+
+
+def _next_member(f, at: int, size: int) -> int:
+    """The first place from `at` on where a gzip member starts that holds a record, or the file's end."""
+    while at < size:
+        f.seek(at)
+        chunk = f.read(1 << 20)
+        hit = chunk.find(_GZIP)
+        while hit >= 0:
+            f.seek(at + hit)
+            try:
+                if zlib.decompressobj(31).decompress(f.read(4096), 5).startswith(b"WARC/"):
+                    return at + hit
+            except zlib.error:
+                pass
+            hit = chunk.find(_GZIP, hit + 1)
+        at += max(1, len(chunk) - 2) if at + len(chunk) < size else len(chunk) or size
+    return size
+
+
+def _next_record(f, at: int, size: int) -> int:
+    """The first place from `at` on where a record of an uncompressed archive starts behind another one's end, or the file's end. What
+    looks like one must have a type and a length that leads to the next record or to the end. (An archive that holds others
+    uncompressed, as payloads, can still mislead a part that starts inside of one; it is to be read as one part.)"""
+    start = max(0, at - 64)
+    while start < size:
+        f.seek(start)
+        chunk = f.read((1 << 20) + 64)
+        for m in _AFTER.finditer(chunk):
+            place = start + m.end()
+            if place >= at and _leads_on(f, place):
+                return place
+        start += 1 << 20
+    return size
+
+
+def _leads_on(f, place: int) -> bool:
+    data = _Bytes(f, place, False)
+    try:
+        head, _ = data.head()
+    except ValueError:
+        return False
+    if "warc-type" not in head or not head.get("content-length", "").isdigit():
+        return False
+    data.skip(int(head["content-length"]))
+    after = data.take(32)
+    return not after.strip() or bool(re.match(rb"\r?\n\r?\nWARC/", after))
 
 
 class _Reader(DataSourceReader):
     """Options: path; payload full (decoded, checked and returned), verify (decoded and checked only) or skip (never decoded).
 
+    path: a folder that this module wrote, a folder with .warc and .warc.gz files below it, or such a file. Files are planned in
+    parts of PART_BYTES; a part has the records that start in it. Of archives by others, page_id and refers_to are null, payload_digest
+    is computed where no SHA-256 is told, and payload_bytes and payload_digest may be null where the payload is skipped.
+
     Filters on record_type, page_id and target_uri are tested on the headers; the payload of a record that fails isn't inflated."""
 
     FIELDS = ("record_type", "page_id", "target_uri")
@@ -134,14 +246,21 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         fs, root = _open(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            listed = json.loads(f.read())
-        return [_Part(x["file"], a, b) for x in listed for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)] or [_Part("", 0, 0)]
+        found = fs.get_file_info(root)
+        if found.is_file:
+            files = [(root, found.size)]
+        elif fs.get_file_info(f"{root}/{MANIFEST}").is_file:
+            with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
+                listed = json.loads(f.read())
+            return [_Part(f"{root}/{x['file']}", a, b) for x in listed for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)] or [_Part("", 0, 0)]
+        else:
+            files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith((".warc", ".warc.gz")))
+        return [_Part(path, a, min(size, a + PART_BYTES), False) for path, size in files for a in range(0, size, PART_BYTES)] or [_Part("", 0, 0)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         rows, held = [], 0
-        for row in self._records(part):
+        for row in self._records(part) if part.listed else self._found(part):
             rows.append(row)
             held += len(row["payload"] or b"") + 200
             if held > 4 << 20:
@@ -152,8 +271,8 @@ class _Reader(DataSourceReader):
     def _records(self, part: _Part) -> Iterator[dict]:
         if not part.file:
             return
-        fs, root = _open(self.path)
-        with fs.open_input_file(f"{root}/{part.file}") as f:
+        fs, _ = _open(self.path)
+        with fs.open_input_file(part.file) as f:
             at = part.start
             while at < part.end:
                 f.seek(at)
@@ -190,6 +309,68 @@ class _Reader(DataSourceReader):
                 at += total
 
 
+    def _found(self, part: _Part) -> Iterator[dict]:
+        """The records that start in a part of any archive: gzip members are found by their first bytes and what they hold, records of
+        uncompressed files by the end of the one before. What filters leave out isn't inflated if the next member's start and
+        the length that this one tells of itself agree that it holds nothing else."""
+        fs, _ = _open(self.path)
+        gzip = part.file.endswith(".gz")
+        with fs.open_input_file(part.file) as f:
+            size = f.size()
+            at = _next_member(f, part.start, size) if gzip else part.start if part.start == 0 else _next_record(f, part.start, size)
+            while at < part.end:
+                start, data = at, _Bytes(f, at, gzip)
+                while (found := data.head()) is not None:
+                    head, length = found
+                    row, body = self._row(head), int(head.get("content-length", 0))
+                    good = all(row[k] in wanted for k, wanted in self.tests.items())
+                    if good and self.payload != "skip":
+                        yield row | self._payload(head, data.take(body), row, part.file)
+                        body = 0
+                    elif good:
+                        yield row
+                    if not body:
+                        pass
+                    elif gzip:
+                        following = _next_member(f, start + 1, size)
+                        f.seek(following - 4)
+                        if f.read(4) == struct.pack("<I", (length + body + 4) & 0xFFFFFFFF):
+                            data.at = following
+                            break
+                        data.skip(body)
+                    else:
+                        data.skip(body)
+                    if not gzip:
+                        while data.fill(1) and data.held[:1] in b"\r\n":
+                            data.held = data.held[1:]
+                        break
+                at = data.at if gzip else data.at - len(data.held)
+                if not gzip and not data.fill(1):
+                    return
+
+    @staticmethod
+    def _row(head: dict[str, str]) -> dict:
+        digest = head.get("warc-payload-digest", "")
+        number = lambda k: int(head[k]) if head.get(k, "").isdigit() else None
+        return {
+            "record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "page_id": number("x-page-id"), "target_uri": head.get("warc-target-uri", "").strip("<>") or None, "refers_to": number("x-refers-to-page"),
+            "payload_bytes": number("x-payload-bytes"), "payload_digest": digest[7:] if digest.startswith("sha256:") else None, "payload": None,
+        }
+
+    def _payload(self, head: dict[str, str], block: bytes, row: dict, file: str) -> dict:
+        """The payload of a block: what stands behind the HTTP header, or all of it. Digests by SHA-256 and SHA-1 are checked."""
+        http = head.get("content-type", "").startswith("application/http")
+        m = re.search(rb"\r?\n\r?\n", block) if http else None
+        payload = block[m.end() :] if m else b"" if http else block
+        if row["record_type"] == "revisit":
+            return {}
+        kind, _, told = head.get("warc-payload-digest", "").partition(":")
+        own = {"sha256": lambda: hashlib.sha256(payload).hexdigest(), "sha1": lambda: base64.b32encode(hashlib.sha1(payload).digest()).decode()}.get(kind.lower())
+        if own and told.lower() not in (own().lower(), hashlib.sha1(payload).hexdigest()):
+            raise ValueError(f"{file}: the payload of {row['record_id']} isn't that of its digest")
+        return {"payload_bytes": len(payload), "payload_digest": row["payload_digest"] or hashlib.sha256(payload).hexdigest(), "payload": payload if self.payload == "full" else None}
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
