@@ -116,7 +116,5 @@ QUERIES = {
     "path_containment": Query("SELECT page_id, url LIKE 'http://blog.%' OR url LIKE 'https://blog.%' AS in_blog, startswith(url, concat('https://m.thther.example.org', '/')) OR url = 'https://m.thther.example.org' AS inside FROM pages", duck=(("startswith(", "starts_with("),)),
     "spanish_date": Query("SELECT event_id, concat(CAST(day(ts) AS STRING), ' de ', element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT)), ' de ', CAST(year(ts) AS STRING), ' ', lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0')) AS text FROM events",
         duck=(("element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT))", "string_split('" + ",".join(MONTHS) + "', ',')[month(ts)]"),)),
-    "unique_names": Query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
-SELECT doc_id, CASE WHEN k = 1 THEN concat(source, '.txt') ELSE concat(source, ' (', CAST(k AS STRING), ').txt') END AS name FROM n"""),
     "integrity_check": Query("""SELECT doc_id, CASE WHEN text = '' THEN 'missing' WHEN doc_id % 7 = 0 AND n_chars <> length(text) THEN 'size' WHEN doc_id % 5 = 0 AND substring(sha2(text, 256), 1, 1) IN ('0', '1') THEN 'hash' ELSE 'ok' END AS status FROM documents""", duck=(("sha2(text, 256)", "sha256(text)"),)),
 }

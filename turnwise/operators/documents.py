@@ -16,6 +16,7 @@ from turnwise.functions.scalars import clean_text, number
 from turnwise.operators import candidates, exports, validation
 from turnwise.operators.blocks import BLOCKS_CTE, reading_blocks
 from turnwise.operators.identity import _OVERALL, _Dialect
+from turnwise.operators.names import unique_names
 from turnwise.plans.query import over
 from turnwise.plans.shared import place, written
 from turnwise.sources import views
@@ -210,10 +211,9 @@ def _as_files(wide: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return wide.select("source_id", F.explode(F.array(*(F.struct(F.concat("stem", F.lit(f".{k}")).alias("name"), F.col(k).alias("text")) for k in kinds))).alias("f")).select("source_id", "f.*")
 
 
-def unique_stems(jobs: DataFrame) -> DataFrame:
-    """jobs with stem replaced by a name of its own: `stem`, `stem (2)`, ... in the order of source_id."""
-    order = F.row_number().over(Window.partitionBy("stem").orderBy("source_id"))
-    return jobs.withColumn("stem", F.when(order == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" ("), order.cast("string"), F.lit(")"))))
+def unique_stems(jobs: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """jobs with stem replaced by a name of its own, in the order of source_id; taken (name): stems that are given already."""
+    return unique_names(jobs, "source_id", taken).drop("stem").withColumnRenamed("name", "stem")
 
 
 def revision(jobs: DataFrame, segments: DataFrame, blocks: DataFrame, renames: DataFrame, stamp: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import blocks, candidates, chunks, documents, exports, identity, intervals, local_scan, metrics, results, sequential, structure, validation
+from turnwise.operators import blocks, candidates, chunks, documents, exports, identity, intervals, local_scan, metrics, names, results, sequential, structure, validation
 from turnwise.plans.query import with_views
 from turnwise.streaming import streams
 
@@ -26,6 +26,7 @@ _OWN = {
     **results.OWN,
     **candidates.OWN,
     **documents.OWN,
+    **names.OWN,
     "light_identity": (identity.light_identity_query, candidates.LIGHT_ORACLE),
 }
 
