@@ -20,10 +20,20 @@ def clean_text(text: Column) -> Column:
 def srt_stamp(ms: Column, mark: str = ",") -> Column:
     """HH:MM:SS,mmm of whole milliseconds; negative ones count as 0."""
     t = F.greatest(ms, F.lit(0))
-    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("long").cast("string"))).otherwise(x.cast("long").cast("string"))
     return F.concat(two(F.floor(t / 3600000)), F.lit(":"), two(F.floor(t / 60000) % 60), F.lit(":"), two(F.floor(t / 1000) % 60), F.lit(mark), F.lpad((t % 1000).cast("string"), 3, "0"))
 
 
+def stamp_of_seconds(seconds: Column, mark: str = ",") -> Column:
+    """As srt_stamp, of seconds rounded to whole milliseconds, halves to even."""
+    return srt_stamp(F.rint(seconds * 1000).cast("long"), mark)
+
+
+def simple_stamp(seconds: Column) -> Column:
+    """HH:MM:SS of seconds cut to whole ones; negative ones count as 0."""
+    return F.substring_index(srt_stamp(F.floor(F.greatest(seconds, F.lit(0.0))).cast("long") * 1000), ",", 1)
+
+
 def has_media_extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS)
 
@@ -94,27 +104,25 @@ def temp_files(spark, sf_dir):
     return inside(files, roots.select("folder")).select("page_id")
 
 
+def format_timestamps(spark, sf_dir):
+    """Stamps of the segments' starts at eight times the speed, so that halves of a millisecond occur."""
+    from turnwise.sources import views
+
+    t = F.col("start_ms") / 8000.0
+    return views.segments(spark, sf_dir).select("source_id", "seg_id", stamp_of_seconds(t).alias("srt"), stamp_of_seconds(t, ".").alias("vtt"), simple_stamp(t).alias("simple"))
+
+
+_MS = "round_even(start_ms / 8000.0::DOUBLE * 1000, 0)::BIGINT"
 OWN = {
+    "format_timestamps": (format_timestamps, f"SELECT source_id, seg_id, strftime(make_timestamp({_MS} * 1000), '%H:%M:%S,%g') AS srt, strftime(make_timestamp({_MS} * 1000), '%H:%M:%S.%g') AS vtt, strftime(make_timestamp(start_ms // 8000 * 1000000), '%H:%M:%S') AS simple FROM segments"),
     "temp_files": (temp_files, "SELECT page_id FROM (SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(url, '^[^/]*//[^/]*')) AS n FROM pages) WHERE n >= 5"),
     "parse_timers": (parse_timers, "SELECT job_id, asr_cs / 100.0::DOUBLE AS segmentation_seconds, NULL::DOUBLE AS clustering_seconds, overhead_cs / 100.0::DOUBLE AS embedding_seconds, diarization_cs / 100.0::DOUBLE AS sherpa_total_seconds, export_cs / 100.0::DOUBLE AS sherpa_rtf FROM job_metrics"),
 }
 
 
-def _stamp(ms: str, mark: str) -> str:
-    part = lambda d, m: f"lpad(CAST(CAST(floor({ms} / {d}) AS BIGINT)" + (f" % {m}" if m else "") + " AS STRING), 2, '0')"
-    return f"concat({part('3600000.0', '')}, ':', {part('60000.0', 60)}, ':', {part('1000.0', 60)}, '{mark}', lpad(CAST({ms} % 1000 AS STRING), 3, '0'))"
-
-
 QUERIES = {
-    "clean_text": Query(r"SELECT kind, id, trim(regexp_replace(text, '[ \n\t\r]+', ' ')) AS text FROM texts", duck=((r"regexp_replace(text, '[ \n\t\r]+', ' ')", r"regexp_replace(text, '[ \n\t\r]+', ' ', 'g')"),)),
-    "format_timestamps": Query(f"SELECT source_id, seg_id, {_stamp('start_ms', ',')} AS srt, {_stamp('start_ms', '.')} AS vtt, substring({_stamp('start_ms', ',')}, 1, 8) AS simple FROM segments"),
-    "glossary_hotwords": Query(r"SELECT kind, id, array_join(filter(transform(split(text, '[,;\n]+'), x -> trim(x)), x -> x <> ''), ', ') AS as_list, size(array_distinct(filter(transform(split(text, '[,;\n]+'), x -> trim(x)), x -> x <> ''))) AS n_hotwords FROM texts",
-        duck=(("array_join(filter(transform(split(text, ", "array_to_string(list_filter(list_transform(regexp_split_to_array(text, "), ("size(array_distinct(filter(transform(split(text, ", "len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, "), ("x -> trim(x)", "lambda x: trim(x)"), ("x -> x <>", "lambda x: x <>"))),
     "sentence_end": Query("SELECT source_id, seg_id, text RLIKE '[.!?…][\"\\x27”’)]*$' AS ends FROM segments", duck_sql="SELECT source_id, seg_id, right(rtrim(text, '\"''”’)'), 1) IN ('.', '!', '?', '…') AS ends FROM segments"),
     "sha256_content": Query("SELECT kind, id, sha2(text, 256) AS digest FROM texts", duck=(("sha2(text, 256)", "sha256(text)"),)),
-    "ext_filter": Query("SELECT page_id, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) AS ext, lower(regexp_extract(url, '([.][A-Za-z0-9]+)$', 1)) IN (" + ", ".join(f"'{e}'" for e in EXTENSIONS) + ") AS known FROM pages"),
-    "path_containment": Query("SELECT page_id, url LIKE 'http://blog.%' OR url LIKE 'https://blog.%' AS in_blog, startswith(url, concat('https://m.thther.example.org', '/')) OR url = 'https://m.thther.example.org' AS inside FROM pages", duck=(("startswith(", "starts_with("),)),
     "spanish_date": Query("SELECT event_id, concat(CAST(day(ts) AS STRING), ' de ', element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT)), ' de ', CAST(year(ts) AS STRING), ' ', lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0')) AS text FROM events",
         duck=(("element_at(split('" + ",".join(MONTHS) + "', ','), CAST(month(ts) AS INT))", "string_split('" + ",".join(MONTHS) + "', ',')[month(ts)]"),)),
-    "integrity_check": Query("""SELECT doc_id, CASE WHEN text = '' THEN 'missing' WHEN doc_id % 7 = 0 AND n_chars <> length(text) THEN 'size' WHEN doc_id % 5 = 0 AND substring(sha2(text, 256), 1, 1) IN ('0', '1') THEN 'hash' ELSE 'ok' END AS status FROM documents""", duck=(("sha2(text, 256)", "sha256(text)"),)),
 }

@@ -114,7 +114,8 @@ SELECT source_id, CAST(block AS BIGINT) AS block, min(start_ms) AS start_ms, max
     "block_confidence": Query("SELECT source_id, turn, round(avg(avg_logprob), 6) AS avg_logprob, round(avg(no_speech_prob), 6) AS no_speech_prob, round(avg(compression_ratio), 6) AS compression_ratio FROM segments GROUP BY source_id, turn"),
     "review_flags": Query("""WITH b AS (SELECT source_id, turn, coalesce(avg(avg_logprob) < -1.0, false) OR coalesce(avg(no_speech_prob) > 0.6, false) OR coalesce(avg(compression_ratio) > 2.4, false) AS flagged FROM segments GROUP BY source_id, turn)
 SELECT source_id, count(*) AS blocks, CAST(sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS BIGINT) AS flagged_blocks FROM b GROUP BY source_id"""),
-    "full_text": Query("SELECT source_id, array_join(transform(array_sort(collect_list(struct(seg_id, text))), x -> x.text), ' ') AS text FROM segments GROUP BY source_id", duck=(("array_join(transform(array_sort(collect_list(struct(seg_id, text))), x -> x.text), ' ')", "string_agg(text, ' ' ORDER BY seg_id)"),)),
+    "full_text": Query("SELECT source_id, trim(regexp_replace(array_join(transform(array_sort(collect_list(struct(seg_id, text))), x -> x.text), ' '), '[ \n\t\r]+', ' ')) AS text FROM segments GROUP BY source_id",
+        duck_sql="SELECT source_id, array_to_string(list_filter(regexp_split_to_array(string_agg(text, ' ' ORDER BY seg_id), '[ \n\t\r]'), lambda x: x <> ''), ' ') AS text FROM segments GROUP BY source_id"),
     "segment_normalize": Query("SELECT source_id, coalesce(nullif(seg_id % 5, 0), row_number() OVER (PARTITION BY source_id ORDER BY seg_id) - 1) AS id, seg_id, coalesce(start_ms, 0) AS start_ms, coalesce(end_ms, 0) AS end_ms, trim(text) AS text FROM segments"),
     "speaker_rename": Query("""WITH names AS (SELECT 3 AS id, 'Ana' AS name UNION ALL SELECT 9, 'Luis')
 SELECT source_id, seg_id, coalesce(name, concat('Persona ', CAST(raw_speaker + 1 AS STRING))) AS speaker FROM segments LEFT JOIN names ON raw_speaker = id"""),

@@ -21,7 +21,7 @@ def _ended(text: Column) -> Column:
 
 
 def _simple(ms: Column) -> Column:
-    return F.substring(srt_stamp(ms), 1, 8)
+    return F.substring_index(srt_stamp(ms), ",", 1)
 
 
 def txt(blocks: DataFrame, with_times: bool = True) -> DataFrame:

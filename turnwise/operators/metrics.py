@@ -4,22 +4,9 @@ from __future__ import annotations
 
 from turnwise.plans.query import Query
 
-_CLOSED = """closed AS (SELECT job_id, greatest(0, audio_cs) AS audio, greatest(0, model_load_cs) AS load, greatest(0, asr_cs) AS asr, greatest(0, diarization_cs) AS diar, greatest(0, export_cs) AS export, greatest(0, overhead_cs) AS over,
-  greatest(0, asr_cs) + greatest(0, diarization_cs) + greatest(0, export_cs) + greatest(0, overhead_cs) AS processing FROM job_metrics)"""
-_PRESETS = "SELECT 'Rápido' AS preset, 'small' AS model, 'Rapido' AS asr, 'Rápida' AS diar UNION ALL SELECT 'Equilibrado', 'small', 'Equilibrado', 'Equilibrada' UNION ALL SELECT 'Preciso', 'medium', 'Preciso', 'Precisa'"
-
 QUERIES = {
-    "stage_metrics": Query(f"WITH {_CLOSED} SELECT job_id, processing AS processing_cs, load + processing + 100 AS end_to_end_cs, round(CASE WHEN audio > 0 THEN processing * 1.0 / audio END, 6) AS rtf, round(CASE WHEN processing > 0 THEN audio * 1.0 / processing END, 6) AS speed FROM closed"),
-    "performance_status": Query(f"""WITH {_CLOSED} SELECT job_id, CASE WHEN audio <= 0 THEN 'unknown' WHEN processing <= audio THEN 'realtime' ELSE 'over' END AS status, greatest(0, processing - audio) AS overrun_cs, greatest(0, load + processing - audio) AS end_to_end_overrun_cs,
-  round(CASE WHEN processing > 0 THEN asr * 1.0 / processing ELSE 0.0 END, 6) AS asr_share, round(CASE WHEN processing > 0 THEN diar * 1.0 / processing ELSE 0.0 END, 6) AS diarization_share FROM closed"""),
     "pass_timing_rollup": Query("""SELECT user_id AS job_id, count(*) AS passes, CAST(sum(CASE WHEN event_type = 'click' THEN c ELSE 0 END) AS BIGINT) AS segmentation_cs, CAST(sum(CASE WHEN event_type = 'view' THEN c ELSE 0 END) AS BIGINT) AS embedding_cs,
   CAST(sum(CASE WHEN event_type = 'purchase' THEN c ELSE 0 END) AS BIGINT) AS clustering_cs, CAST(sum(greatest(0, c)) AS BIGINT) AS wall_cs, bool_or(event_type = 'error') AS any_error FROM (SELECT user_id, event_type, CAST(floor(value * 100) AS BIGINT) AS c FROM events) e GROUP BY user_id"""),
-    "batch_outcome": Query("""WITH f AS (SELECT user_id AS job_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS good FROM events GROUP BY user_id)
-SELECT job_id, CAST(good AS BIGINT) AS ok, CAST(bad AS BIGINT) AS failed, CASE WHEN good = 0 AND bad > 0 THEN 'total_fail' WHEN bad > 0 THEN 'partial' ELSE 'complete' END AS outcome FROM f"""),
-    "profile_lookup": Query("""WITH p AS (SELECT 'click' AS k, 'Rapido' AS profile, 1 AS beam UNION ALL SELECT 'view', 'Equilibrado', 5 UNION ALL SELECT 'purchase', 'Preciso', 5)
-SELECT event_id, coalesce(profile, 'Equilibrado') AS profile, coalesce(beam, 5) AS beam FROM events LEFT JOIN p ON event_type = k"""),
-    "preset_inference": Query(f"""WITH p AS ({_PRESETS}), j AS (SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'small' ELSE 'medium' END AS m, CASE job_id % 3 WHEN 0 THEN 'Rapido' WHEN 1 THEN 'Equilibrado' ELSE 'Preciso' END AS a, CASE job_id % 3 WHEN 0 THEN 'Rápida' WHEN 1 THEN 'Equilibrada' ELSE 'Precisa' END AS d FROM job_metrics)
-SELECT job_id, coalesce(preset, 'Personalizado') AS preset FROM j LEFT JOIN p ON model = m AND asr = a AND diar = d"""),
     "latest_progress": Query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) e WHERE r = 1"),
     "progress_eta": Query("""SELECT event_id, CASE WHEN p <= 0 OR t <= 0 THEN NULL WHEN p >= 100 THEN 0.0 ELSE round(t / (p / 100.0) - t, 6) END AS eta FROM (SELECT event_id, CAST(event_id % 111 AS DOUBLE) AS p, CAST(event_id % 37 AS DOUBLE) AS t FROM events) e"""),
     "mru_history": Query("""SELECT user_id, event_type, place FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS place FROM (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY user_id, event_type) a) b WHERE place <= 10"""),

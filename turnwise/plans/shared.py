@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset, a local master gets a folder of its machine."""
+    """A new path in this application's folder below spark.checkpoint.dir. Where that is unset, a local master gets a folder of its machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -16,7 +16,7 @@ def place(spark: SparkSession, label: str) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = "/tmp/turnwise-shared"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/turnwise/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/turnwise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -24,3 +24,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = place(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written below spark.checkpoint.dir; for when its results have been read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place(spark, "x")).getParent()
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
