@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from turnwise.llm.common import shared_dir
+from turnwise.llm.common import scratch_path
 
 #: Payloads under this many bytes are always stored.
 LEAST_REVISIT = 100
@@ -426,7 +426,7 @@ def archived(pages: DataFrame) -> DataFrame:
     """Write pages to archives in the shared folder, read them back with every payload decoded and checked, and return page_id,
     payload_bytes, payload_digest, record_type and refers_to of every record."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/turnwise/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_warc(pages, path)
     return read_warc(spark, path, payload="verify").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
