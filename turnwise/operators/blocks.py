@@ -96,6 +96,17 @@ def reading_blocks_query(spark, sf_dir):
     return reading_blocks(views.segments(spark, sf_dir))
 
 
+def review_flags(spark, sf_dir):
+    """Blocks of a source, and how many are to be reviewed."""
+    return reading_blocks_query(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("blocks"), F.sum(F.col("review_required").cast("long")).alias("flagged_blocks"))
+
+
+def block_confidence(spark, sf_dir):
+    """Means of the confidences of the blocks' segments, and their number."""
+    n = F.size(F.split("segment_ids", ",")).cast("long").alias("segments")
+    return reading_blocks_query(spark, sf_dir).select("source_id", "block", n, "avg_logprob", "no_speech_prob", "compression_ratio")
+
+
 BLOCKS_CTE = """s AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, seg_id) AS r, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM segments WHERE trim(text) <> ''),
 b AS (SELECT source_id, r, seg_id, 0 AS block, start_ms AS a, end_ms AS e, raw_speaker AS sp, length(t) AS n, regexp_matches(t, '[.!?…]["''”’)]*$') AS ends FROM s WHERE r = 1
   UNION ALL SELECT s.source_id, s.r, s.seg_id, CASE WHEN c.cut THEN b.block + 1 ELSE b.block END, CASE WHEN c.cut THEN s.start_ms ELSE b.a END, s.end_ms, s.raw_speaker,
@@ -105,20 +116,19 @@ blocks AS (SELECT b.source_id, b.block, min(s.start_ms) AS start_ms, arg_max(s.e
   round(avg(avg_logprob), 6) AS avg_logprob, round(avg(no_speech_prob), 6) AS no_speech_prob, round(avg(compression_ratio), 6) AS compression_ratio,
   avg(avg_logprob) < -1.0 OR avg(no_speech_prob) > 0.6 OR avg(compression_ratio) > 2.4 AS review_required FROM b JOIN s USING (source_id, r) GROUP BY b.source_id, b.block)"""
 BLOCKS_ORACLE = f"WITH RECURSIVE {BLOCKS_CTE} SELECT * FROM blocks"
+OWN = {
+    "review_flags": (review_flags, f"WITH RECURSIVE {BLOCKS_CTE} SELECT source_id, count(*) AS blocks, count(*) FILTER (review_required) AS flagged_blocks FROM blocks GROUP BY source_id"),
+    "block_confidence": (block_confidence, f"WITH RECURSIVE {BLOCKS_CTE} SELECT source_id, block, len(string_split(segment_ids, ',')) AS segments, avg_logprob, no_speech_prob, compression_ratio FROM blocks"),
+}
 
 QUERIES = {
     "blocks_islands": Query("""WITH c AS (SELECT *, CASE WHEN prev_s = raw_speaker AND greatest(0, start_ms - prev_e) < 1400 THEN 0 ELSE 1 END AS fresh FROM (
   SELECT *, lag(raw_speaker) OVER (PARTITION BY source_id ORDER BY start_ms, seg_id) AS prev_s, lag(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, seg_id) AS prev_e FROM segments) x),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY start_ms, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM c)
 SELECT source_id, CAST(block AS BIGINT) AS block, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(raw_speaker) AS speaker, count(*) AS segments FROM i GROUP BY source_id, block"""),
-    "block_confidence": Query("SELECT source_id, turn, round(avg(avg_logprob), 6) AS avg_logprob, round(avg(no_speech_prob), 6) AS no_speech_prob, round(avg(compression_ratio), 6) AS compression_ratio FROM segments GROUP BY source_id, turn"),
-    "review_flags": Query("""WITH b AS (SELECT source_id, turn, coalesce(avg(avg_logprob) < -1.0, false) OR coalesce(avg(no_speech_prob) > 0.6, false) OR coalesce(avg(compression_ratio) > 2.4, false) AS flagged FROM segments GROUP BY source_id, turn)
-SELECT source_id, count(*) AS blocks, CAST(sum(CASE WHEN flagged THEN 1 ELSE 0 END) AS BIGINT) AS flagged_blocks FROM b GROUP BY source_id"""),
     "full_text": Query("SELECT source_id, trim(regexp_replace(array_join(transform(array_sort(collect_list(struct(seg_id, text))), x -> x.text), ' '), '[ \n\t\r]+', ' ')) AS text FROM segments GROUP BY source_id",
         duck_sql="SELECT source_id, array_to_string(list_filter(regexp_split_to_array(string_agg(text, ' ' ORDER BY seg_id), '[ \n\t\r]'), lambda x: x <> ''), ' ') AS text FROM segments GROUP BY source_id"),
     "segment_normalize": Query("SELECT source_id, coalesce(nullif(seg_id % 5, 0), row_number() OVER (PARTITION BY source_id ORDER BY seg_id) - 1) AS id, seg_id, coalesce(start_ms, 0) AS start_ms, coalesce(end_ms, 0) AS end_ms, trim(text) AS text FROM segments"),
-    "speaker_rename": Query("""WITH names AS (SELECT 3 AS id, 'Ana' AS name UNION ALL SELECT 9, 'Luis')
-SELECT source_id, seg_id, coalesce(name, concat('Persona ', CAST(raw_speaker + 1 AS STRING))) AS speaker FROM segments LEFT JOIN names ON raw_speaker = id"""),
     "speaker_renumber": Query("""WITH f AS (SELECT source_id, raw_speaker, min(seg_id) AS first FROM segments GROUP BY source_id, raw_speaker),
 k AS (SELECT source_id AS s, raw_speaker AS r, row_number() OVER (PARTITION BY source_id ORDER BY first) AS place FROM f)
 SELECT source_id, seg_id, raw_speaker AS speaker_raw_id, place - 1 AS speaker_id, concat('Persona ', CAST(place AS STRING)) AS speaker FROM segments JOIN k ON source_id = s AND raw_speaker = r"""),

@@ -444,6 +444,18 @@ def identity_text(spark, sf_dir):
     return _jobs(spark, sf_dir).where("identity_consistency IS NOT NULL").select("source_id", sp).select("source_id", _get(F.col("sp"), "speaker", "int").alias("speaker"), _get(F.col("sp"), "display_name", "string").alias("display_name"), identity_sentence(F.col("sp")).alias("text"))
 
 
+def speaker_rename(spark, sf_dir):
+    """Names of speakers in segments, blocks and the list of speakers, after the speaker of each source's longest segment was renamed to
+    its longest word."""
+    segments, blocks = _named(spark, sf_dir)
+    longest = F.col("end_ms") - F.col("start_ms")
+    word = F.array_max(F.transform(F.split("text", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    renames = segments.groupBy("source_id").agg(F.max_by(F.struct("speaker", word.alias("word")), F.struct(longest, "place")).alias("x")).select("source_id", F.col("x.speaker").alias("old"), F.col("x.word").alias("new"))
+    of = lambda kind, df, key: renamed(df.select("source_id", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), "speaker"), renames)
+    voices = segments.groupBy("source_id", "speaker").agg(F.min("place").alias("place"))
+    return of("segment", segments, "place").unionByName(of("block", blocks, "block")).unionByName(of("speaker", voices, "place"))
+
+
 _D = _Dialect(False)
 _VALUES = ", ".join(f"('{k}', '{m}', '{a}', '{d}', {b})" for k, (m, a, d, b) in (*_PRESETS.items(), ("Personalizado", _OTHER)))
 _JOBS_SQL = f"""{candidates.PASSES_SQL}, presets(k, model, asr, diar, beam) AS (VALUES {_VALUES}),
@@ -513,6 +525,10 @@ SELECT stem || '.txt' AS name, text FROM j JOIN tx USING (source_id) UNION ALL S
 names_ AS (SELECT source_id, string_agg(DISTINCT CASE WHEN speaker = old THEN fresh ELSE speaker END, ',' ORDER BY CASE WHEN speaker = old THEN fresh ELSE speaker END) AS names FROM sg JOIN ren ON r_id = source_id GROUP BY source_id),
 u_ AS (SELECT *, word || '.01_revision_20240102_030405' || CASE WHEN row_number() OVER (PARTITION BY word ORDER BY source_id) > 1 THEN ' (' || row_number() OVER (PARTITION BY word ORDER BY source_id) || ')' ELSE '' END AS s2 FROM j)
 SELECT s2 || '.txt' AS name, text FROM u_ JOIN tx USING (source_id) UNION ALL SELECT s2 || '.md', rtrim({_MD_HEAD} || body, chr(10)) || chr(10) FROM u_ JOIN mx USING (source_id) UNION ALL SELECT s2 || '.json', '2|true|' || names || '|' || names || '|' || names || '|-' FROM u_ JOIN names_ USING (source_id)"""),
+    "speaker_rename": (speaker_rename, f"""WITH shown AS (SELECT source_id, raw_speaker, 'Persona ' || row_number() OVER (PARTITION BY source_id ORDER BY f) AS speaker FROM (SELECT source_id, raw_speaker, min(seg_id) AS f FROM segments GROUP BY ALL)),
+{_BLOCK_NAMED}, {_S}, far AS (SELECT source_id AS r_id, speaker AS old, list_sort(list_transform(string_split(text, ' '), lambda w: (length(w), w)), 'DESC')[1] AS best FROM sg QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY end_ms - start_ms DESC, seg_id DESC) = 1),
+e AS (SELECT source_id, 'segment' AS kind, seg_id AS id, speaker FROM sg UNION ALL SELECT source_id, 'block', block, who FROM named UNION ALL SELECT source_id, 'speaker', min(seg_id), speaker FROM sg GROUP BY source_id, speaker)
+SELECT source_id, kind, id, CASE WHEN speaker = old THEN best[2] ELSE speaker END AS speaker FROM e JOIN far ON r_id = source_id"""),
     "report_rows": (lambda spark, sf_dir: report(_jobs(spark, sf_dir)), REPORT_ORACLE),
     "identity_text": (identity_text, f"{_JOBS_SQL} SELECT i.source_id, i.speaker, h.speaker AS display_name, {_SENTENCE} AS text FROM idn i JOIN j USING (source_id) LEFT JOIN shown h ON h.source_id = i.source_id AND h.raw_speaker = i.speaker"),
 }

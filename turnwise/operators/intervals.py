@@ -91,19 +91,33 @@ WORD_ALIGN_ORACLE = f"""WITH {_duck_speakers('words', 'source_id, seg_id, word_i
 SELECT w.source_id, w.seg_id, w.word_idx, w.word, coalesce(o.s, n.s) AS speaker FROM words w LEFT JOIN overlap o USING (source_id, seg_id, word_idx) LEFT JOIN near n USING (source_id, seg_id, word_idx)"""
 
 
+def by_words_or_bounds(segments: DataFrame, words: DataFrame, turns: DataFrame, nearest_ms: int = 650) -> DataFrame:
+    """source_id, seg_id, branch, timed_words, speaker of every segment: where it has words with both bounds, the speaker that most of
+    them are given (of equals the least; null if none is), else that of its own bounds."""
+    timed = words.where("start_ms IS NOT NULL AND end_ms IS NOT NULL")
+    given = assign_speakers(timed.select("source_id", "seg_id", "word_idx", "start_ms", "end_ms"), turns, ["source_id", "seg_id", "word_idx"], nearest_ms=nearest_ms)
+    votes = given.groupBy("source_id", "seg_id", "speaker").agg(F.count("*").alias("n")).groupBy("source_id", "seg_id")
+    heard = votes.agg(F.sum("n").alias("timed_words"), F.max_by("speaker", F.when(F.col("speaker").isNotNull(), F.struct("n", -F.col("speaker")))).alias("speaker"))
+    every = segments.select("source_id", "seg_id", "start_ms", "end_ms")
+    bare = assign_speakers(every.join(heard, ["source_id", "seg_id"], "left_anti"), turns, ["source_id", "seg_id"], nearest_ms=nearest_ms)
+    own = every.select("source_id", "seg_id").join(heard, ["source_id", "seg_id"]).select("source_id", "seg_id", F.lit("words").alias("branch"), "timed_words", "speaker")
+    return own.unionByName(bare.select("source_id", "seg_id", F.lit("segment").alias("branch"), F.lit(0).cast("long").alias("timed_words"), "speaker"))
+
+
 def segment_fallback_align(spark, sf_dir):
-    """Every segment: by its timed words where it has some, else by its own bounds. Here words of under 0.12 s count as not timed."""
+    """Every segment, by its words or by its own bounds. Words of up to four letters have no end here."""
     from turnwise.sources import views
 
-    words = views.words(spark, sf_dir).where("end_ms - start_ms >= 120").groupBy("source_id", "seg_id").agg(F.count("*").alias("timed_words"))
-    every = views.segments(spark, sf_dir).select("source_id", "seg_id", "start_ms", "end_ms").join(words, ["source_id", "seg_id"], "left")
-    bare = assign_speakers(every.where("timed_words is null"), views.turns(spark, sf_dir), ["source_id", "seg_id"], nearest_ms=650).select("source_id", "seg_id", F.lit("segment").alias("branch"), F.lit(0).cast("long").alias("timed_words"), "speaker")
-    return every.where("timed_words is not null").select("source_id", "seg_id", F.lit("words").alias("branch"), "timed_words", F.lit(None).cast("int").alias("speaker")).unionByName(bare)
+    words = views.words(spark, sf_dir).withColumn("end_ms", F.when(F.length("word") > 4, F.col("end_ms")))
+    return by_words_or_bounds(views.segments(spark, sf_dir), words, views.turns(spark, sf_dir))
 
 
-FALLBACK_ORACLE = f"""WITH timed AS (SELECT source_id, seg_id, count(*) AS timed_words FROM words WHERE end_ms - start_ms >= 120 GROUP BY ALL), {_duck_speakers('(SELECT * FROM segments ANTI JOIN timed USING (source_id, seg_id))', 'source_id, seg_id', 1300)}
-SELECT source_id, seg_id, 'words' AS branch, timed_words, NULL::INTEGER AS speaker FROM timed
-UNION ALL SELECT g.source_id, g.seg_id, 'segment', 0, coalesce(o.s, n.s) FROM item g LEFT JOIN overlap o USING (source_id, seg_id) LEFT JOIN near n USING (source_id, seg_id)"""
+FALLBACK_ORACLE = f"""WITH timed AS (SELECT * FROM words WHERE length(word) > 4),
+w AS (WITH {_duck_speakers('timed', 'source_id, seg_id, word_idx', 1300)} SELECT t.source_id, t.seg_id, t.word_idx, coalesce(o.s, n.s) AS s FROM timed t LEFT JOIN overlap o USING (source_id, seg_id, word_idx) LEFT JOIN near n USING (source_id, seg_id, word_idx)),
+v AS (SELECT source_id, seg_id, s, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT source_id, seg_id, sum(n)::BIGINT AS timed_words FROM v GROUP BY ALL),
+best AS (SELECT source_id, seg_id, s FROM v WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, seg_id ORDER BY n DESC, s) = 1),
+b AS (WITH {_duck_speakers('(SELECT * FROM segments ANTI JOIN timed USING (source_id, seg_id))', 'source_id, seg_id', 1300)} SELECT g.source_id, g.seg_id, coalesce(o.s, n.s) AS s FROM item g LEFT JOIN overlap o USING (source_id, seg_id) LEFT JOIN near n USING (source_id, seg_id))
+SELECT source_id, seg_id, 'words' AS branch, timed_words, s AS speaker FROM m LEFT JOIN best USING (source_id, seg_id) UNION ALL SELECT source_id, seg_id, 'segment', 0, s FROM b"""
 
 #: Runs of one speaker, cut again where a pause is longer than the gap: a table of merged turns.
 MERGE = """run AS (SELECT *, sum(CASE WHEN prev = raw_speaker THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index) AS run

@@ -27,6 +27,7 @@ _OWN = {
     **candidates.OWN,
     **documents.OWN,
     **names.OWN,
+    **blocks.OWN,
     **settings.OWN,
     "light_identity": (identity.light_identity_query, candidates.LIGHT_ORACLE),
 }
