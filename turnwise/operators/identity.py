@@ -277,7 +277,6 @@ QUERIES = {
 SELECT vec_id, round(norm, 6) AS norm, CASE WHEN norm > 0 AND norm < double('Infinity') THEN array_join(transform(slice(v, 1, 3), x -> CAST(CAST(round(x / norm * 10000) AS BIGINT) AS STRING)), ',') END AS unit FROM n""",
         duck_sql="""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS v FROM embeddings)
 SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, CASE WHEN vec_id % 5 > 0 THEN array_to_string(list_transform(v[1:3], lambda x: round(x / sqrt(list_inner_product(v, v)) * 10000)::BIGINT), ',') END AS unit FROM v"""),
-    "cosine_pairs": _both(lambda d: f"SELECT a.source_id, a.turn_index, round({d.sim('a.embedding', 'b.embedding')}, 6) AS cosine FROM turn_embeddings a JOIN turn_embeddings b ON a.source_id = b.source_id AND b.turn_index = a.turn_index + 1"),
     "pair_similarity": _sampled(lambda d: f"WITH {_E0}, {d.pairs('q', 'e0')} SELECT source_id, speaker, round(pair, 6) AS pair, suspect FROM q"),
     "prototypes": _sampled(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')} SELECT source_id, speaker, medoid_index, n, round({d.at('proto', 0)}, 6) AS p0, round({d.at('proto', 1)}, 6) AS p1 FROM p"),
     "rival_search": _sampled(lambda d: f"WITH {_E0}, {d.prototypes('p', 'e0')}, {d.rivals('r', 'e0', 'p')} SELECT source_id, turn_index, best_sp, round(best, 6) AS best, round(second, 6) AS second FROM r"),

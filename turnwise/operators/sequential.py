@@ -1,4 +1,4 @@
-"""What depends on order inside one small group: label smoothing, wrapping, edit similarity, sample arithmetic."""
+"""What depends on order inside one small group: label smoothing, wrapping, edit similarity."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.plans.query import Query
 from turnwise.sources import views
 
 
@@ -71,11 +70,3 @@ def wrap_text_query(spark, sf_dir):
 
 
 OWN = {"label_smoothing": label_smoothing_query, "text_similarity": text_similarity_query, "wrap_text": wrap_text_query}
-QUERIES = {
-    "pcm_downmix": Query("SELECT vec_id, round(aggregate(transform(sequence(0, 31), i -> (CAST(embedding[2 * i] AS DOUBLE) + CAST(embedding[2 * i + 1] AS DOUBLE)) / 2.0), CAST(0 AS DOUBLE), (s, x) -> s + abs(x)), 6) AS level FROM embeddings",
-        duck_sql="SELECT vec_id, round(list_sum(list_transform(range(0, 32), lambda i: abs((embedding[2 * i + 1]::DOUBLE + embedding[2 * i + 2]::DOUBLE) / 2.0))), 6) AS level FROM embeddings"),
-    "linear_resample": Query("""WITH o AS (SELECT vec_id, embedding, k, k * 64.0 / 96.0 AS x FROM (SELECT vec_id, embedding, explode(sequence(0, 95)) AS k FROM embeddings) e)
-SELECT vec_id, k, round(CAST(embedding[CAST(floor(x) AS INT)] AS DOUBLE) + (x - floor(x)) * (CAST(embedding[CAST(least(floor(x) + 1, 63) AS INT)] AS DOUBLE) - CAST(embedding[CAST(floor(x) AS INT)] AS DOUBLE)), 6) AS y FROM o""",
-        duck_sql="""WITH o AS (SELECT vec_id, embedding, k::INTEGER AS k, k * 64.0::DOUBLE / 96.0::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(0, 96)) AS k FROM embeddings) e)
-SELECT vec_id, k, round(embedding[floor(x)::INT + 1]::DOUBLE + (x - floor(x)) * (embedding[least(floor(x) + 1, 63)::INT + 1]::DOUBLE - embedding[floor(x)::INT + 1]::DOUBLE), 6) AS y FROM o"""),
-}

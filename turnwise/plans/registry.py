@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import blocks, candidates, chunks, documents, exports, identity, intervals, local_scan, metrics, names, results, sequential, settings, structure, validation
+from turnwise.operators import audio, blocks, candidates, chunks, documents, exports, identity, intervals, local_scan, metrics, names, results, sequential, settings, structure, validation
 from turnwise.plans.query import with_views
 from turnwise.streaming import streams
 
-_FAMILIES = (intervals, structure, metrics, blocks, chunks, scalars, identity, sequential)
+_FAMILIES = (intervals, structure, metrics, blocks, chunks, scalars, identity)
 #: Queries that aren't SQL: the function, and its SQL for DuckDB where there is one.
 _OWN = {
     "speaker_assign_overlap": (intervals.speaker_assign_overlap, intervals.SPEAKER_ASSIGN_ORACLE),
@@ -27,6 +27,7 @@ _OWN = {
     **candidates.OWN,
     **documents.OWN,
     **names.OWN,
+    **audio.OWN,
     **blocks.OWN,
     **settings.OWN,
     "light_identity": (identity.light_identity_query, candidates.LIGHT_ORACLE),
