@@ -43,6 +43,67 @@ def test_smoothing():
     assert sequential.smoothed([], [], []) == []
 
 
+def restarted(labels, starts, ends):
+    """The rule as it reads: runs are made afresh after each join."""
+    out = list(labels)
+    while True:
+        cuts = [0, *(i for i in range(1, len(out)) if out[i] != out[i - 1]), len(out)]
+        for a, b, c in zip(cuts, cuts[1:], cuts[2:]):
+            if c < len(out) and out[a] is not None and out[a] == out[c] and (c - b < 2 or ends[c - 1] - starts[b] < 350):
+                out[b:c] = [out[a]] * (c - b)
+                break
+        else:
+            return out
+
+
+def test_smoothing_by_the_rule_as_it_reads(spark):
+    import random
+
+    rng, rows, want = random.Random(5), [], {}
+    for seg in range(300):
+        n = rng.randrange(0, 25)
+        labels = [rng.choice((None, 0, 0, 1, 1, 2)) for _ in range(n)]
+        starts = [k * 120 for k in range(n)]
+        ends = [s + rng.randrange(20, 200) for s in starts]
+        assert sequential.smoothed(labels, starts, ends) == restarted(labels, starts, ends)
+        rows += [(1, seg, k, starts[k], ends[k], labels[k], "x") for k in range(n)]
+        want |= {(seg, k): x for k, x in enumerate(restarted(labels, starts, ends))}
+    words = spark.createDataFrame(rows, "source_id long, seg_id long, word_idx int, start_ms long, end_ms long, label long, word string")
+    assert {(r.seg_id, r.word_idx): r.label for r in sequential.label_smoothing(words).collect()} == want
+    assert sequential.label_smoothing(words.limit(0)).count() == 0
+
+
+def greedy(line, width=100):
+    if not line.strip():
+        return line
+    lines = [""]
+    for word in line.split(" "):
+        if lines[-1] and len(lines[-1]) + 1 + len(word) > width:
+            lines.append(word)
+        else:
+            lines[-1] += (" " if lines[-1] else "") + word
+    return "\n".join(lines)
+
+
+def test_wrapping(spark):
+    import random
+    import textwrap
+
+    rng = random.Random(3)
+    piece = lambda: rng.choice((" ", " ", "  ", "\n", "-", " - ", "x" * rng.randrange(1, 14), "é" * rng.randrange(60, 104), "palabra", "y" * 250, "\t", "\u00a0", "well-known", "--"))
+    texts = ["", " ", "\n", "x" * 100 + " ", "x" * 99 + "  ", " " * 130 + "a", "a" * 5000, *("".join(piece() for _ in range(rng.randrange(1, 90))) for _ in range(600)), "word " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "k long, text string")
+    found = {r.k: (r.w, r.f) for r in rows.select("k", sequential.wrapped(F.col("text")).alias("w"), sequential.filled("text").alias("f")).collect()}
+    assert found.pop(-1) == (None, None)
+    for k, t in enumerate(texts):
+        assert found[k][0] == "\n".join(greedy(line) for line in t.split("\n")), repr(t)
+    plain = " ".join(["palabra"] * 50)
+    assert found.keys() == set(range(len(texts))) and textwrap.fill(plain, 100) == greedy(plain)
+    cases = {"uno dos\n\n  \ntres": "uno dos\n\n\ntres", "a" * 98 + " well-known": "a" * 98 + "\nwell-known", "a" * 93 + " well-known": "a" * 93 + " well-\nknown", "b" * 130: "b" * 100 + "\n" + "b" * 30}
+    got = spark.createDataFrame([(t,) for t in cases], "text string").select("text", sequential.filled("text").alias("f")).collect()
+    assert {r.text: r.f for r in got} == cases
+
+
 def test_refinement_moves_what_fits_elsewhere(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     turn = lambda i, s, e: (1, i, i * 5000, i * 5000 + 4000, s, e)

@@ -14,7 +14,7 @@ _OWN = {
     "word_speaker_align": (intervals.word_speaker_align, intervals.WORD_ALIGN_ORACLE),
     "segment_fallback_align": (intervals.segment_fallback_align, intervals.FALLBACK_ORACLE),
     "reading_blocks": (blocks.reading_blocks_query, blocks.BLOCKS_ORACLE),
-    **{k: (f, None) for k, f in sequential.OWN.items()},
+    **sequential.OWN,
     **identity.OWN,
     **exports.OWN,
     **validation.OWN,
