@@ -80,7 +80,7 @@ def timed_words(words: Column) -> Column:
 def word_text(tokens: Column) -> Column:
     """The text of raw tokens in order: as they stand, or with blanks between them if several hold none; white space collapsed."""
     joined = F.trim(F.array_join(tokens, "", ""))
-    spaced = F.when((F.size(tokens) > 1) & ~F.contains(joined, F.lit(" ")), F.array_join(F.transform(tokens, F.trim), " ", "")).otherwise(joined)
+    spaced = F.when((F.size(tokens) > 1) & ~F.contains(joined, F.lit(" ")), F.array_join(F.transform(tokens, lambda t: F.trim(t)), " ", "")).otherwise(joined)
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 

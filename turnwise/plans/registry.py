@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnwise.functions import scalars
-from turnwise.operators import audio, blocks, candidates, chunks, documents, exports, identity, intervals, local_scan, metrics, names, results, sequential, settings, structure, validation
+from turnwise.operators import alignment, audio, blocks, candidates, chunks, documents, exports, identity, intervals, local_scan, metrics, names, results, sequential, settings, structure, validation
 from turnwise.plans.query import with_views
 from turnwise.streaming import streams
 
@@ -27,6 +27,7 @@ _OWN = {
     **candidates.OWN,
     **documents.OWN,
     **names.OWN,
+    **alignment.OWN,
     **audio.OWN,
     **blocks.OWN,
     **settings.OWN,
