@@ -126,9 +126,16 @@ cut AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY source_id,
 isle AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, run ORDER BY start_ms, end_ms, turn_index) AS isle FROM cut),
 merged AS (SELECT source_id, raw_speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_turns FROM isle GROUP BY source_id, run, isle, raw_speaker)"""
 
+#: DuckDB: the same by going through each source's turns in order.
+MERGE_DUCK = """through AS (SELECT source_id, list([{{'s': raw_speaker, 'a': start_ms, 'b': end_ms, 'n': 1}}] ORDER BY start_ms, end_ms, turn_index) AS l FROM {turns} WHERE end_ms > start_ms GROUP BY source_id),
+merged AS (SELECT source_id, m.s AS raw_speaker, m.a AS start_ms, m.b AS end_ms, m.n AS n_turns FROM (SELECT source_id, unnest(list_reduce(l, lambda p, t: CASE WHEN p[-1].s = t[1].s AND t[1].a - p[-1].b <= {gap}
+  THEN list_concat(p[1:len(p) - 1], [{{'s': t[1].s, 'a': p[-1].a, 'b': greatest(p[-1].b, t[1].b), 'n': p[-1].n + 1}}]) ELSE list_concat(p, t) END)) AS m FROM through))"""
+
 QUERIES = {
-    "valid_turns": Query("SELECT source_id, turn_index, start_ms, end_ms, raw_speaker, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index) - 1 AS place FROM turns WHERE end_ms > start_ms"),
-    "merge_turns": Query(f"WITH {MERGE.format(gap=550)} SELECT * FROM merged"),
+    "valid_turns": Query("SELECT source_id, turn_index, start_ms, end_ms, raw_speaker, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index) - 1 AS place FROM turns WHERE end_ms > start_ms",
+        duck_sql="SELECT source_id, l[i].t AS turn_index, l[i].a AS start_ms, l[i].b AS end_ms, l[i].s AS raw_speaker, i - 1 AS place FROM (SELECT source_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id, list({'t': turn_index, 'a': start_ms, 'b': end_ms, 's': raw_speaker} ORDER BY start_ms, end_ms, turn_index) AS l FROM turns WHERE start_ms < end_ms GROUP BY source_id))"),
+    "merge_turns": Query(f"WITH {MERGE.format(gap=550)} SELECT * FROM merged",
+        duck_sql=f"WITH {MERGE_DUCK.format(gap=550, turns='turns')} SELECT * FROM merged"),
     "speech_regions": Query("""WITH dur AS (SELECT source_id AS d_id, max(end_ms) + 5000 AS d FROM segments GROUP BY source_id),
 pad AS (SELECT source_id, d, greatest(0, start_ms - 350) AS a, least(d, end_ms + 350) AS b FROM segments JOIN dur ON source_id = d_id WHERE trim(text) <> ''),
 cut AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 600 THEN 0 ELSE 1 END AS fresh FROM pad WHERE b > a),
@@ -136,15 +143,29 @@ isle AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY a, b ROWS BE
 zone AS (SELECT source_id, d, isle, min(a) AS a, max(b) AS b FROM isle GROUP BY source_id, d, isle),
 total AS (SELECT source_id, d AS audio_ms, count(*) AS regions, CAST(sum(b - a) AS BIGINT) AS speech_ms FROM zone GROUP BY source_id, d)
 SELECT source_id, audio_ms, regions, speech_ms, round(speech_ms / audio_ms, 6) AS coverage, greatest(0, audio_ms - speech_ms) AS saved_ms,
-  CASE WHEN regions < 2 THEN 'una_sola_region' WHEN speech_ms < 8000 THEN 'muy_poca_voz' WHEN 100 * speech_ms >= 88 * audio_ms THEN 'ahorro_insuficiente' ELSE 'ok' END AS reason FROM total"""),
+  CASE WHEN regions < 2 THEN 'una_sola_region' WHEN speech_ms < 8000 THEN 'muy_poca_voz' WHEN 100 * speech_ms >= 88 * audio_ms THEN 'ahorro_insuficiente' ELSE 'ok' END AS reason FROM total""",
+        duck_sql="""WITH dur AS (SELECT source_id, max(end_ms) + 5000 AS d FROM segments GROUP BY source_id),
+pad AS (SELECT source_id, list([{'a': greatest(0, start_ms - 350), 'b': least(d, end_ms + 350)}] ORDER BY start_ms, end_ms) AS l FROM segments JOIN dur USING (source_id) WHERE trim(text) <> '' AND least(d, end_ms + 350) > greatest(0, start_ms - 350) GROUP BY source_id),
+zone AS (SELECT source_id, list_reduce(l, lambda p, t: CASE WHEN t[1].a - p[-1].b <= 600 THEN list_concat(p[1:len(p) - 1], [{'a': p[-1].a, 'b': greatest(p[-1].b, t[1].b)}]) ELSE list_concat(p, t) END) AS z FROM pad),
+total AS (SELECT source_id, d AS audio_ms, len(z) AS regions, list_sum(list_transform(z, lambda x: x.b - x.a))::BIGINT AS speech_ms FROM zone JOIN dur USING (source_id))
+SELECT source_id, audio_ms, regions, speech_ms, round(speech_ms / audio_ms, 6) AS coverage, greatest(0, audio_ms - speech_ms) AS saved_ms,
+  coalesce(list_filter([{'c': regions = 1, 'r': 'una_sola_region'}, {'c': speech_ms < 8000, 'r': 'muy_poca_voz'}, {'c': audio_ms - speech_ms <= 0.12 * audio_ms, 'r': 'ahorro_insuficiente'}], lambda x: x.c)[1].r, 'ok') AS reason FROM total"""),
     "concat_layout": Query("""SELECT source_id, turn_index, start_ms AS original_start, end_ms AS original_end, CAST(at0 AS BIGINT) AS concat_start, CAST(at0 + end_ms - start_ms AS BIGINT) AS concat_end FROM (
-  SELECT *, coalesce(sum(end_ms - start_ms + 250) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM turns WHERE end_ms > start_ms) x"""),
+  SELECT *, coalesce(sum(end_ms - start_ms + 250) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM turns WHERE end_ms > start_ms) x""",
+        duck_sql="""WITH v AS (SELECT * FROM turns WHERE end_ms > start_ms)
+SELECT a.source_id, a.turn_index, a.start_ms AS original_start, a.end_ms AS original_end, coalesce(sum(b.end_ms - b.start_ms + 250), 0)::BIGINT AS concat_start, (coalesce(sum(b.end_ms - b.start_ms + 250), 0) + a.end_ms - a.start_ms)::BIGINT AS concat_end
+FROM v a LEFT JOIN v b ON a.source_id = b.source_id AND (b.start_ms, b.end_ms, b.turn_index) < (a.start_ms, a.end_ms, a.turn_index) GROUP BY a.source_id, a.turn_index, a.start_ms, a.end_ms"""),
     "speaker_gaps": Query("""SELECT source_id, raw_speaker, count(*) AS turns, CAST(coalesce(max(gap), 0) AS BIGINT) AS max_gap_ms FROM (
-  SELECT *, greatest(0, lead(start_ms) OVER (PARTITION BY source_id, raw_speaker ORDER BY start_ms, end_ms, turn_index) - end_ms) AS gap FROM turns WHERE end_ms > start_ms) x GROUP BY source_id, raw_speaker"""),
-    "range_scan_window": Query("SELECT source_id, seg_id, greatest(start_ms, 30000) AS start_ms, least(end_ms, 90000) AS end_ms, text FROM segments WHERE start_ms < 90000 AND end_ms > 30000"),
+  SELECT *, greatest(0, lead(start_ms) OVER (PARTITION BY source_id, raw_speaker ORDER BY start_ms, end_ms, turn_index) - end_ms) AS gap FROM turns WHERE end_ms > start_ms) x GROUP BY source_id, raw_speaker""",
+        duck_sql="""SELECT source_id, raw_speaker, len(l) AS turns, greatest(0, coalesce(list_max(list_transform(range(1, len(l)), lambda i: l[i + 1].a - l[i].b)), 0))::BIGINT AS max_gap_ms
+FROM (SELECT source_id, raw_speaker, list({'a': start_ms, 'b': end_ms} ORDER BY start_ms, end_ms, turn_index) AS l FROM turns WHERE end_ms > start_ms GROUP BY ALL)"""),
+    "range_scan_window": Query("SELECT source_id, seg_id, greatest(start_ms, 30000) AS start_ms, least(end_ms, 90000) AS end_ms, text FROM segments WHERE start_ms < 90000 AND end_ms > 30000",
+        duck_sql="SELECT source_id, seg_id, list_sort([start_ms, 30000, 90000])[2] AS start_ms, list_sort([end_ms, 30000, 90000])[2] AS end_ms, text FROM segments WHERE least(end_ms, 90000) - greatest(start_ms, 30000) > 0"),
     "sub_windows": Query("""WITH n AS (SELECT source_id, turn_index, start_ms, end_ms, greatest(1, least(6, CAST(floor((end_ms - start_ms) / 1500.0) AS INT))) AS n FROM turns WHERE end_ms - start_ms >= 1500),
 w AS (SELECT *, explode(sequence(0, n - 1)) AS k FROM n)
-SELECT source_id, turn_index, CAST(k AS INT) AS k, CAST(CASE WHEN n = 1 THEN start_ms + floor((end_ms - start_ms - 1500) / 2.0) ELSE start_ms + floor((end_ms - start_ms - 1500) * k / (n - 1.0)) END AS BIGINT) AS window_start FROM w""", duck=(("explode(sequence(0, n - 1))", "unnest(range(0, n))"),)),
+SELECT source_id, turn_index, CAST(k AS INT) AS k, CAST(CASE WHEN n = 1 THEN start_ms + floor((end_ms - start_ms - 1500) / 2.0) ELSE start_ms + floor((end_ms - start_ms - 1500) * k / (n - 1.0)) END AS BIGINT) AS window_start FROM w""",
+        duck_sql="""SELECT source_id, turn_index, k::INTEGER AS k, CASE WHEN n = 1 THEN start_ms + (end_ms - start_ms - 1500) // 2 ELSE start_ms + (end_ms - start_ms - 1500) * k // (n - 1) END AS window_start
+FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, least(6, (end_ms - start_ms) // 1500) AS n FROM turns WHERE (end_ms - start_ms) // 1500 > 0))"""),
 }
 
 _PIECES = """piece AS (SELECT source_id, turn_index, start_ms AS o0, at0 AS start_ms, at0 + end_ms - start_ms AS end_ms FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from turnwise.operators.intervals import MERGE
+from turnwise.operators.intervals import MERGE, MERGE_DUCK
 from turnwise.plans.query import Query
 
 #: Speakers, seconds and switches of the merged turns of a source, and the penalty for what looks wrong.
@@ -28,6 +28,20 @@ for _name in ("run", "cut", "isle", "merged", "audio", "per", "share", "base", "
 _OF_A = re.sub(r"\b(speaker_count|tiny|switches|longest|dominant)\b(?=[ )])", r"a.\1", _RETRY)
 _CANDIDATES = f"""{STRUCTURE_B}, pairs AS (SELECT a.source_id, a.speaker_count AS n_a, a.penalty AS p_a, coalesce(b.speaker_count, 0) AS n_b, coalesce(b.penalty, 8.0) AS p_b, {_OF_A} AS reason FROM scored a LEFT JOIN scored_b b ON a.source_id = b.source_id)"""
 
+
+
+def _scored_duck(turns: str) -> str:
+    """The structure and penalty of the turns of a source, for DuckDB: whole milliseconds, turns gone through in order."""
+    return MERGE_DUCK.format(gap=550, turns=turns) + """,
+per AS (SELECT source_id, raw_speaker, sum(end_ms - start_ms) AS ms, max(end_ms - start_ms) AS top, count(*) AS n FROM merged GROUP BY ALL),
+whole AS (SELECT source_id, count(*) AS speakers, sum(n)::BIGINT AS turns, sum(ms) AS speech_ms, max(ms) AS most_ms, max(top) AS top_ms, list(ms) AS each FROM per GROUP BY ALL),
+facts AS (SELECT w.*, len(list_filter(each, lambda x: x < 3000 OR 50 * x < speech_ms)) AS tiny, (turns - 1) * 60000::DOUBLE / greatest(audio_ms, speech_ms, 1000) AS switches, most_ms::DOUBLE / speech_ms AS share, top_ms / 1000::DOUBLE AS top_s
+  FROM whole w JOIN (SELECT source_id, max(end_ms) AS audio_ms FROM segments GROUP BY ALL) USING (source_id)),
+scored AS (SELECT *, list_sum([if(speakers = 1, 8, 0), 2 * greatest(0, speakers - 8), 4 * greatest(0, share - 0.65::DOUBLE), greatest(0, top_s / 60 - 1), tiny * 0.8::DOUBLE, greatest(0, switches / 8 - 2), if(speakers = 2 AND share >= 0.8::DOUBLE, 1, 0)]::DOUBLE[]) AS penalty,
+  list_filter([{'c': speakers = 1, 'r': 'subdeteccion_extrema', 't': 0.68}, {'c': speakers > 8, 'r': 'sobredeteccion_extrema', 't': 0.82}, {'c': tiny >= 2 OR switches > 18, 'r': 'fragmentacion_excesiva', 't': 0.82},
+    {'c': speakers <= 4 AND (top_ms >= 60000 OR (top_ms >= 45000 AND share >= 0.55::DOUBLE)), 'r': 'tramo_monopolizado', 't': 0.68}, {'c': speakers <= 4 AND share >= 0.72::DOUBLE, 'r': 'hablante_dominante', 't': 0.68}], lambda x: x.c)[1] AS retry FROM facts)"""
+
+
 #: The profile of a job is what its last event stands for; its budget is a share of the audio's length less the time of the
 #: transcription and a reserve of 5 s.
 _BUDGET = """last AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
@@ -37,12 +51,18 @@ _BUDGET_DUCK = """w AS (SELECT user_id AS job_id, MAP {'click': 'Rápido', 'view
 c AS (SELECT *, coalesce(p, 'Personalizado') AS profile, CASE WHEN p IS NOT NULL THEN greatest(0, audio_cs * MAP {'Rápido': 85, 'Equilibrado': 100, 'Preciso': 150}[p] // 100 - asr_cs - 500)::BIGINT END AS budget_cs FROM job_metrics JOIN w USING (job_id))"""
 
 QUERIES = {
-    "turn_structure": Query(f"WITH {STRUCTURE} SELECT source_id, speaker_count, turn_count, round(speech, 6) AS speech_seconds, round(dominant, 6) AS dominant_share, round(longest, 6) AS longest_turn_seconds, tiny AS tiny_speakers, round(switches, 6) AS switches_per_minute, round(penalty, 6) AS penalty FROM scored"),
-    "retry_decision": Query(f"WITH {STRUCTURE}, r AS (SELECT source_id, {_RETRY} AS reason FROM scored) SELECT source_id, reason, CASE WHEN reason IN ('sobredeteccion_extrema', 'fragmentacion_excesiva') THEN CAST(0.82 AS DOUBLE) WHEN reason IS NOT NULL THEN CAST(0.68 AS DOUBLE) END AS threshold FROM r"),
-    "retry_decision_v3": Query(f"WITH {STRUCTURE} SELECT source_id, CASE WHEN speaker_count <= 1 THEN 66 WHEN speaker_count > 8 THEN 84 END AS threshold_hundredths FROM scored"),
+    "turn_structure": Query(f"WITH {STRUCTURE} SELECT source_id, speaker_count, turn_count, round(speech, 6) AS speech_seconds, round(dominant, 6) AS dominant_share, round(longest, 6) AS longest_turn_seconds, tiny AS tiny_speakers, round(switches, 6) AS switches_per_minute, round(penalty, 6) AS penalty FROM scored",
+        duck_sql=f"WITH {_scored_duck('turns')} SELECT source_id, speakers AS speaker_count, turns AS turn_count, round(speech_ms / 1000, 6) AS speech_seconds, round(share, 6) AS dominant_share, round(top_s, 6) AS longest_turn_seconds, tiny AS tiny_speakers, round(switches, 6) AS switches_per_minute, round(penalty, 6) AS penalty FROM scored"),
+    "retry_decision": Query(f"WITH {STRUCTURE}, r AS (SELECT source_id, {_RETRY} AS reason FROM scored) SELECT source_id, reason, CASE WHEN reason IN ('sobredeteccion_extrema', 'fragmentacion_excesiva') THEN CAST(0.82 AS DOUBLE) WHEN reason IS NOT NULL THEN CAST(0.68 AS DOUBLE) END AS threshold FROM r",
+        duck_sql=f"WITH {_scored_duck('turns')} SELECT source_id, retry.r AS reason, retry.t::DOUBLE AS threshold FROM scored"),
+    "retry_decision_v3": Query(f"WITH {STRUCTURE} SELECT source_id, CASE WHEN speaker_count <= 1 THEN 66 WHEN speaker_count > 8 THEN 84 END AS threshold_hundredths FROM scored",
+        duck_sql="SELECT source_id, MAP {1: 66, 9: 84}[least(9, count(DISTINCT raw_speaker))] AS threshold_hundredths FROM turns WHERE end_ms > start_ms GROUP BY source_id"),
     "candidate_selection": Query(f"""WITH {STRUCTURE}, {_CANDIDATES},
 adj AS (SELECT *, p_b + greatest(0, abs(n_b - n_a) - 2) * 0.25 AS p_b2 FROM pairs)
-SELECT source_id, n_a, n_b, round(p_a, 6) AS p_a, round(p_b2, 6) AS p_b, reason, CASE WHEN reason IN ('subdeteccion_extrema', 'sobredeteccion_extrema') THEN n_b >= 2 AND n_b <= 8 AND p_b2 <= p_a + 0.5 ELSE p_b2 + 0.1 < p_a END AS second_wins FROM adj"""),
+SELECT source_id, n_a, n_b, round(p_a, 6) AS p_a, round(p_b2, 6) AS p_b, reason, CASE WHEN reason IN ('subdeteccion_extrema', 'sobredeteccion_extrema') THEN n_b >= 2 AND n_b <= 8 AND p_b2 <= p_a + 0.5 ELSE p_b2 + 0.1 < p_a END AS second_wins FROM adj""",
+        duck_sql=f"""WITH one AS (WITH {_scored_duck('turns')} SELECT * FROM scored), two AS (WITH {_scored_duck('(SELECT * FROM turns WHERE end_ms - start_ms >= 1500)')} SELECT * FROM scored),
+pairs AS (SELECT a.source_id, a.speakers AS n_a, coalesce(b.speakers, 0) AS n_b, a.penalty AS p_a, coalesce(b.penalty, 8) + 0.25::DOUBLE * greatest(0, abs(coalesce(b.speakers, 0) - a.speakers) - 2) AS p_b, a.retry.r AS reason FROM one a LEFT JOIN two b ON a.source_id = b.source_id)
+SELECT source_id, n_a, n_b, round(p_a, 6) AS p_a, round(p_b, 6) AS p_b, reason, if(contains(coalesce(reason, ''), 'extrema'), n_b BETWEEN 2 AND 8 AND p_b - p_a <= 0.5::DOUBLE, p_a - p_b > 0.1::DOUBLE) AS second_wins FROM pairs"""),
     "diarization_budget": Query(f"WITH {_BUDGET} SELECT job_id, profile, budget_cs FROM c", duck_sql=f"WITH {_BUDGET_DUCK} SELECT job_id, profile, budget_cs FROM c"),
     # What the job has taken (loading the model, the first look) and a second pass as long as the first, against the budget.
     "budget_skip": Query(f"WITH {_BUDGET} SELECT job_id, budget_cs, CASE WHEN budget_cs IS NOT NULL THEN model_load_cs + overhead_cs + diarization_cs END AS projected_cs, coalesce(model_load_cs + overhead_cs + diarization_cs > budget_cs, false) AS skip FROM c",
