@@ -17,3 +17,10 @@ def answers(spark, name):
 def test_a_share_of_four_fifths_in_the_choice(spark):
     got = answers(spark, "candidate_selection")
     assert (got[1].p_a, got[1].p_b, got[1].reason, got[1].second_wins) == (2.156, 2.156, "tramo_monopolizado", False)
+
+
+def test_shares_and_halves_on_a_bound(spark):
+    got = answers(spark, "turn_structure")
+    assert (got[1].dominant_share, got[1].penalty) == (0.8, 2.156)
+    assert got[2].dominant_share == 0.839063
+    assert got[3].tiny_speakers == 0
