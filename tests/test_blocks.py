@@ -58,3 +58,17 @@ def test_a_long_run_of_one_speaker(spark):
     got = [(int(r.segment_ids.split(",")[0]), r.segment_ids.count(",") + 1) for r in blocks.reading_blocks(segs).orderBy("block").select("segment_ids").collect()]
     assert time.time() - began < 60
     assert got == plain([(1, i, i * 900, i * 900 + 900, f"palabras{i % 97}" + ("." if i % 5 == 0 else ""), 1) for i in range(n)])
+
+
+def test_means_are_added_in_order(spark):
+    """Three tenths of which the mean is 0.6 exactly: in doubles, the order of adding tells whether it lies above."""
+    thirds = [(a / 100, b / 100, (180 - a - b) / 100) for a in range(1, 99) for b in range(82 - min(a, 81), 99) if 0 < 180 - a - b < 100]
+    mean = lambda v: ((0.0 + v[0]) + v[1] + v[2]) / 3
+    rows = [(k, 2 - i, i * 1000, i * 1000 + 900, "abc", 1, -0.1, p, 1.0) for k, ps in enumerate(thirds) for i, p in enumerate(ps)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins then sort by seg_id, as on large tables
+    try:
+        got = {r.source_id: (r.segment_ids, r.review_required) for r in blocks.reading_blocks(spark.createDataFrame(rows[::-1], SCHEMA)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {k: ("2,1,0", mean(ps) > 0.6) for k, ps in enumerate(thirds)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.plans.query import Query
@@ -15,6 +15,7 @@ SENTENCE_END = r"""[.!?…]["'”’)]*$"""
 
 #: Segments of a piece of a run without a hard break, and how many segments a block can have at most: each has a character.
 PIECE, WIDEST = 4096, MAX_CHARS // 2 + 2
+MEANS = ("avg_logprob", "no_speech_prob", "compression_ratio")
 
 
 def _cut(start, chars, ends, x_end, x_chars):
@@ -48,6 +49,13 @@ def _entries(seg: DataFrame) -> DataFrame:
     return lists.select("source_id", "_isle", F.posexplode(walk).alias("_piece", "_entry"))
 
 
+def _mean(items: Column, field: str) -> Column:
+    """The mean of a field, added in the order of the list: Spark's own average adds as rows arrive, and a mean that lies on a bound
+    would fall on either side of it from run to run."""
+    held = F.filter(F.transform(items, lambda x: x[field].cast("double")), lambda v: v.isNotNull())
+    return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / F.size(held))
+
+
 def reading_blocks(segments: DataFrame, speaker: str = "raw_speaker") -> DataFrame:
     """One row a block: block, start_ms, end_ms, speaker, text, segment_ids, means of the confidences and review_required.
 
@@ -80,13 +88,13 @@ def reading_blocks(segments: DataFrame, speaker: str = "raw_speaker") -> DataFra
     number = F.sum(F.coalesce("_new", F.lit(0))).over(Window.partitionBy("source_id").orderBy("_isle", "_place")) - 1
     given = given.select("source_id", "seg_id", number.cast("int").alias("block"))
     joined = rows.join(given, ["source_id", "seg_id"])
-    ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_id", F.col("_t").alias("t"), F.col("_s").alias("s"))))
-    out = joined.groupBy("source_id", "block").agg(ordered.alias("l"), *(F.avg(c).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")))
+    ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_id", F.col("_t").alias("t"), F.col("_s").alias("s"), *MEANS)))
+    out = joined.groupBy("source_id", "block").agg(ordered.alias("l")).select("*", *(_mean(F.col("l"), c).alias(c) for c in MEANS))
     review = F.coalesce(F.col("avg_logprob") < -1.0, F.lit(False)) | F.coalesce(F.col("no_speech_prob") > 0.6, F.lit(False)) | F.coalesce(F.col("compression_ratio") > 2.4, F.lit(False))
     return out.select(
         "source_id", "block", F.col("l")[0]["start_ms"].alias("start_ms"), F.element_at("l", -1)["end_ms"].alias("end_ms"), F.col("l")[0]["s"].alias("speaker"),
         F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"), F.array_join(F.transform("l", lambda x: x["seg_id"].cast("string")), ",").alias("segment_ids"),
-        *(F.round(c, 6).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")), review.alias("review_required"),
+        *((F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in MEANS), review.alias("review_required"),
     )
 
 
