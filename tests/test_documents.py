@@ -121,3 +121,13 @@ def test_report_rows(spark):
     assert (rows["Sherpa segmentación"], rows["Sherpa embeddings"], rows["Sherpa clustering"]) == ("1.00 s", "—", "0.00 s") and (rows["Sherpa pasada 1 (wall)"], rows["Sherpa pasada 2 (wall)"]) == ("2.50 s", "0.00 s")
     assert rows["Identidad total (wall)"] == "5.25 s" and rows["Identidad etapa final (wall)"] == "3.00 s" and "Identidad ligera (wall)" not in rows and rows["Consistencia identidad"] == "baja" and "Identidad Persona 1" in rows and "Cluster acústico raw 5 (sin texto)" in rows and "Cluster acústico raw 8" in rows
     assert rows["Validación conteo hablantes"] == "estimacion_inestable · acústicos 2 · con texto 1 · ground truth sí · identidad sin_datos" and rows["Precheck rendimiento Auto"] == "12.00 s · 9→7 · aceptado" and rows["Presupuesto diarización Auto"] == "12.00 s" and rows["Rendimiento diarización"].startswith("Precisa prioriza")
+
+
+def test_speed_is_rounded_by_its_binary_value(spark):
+    from turnwise.operators import exports
+
+    speeds = {1: (5425, 1000), 2: (5125, 1000), 3: (5375, 1000), 4: (1005, 1000), 5: (7, 0), 6: (2675, 1000)}
+    files = spark.createDataFrame([(k, "a.wav", "small", "", *v) for k, v in speeds.items()], "source_id long, file string, model string, language string, audio_ms long, processing_ms long")
+    blocks = spark.createDataFrame([], "source_id long, block int, start_ms long, speaker string, text string, review_required boolean")
+    got = {r.source_id: r.text.split("Velocidad:** ")[1].split("×")[0] for r in exports.markdown(blocks, files).collect()}
+    assert got == {k: f"{a / p if p else 0:.2f}" for k, (a, p) in speeds.items()}

@@ -33,7 +33,8 @@ def txt(blocks: DataFrame, with_times: bool = True) -> DataFrame:
 
 
 def markdown(blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """A document for each of files (source_id, file, model, language, audio_ms, processing_ms) with its blocks as for txt."""
+    """A document for each of files (source_id, file, model, language, audio_ms, processing_ms) with its blocks as for txt. The speed is
+    rounded by its exact binary value, as C and Python do (5.425 lies below the half), not by its shortest decimal."""
     head = F.concat(
         F.lit("### ["), _simple(F.col("start_ms")), F.lit("]"), F.coalesce(F.concat(F.lit(" · **"), "speaker", F.lit("**")), F.lit("")),
         F.when(F.col("review_required"), F.lit(" · ⚠ **REVISAR**")).otherwise(F.lit("")), F.lit("\n\n"), clean_text(F.col("text")), F.lit("\n"),
@@ -44,7 +45,7 @@ def markdown(blocks: DataFrame, files: DataFrame) -> DataFrame:
         F.concat(F.lit("# Transcripción: "), F.regexp_extract("file", r"([^/]*)$", 1)), F.lit(""), F.concat(F.lit("- **Modelo:** "), "model"),
         F.concat(F.lit("- **Idioma:** "), F.when(F.coalesce("language", F.lit("")) != "", F.col("language")).otherwise(F.lit("auto"))),
         F.concat(F.lit("- **Duración:** "), _simple(F.col("audio_ms"))), F.concat(F.lit("- **Procesamiento:** "), _simple(F.col("processing_ms"))),
-        F.concat(F.lit("- **Velocidad:** "), F.format_string("%.2f", speed), F.lit("× tiempo real")), F.lit(""), F.lit("## Transcripción"), F.lit(""), F.coalesce("text", F.lit("")),
+        F.concat(F.lit("- **Velocidad:** "), F.call_function("format_number", speed, F.lit("0.00")), F.lit("× tiempo real")), F.lit(""), F.lit("## Transcripción"), F.lit(""), F.coalesce("text", F.lit("")),
     ]
     return files.join(body, "source_id", "left").select("source_id", _ended(F.concat_ws("\n", *lines)).alias("text"))
 
