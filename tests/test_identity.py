@@ -141,3 +141,29 @@ def test_light_identity(spark):
         assert {x.turn_index: x.speaker for x in mine} == who and r.new_identities == len(set(made.values())) and r.speakers_after == len(set(who.values()))
         assert r.overall_confidence in ("baja", "media", "alta") and r.penalty >= 0
     assert identity.light_identity(turns.limit(0), turns.select("source_id", "end_ms"))[1].count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_prototypes_in_blocks(spark, monkeypatch, block):
+    """Blocks give what the join of all pairs gives."""
+    from turnwise.plans.query import over
+
+    monkeypatch.setattr(identity, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    unit = lambda v: [float(x) for x in v / np.sqrt((v * v).sum())]
+    rows = [(k % 2, k, k % 3 if k < 60 else 7, unit(rng.normal(size=5) + k % 3)) for k in range(61)]
+    turns = spark.createDataFrame([*rows, *((5, k, 1, [1.0, 0.0, 0.0, 0.0, 0.0]) for k in range(3))], "source_id long, turn_index long, speaker int, embedding array<double>")
+    found = identity.prototypes(turns)
+    key = lambda df: sorted((r.source_id, r.speaker, r.medoid_index, r.n, tuple(r.proto)) for r in df.collect())
+    assert key(found) == key(over(spark, f"WITH {identity._Dialect(True).prototypes('p', 'turns')} SELECT * FROM p", {"turns": turns}))
+
+
+def test_local_scan_compares_pairs_in_tasks(spark, monkeypatch):
+    """The scan's prototypes come from blocks of vectors, not from rows of pairs."""
+    from turnwise.operators import local_scan
+
+    asked = []
+    whole = local_scan.prototypes
+    monkeypatch.setattr(local_scan, "prototypes", lambda t: asked.append(sorted(t.columns)) or whole(t))
+    found = local_scan.local_change_scan_query(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and len(asked) == 1
