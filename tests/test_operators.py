@@ -129,3 +129,14 @@ def test_similarity_reaches_the_end_of_a_source(spark, tmp_path):
     turns.write.parquet(str(tmp_path / "conversations.parquet"))
     found = {(r.source_id, r.seg_id): r.similarity for r in sequential.text_similarity_query(spark, str(tmp_path)).collect()}
     assert found == {(1, k): round(difflib.SequenceMatcher(None, said[k].lower(), said[k + 1].lower()).ratio(), 6) for k in range(29)}
+
+
+def test_filling_holds_few_texts():
+    """Results leave in small arrays, in order, whatever the size of the batch."""
+    import pyarrow as pa
+
+    texts = [None, "", *(f"uno dos {i} " * 20 for i in range(300))]
+    parts = list(sequential.filled.func(iter([pa.array(texts, pa.string()), pa.array(["a"], pa.string())])))
+    assert max(map(len, parts)) <= sequential.FEW_TEXTS
+    got = [x for p in parts for x in p.to_pylist()]
+    assert len(got) == len(texts) + 1 and got[0] is None and got[-1] == "a" and got[5].replace("\n", " ") == texts[5].strip()

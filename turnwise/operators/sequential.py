@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import textwrap
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -108,12 +109,19 @@ SELECT kind, id, string_agg(CASE WHEN trim(regexp_replace(line, '\\s', ' ', 'g')
 UNION ALL SELECT kind, id, NULL FROM texts WHERE text IS NULL"""
 
 
+#: Texts that are held as Python's strings at once.
+FEW_TEXTS = 64
+
+
 @F.arrow_udf(T.StringType())
-def filled(text: pa.Array) -> pa.Array:
+def filled(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """text with its paragraphs filled to 100 characters, cut behind hyphens and inside words that are longer; those of white space
-    only are empty, null stays null. The rules for hyphens and dashes are those of Python's textwrap."""
+    only are empty, null stays null. The rules for hyphens and dashes are those of Python's textwrap. Results leave a few texts
+    at a time, so that a task holds one batch of input and little more."""
     fill = lambda t: "\n".join(textwrap.fill(p, 100) if p.strip() else "" for p in t.splitlines() or [t])
-    return pa.array([None if t is None else fill(t) for t in text.to_pylist()], pa.string())
+    for batch in texts:
+        for at in range(0, len(batch), FEW_TEXTS):
+            yield pa.array([None if t is None else fill(t) for t in batch.slice(at, FEW_TEXTS).to_pylist()], pa.string())
 
 
 def fill_text_query(spark, sf_dir):
