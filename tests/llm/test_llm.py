@@ -264,6 +264,14 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert decontamination.clean(odd(spark), bench).count() == len(ODD)
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, docs, monkeypatch):
+    """However many blocks the seeds make, no plan holds more than the two broadcasts of a single one."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    monkeypatch.setattr(decontamination, "MAX_SEEDS", decontamination.whole_seeds(bench).count() // 3)
+    plan = decontamination.overlaps(docs.limit(20), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 2
+
+
 # --- pseudonyms
 
 KEY = b"key"
