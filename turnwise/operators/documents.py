@@ -303,7 +303,7 @@ def report(jobs: DataFrame) -> DataFrame:
         ("Batch", F.when(_flag("batched"), F.coalesce(t("batch_size"), F.lit("None"))).otherwise("secuencial")), ("Beam", dash("beam_size")), ("Hablantes", speakers), ("Perfil diarización", dash("diarization_profile")),
         ("Window shift", F.coalesce(fixed(F.col("window_shift_ratio")), F.lit("—"))), ("Hilos diarización", F.when(_or("diarization_threads", 0) != 0, t("diarization_threads")).otherwise("—")), ("Pasadas Auto", F.when(_or("auto_passes", 0) != 0, t("auto_passes")).otherwise("1")),
         ("Selección Auto", dash("auto_selection_reason")), ("Duración", clock(F.col("audio_seconds"))), ("Carga de modelo", clock(F.col("model_load_seconds"))), ("Transcripción ASR", clock(F.col("asr_seconds"))), ("Identificación hablantes", clock(F.col("diarization_seconds"))),
-        ("Exportación", clock(F.col("export_seconds"))), ("Otros", clock(F.col("overhead_seconds"))), ("Procesamiento", clock(F.col("processing_seconds"))), ("Espera extremo a extremo", clock(F.col("end_to_end_seconds"))), ("Velocidad", join(fixed(_or("speed_x", 0.0)), "× tiempo real")),
+        ("Exportación", clock(F.col("export_seconds"))), ("Otros", clock(F.col("overhead_seconds"))), ("Procesamiento", clock(F.round("processing_seconds", 6))), ("Espera extremo a extremo", clock(F.round("end_to_end_seconds", 6))), ("Velocidad", join(fixed(_or("speed_x", 0.0)), "× tiempo real")),
         ("Auto hablantes", join("umbral elegido ", fixed(F.col("auto_threshold"))), F.col("auto_threshold").isNotNull()), ("Motivo segunda pasada", F.col("auto_retry_reason"), _or("auto_retry_reason", "") != ""),
         ("Alineación hablantes", join(F.coalesce(_get(align, "mode", "string"), F.lit("—")), " · ", _int(align, "split_source_segments"), " segmento(s) divididos · ", _int(align, "speaker_switches_inside_segments"), " cambio(s) interno(s)")),
         ("Timestamps palabra internos", yes("word_timestamps_forced_for_diarization")),
